@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from folioforge.llm import bpe, embeddings, inner_products, language, minhash, mixing, substrings, urls
+from folioforge.llm import bpe, embeddings, inner_products, language, minhash, mixing, ppm, substrings, urls
 from folioforge.llm.common import read_table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -45,6 +45,10 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(read_table(spark, sf_dir, "documents"))
 
 
+def op9_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.scored_by_folds(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
