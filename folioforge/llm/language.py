@@ -13,6 +13,7 @@ a language and at most MOST_LANGUAGES languages, so it is small enough to broadc
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -176,20 +177,34 @@ def constant_path(scores: np.ndarray) -> int:
 
 
 def best_path(scores: np.ndarray) -> np.ndarray:
-    """Viterbi: the language of each word that maximises the scores less PENALTY a switch; ties stay, then sort first."""
-    came = np.empty(scores.shape, np.int16)
-    own = np.arange(scores.shape[1])
-    value = np.zeros(scores.shape[1])
-    for i, row in enumerate(scores):
-        top = value.argmax()
-        moved = value[top] - PENALTY > value
-        came[i] = np.where(moved, top, own)
-        value = np.where(moved, value[top] - PENALTY, value) + row
-    path = np.empty(len(scores), np.int64)
-    now = int(value.argmax())
-    for i in range(len(scores) - 1, -1, -1):
-        path[i] = now
-        now = came[i, now]
+    """Viterbi: the language of each word that maximises the scores less PENALTY a switch; ties stay, then sort first.
+
+    Scores are at most 0. Once a language leads all others by PENALTY it goes on to do so for as long as words score 0
+    for it, so such words are passed over together.
+    """
+    rows, own = scores.tolist(), range(scores.shape[1])
+    dents = [np.flatnonzero(column < 0).tolist() for column in scores.T]  # where a language isn't the best
+    value, came, i = [0.0] * len(own), [], 0
+    while i < len(rows):
+        top = max(value)
+        floor, lead = top - PENALTY, value.index(top)
+        if rows[i][lead] == 0 and sum(v <= floor for v in value) == len(own) - 1:
+            at = bisect_left(dents[lead], i)
+            to = dents[lead][at] if at < len(dents[lead]) else len(rows)
+            came.append((i, to, None, floor, lead))
+            value = [top if o == lead else floor + rows[to - 1][o] for o in own]
+        else:
+            to = i + 1
+            came.append((i, to, value, floor, lead))
+            value = [(floor if v < floor else v) + r for v, r in zip(value, rows[i], strict=True)]
+        i = to
+    path = np.empty(len(rows), np.int64)
+    now = value.index(max(value))
+    for i, to, before, floor, lead in reversed(came):
+        path[to - 1] = now
+        path[i : to - 1] = lead
+        if before is None or before[now] < floor:
+            now = lead
     return path
 
 
