@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -135,12 +135,16 @@ def decode(encoded: DataFrame, vocabulary: str, ids: str = "token_ids", into: st
     return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField(into, T.BinaryType())]))
 
 
-def digests(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
-    """Counts and digests of the round trip: doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    both = decode(encode(docs.select("doc_id", "text"), vocabulary, pattern).drop("text"), vocabulary)
-    return both.select(
-        "doc_id",
+def told() -> list[Column]:
+    """n_tokens, ids_sha256 and decoded_sha256 of rows with token_ids and decoded."""
+    return [
         F.expr("octet_length(token_ids) div 4").cast("long").alias("n_tokens"),
         F.sha2("token_ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    ]
+
+
+def digests(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
+    """Counts and digests of the round trip: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    both = decode(encode(docs.select("doc_id", "text"), vocabulary, pattern).drop("text"), vocabulary)
+    return both.select("doc_id", *told())

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from folioforge.llm import bpe, embeddings, inner_products, language, minhash, mixing, ppm, substrings, urls
+from folioforge.llm import bpe, embeddings, inner_products, language, minhash, mixing, pii, ppm, substrings, urls
 from folioforge.llm.common import read_table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -49,8 +49,18 @@ def op9_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.scored_by_folds(read_table(spark, sf_dir, "documents"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(read_table(spark, sf_dir, "documents"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # it builds on this module
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    return {name: f for name, f in globals().items() if callable(f) and (name.startswith("op") or name == "pipeline")}
 
 
 def oracle_sql() -> dict[str, str]:
