@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from folioforge.plans import documents, relations
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def queries() -> dict[str, Query]:
+    return {**documents.QUERIES, **relations.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {**documents.ORACLES, **relations.ORACLES}
