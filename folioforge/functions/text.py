@@ -28,17 +28,15 @@ def pairs_of(items: Column) -> Column:
     return F.when(n > 1, F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.concat(F.element_at(items, i), F.element_at(items, F.least(i + 1, n))))).otherwise(F.array().cast("array<string>"))
 
 
+#: The kinds of lexical tokens.
+RUNS, CODES, DOTTED, ARTICLES = "[a-z]+[0-9]+|[0-9]+(?:[.\\-~][0-9]+)*|[a-z]{2,}", "[A-Za-z][0-9]{1,3}", "[一二三四五六七八九十百0-9]+(?:\\.[0-9]+)+", "第[一二三四五六七八九十百零0-9]+条"
+
+
 def search_tokens(text: Column) -> Column:
-    """Tokens of the lexical index: latin runs, codes in capitals, dotted numbers, article numbers, Han characters and pairs."""
+    """Tokens of the lexical index, with repeats: lower-case runs, codes in capitals, dotted numbers, articles, Han characters and pairs of them."""
     han = han_characters(text)
-    return F.concat(
-        words(text),
-        F.regexp_extract_all(F.upper(text), F.lit(r"(?<![A-Z0-9_])[A-Z][0-9]{1,3}(?![A-Z0-9_])"), F.lit(0)),
-        F.regexp_extract_all(text, F.lit(r"[0-9]+(?:\.[0-9]+)+"), F.lit(0)),
-        F.regexp_extract_all(text, F.lit("第[0-9一二三四五六七八九十百]+条"), F.lit(0)),
-        han,
-        pairs_of(han),
-    )
+    found = [F.regexp_extract_all(F.lower(text), F.lit(RUNS), F.lit(0)), F.transform(F.regexp_extract_all(text, F.lit(CODES), F.lit(0)), lambda c: F.upper(c))]
+    return F.concat(*found, F.regexp_extract_all(text, F.lit(DOTTED), F.lit(0)), F.regexp_extract_all(text, F.lit(ARTICLES), F.lit(0)), han, pairs_of(han))
 
 
 def embedding_tokens(text: Column) -> Column:

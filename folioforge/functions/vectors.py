@@ -71,8 +71,14 @@ def cell_value(raw: Column, header: Column | None = None) -> Column:
     )
 
 
+#: What a version's status is worth.
+STATUS_WORTH = {"current": 1.0, "reference": 0.7, "unknown": 0.55, "possibly_superseded": 0.35, "internal": 0.45, "draft": 0.35, "superseded": 0.05}
+
+
 def recency(status: Column, date: Column) -> Column:
-    """Version priority: the status, and up to 0.2 for a later date, 1 at most; 0.35 without either."""
-    base = F.when(status == "current", 0.8).when(status == "draft", 0.4).when(status == "superseded", 0.1).when(status == "repealed", 0.0).otherwise(0.5)
+    """Version priority: the status, and up to 0.2 for a later date, 1 at most; 0.35 without version information."""
+    base = F.lit(0.55)
+    for name, worth in STATUS_WORTH.items():
+        base = F.when(status == name, worth).otherwise(base)
     bonus = F.least(F.greatest(F.datediff(date, F.lit("2000-01-01").cast("date")) / 36500, F.lit(0.0)), F.lit(0.2))
     return F.when(status.isNull() & date.isNull(), 0.35).otherwise(F.least(base + F.coalesce(bonus, F.lit(0.0)), F.lit(1.0)))

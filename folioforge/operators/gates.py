@@ -8,22 +8,6 @@ from pyspark.sql import functions as F
 EVIDENCE_LEAST = 0.10
 
 
-def first_rule(text: Column, rules: list[tuple[str, str]], otherwise: str) -> Column:
-    """The name of the first pattern that the text fits."""
-    out = F.lit(otherwise)
-    for name, pattern in reversed(rules):
-        out = F.when(text.rlike(pattern), name).otherwise(out)
-    return out
-
-
-#: Reasons not to answer, in the order in which they are tried.
-SCOPE_RULES = [("empty", r"^\s*$"), ("code", r"(?i)\b(code|function|script)\b"), ("weather", r"(?i)\bweather\b"), ("greeting", r"(?i)^(hi|hello|hey)\b"), ("short", r"^.{1,3}$")]
-
-
-def scope(question: Column) -> Column:
-    return first_rule(question, SCOPE_RULES, "in_scope")
-
-
 def evidence_missing(results: Column, top_score: Column, number_asked: Column, number_found: Column) -> Column:
     """The reason why evidence doesn't suffice, else null."""
     return F.when(results == 0, "no_results").when(top_score < EVIDENCE_LEAST, "weak").when(number_asked & ~number_found, "no_number")

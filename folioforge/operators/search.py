@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioforge.functions.text import exact_key, words
+from folioforge.functions.text import exact_key, search_tokens
 
 K1, B = 1.5, 0.75
 #: Passages up to this many are broadcast for substring matching; more are found by a key of inner words.
@@ -22,7 +22,7 @@ def bm25(rows: DataFrame, terms: Sequence[str], key: str = "doc_id", text: str =
     """
     terms = list(dict.fromkeys(terms))
     by = [side] if side else []
-    tokens = words(F.col(text))
+    tokens = search_tokens(F.col(text))
 
     def times(term: str) -> Column:
         return F.size(F.filter("tokens", lambda t: t == term))
@@ -130,26 +130,30 @@ def within_budget(rows: DataFrame, by: str, order: str, size: str, least: int =
     return rows.join(kept.select(by, F.explode("kept").alias(order)), [by, order])
 
 
-#: How many results a question gets, by the first kind of question that fits.
-CUTS = [("deliverable|checklist|attachment|清单|附件|成果", 30), ("table [0-9]|表[0-9]", 20), ("how much|how many|指标|多少", 12), ("must|shall|应|可|宜", 10), ("clause|article|第.+条", 8)]
+def rerank_score(keyword: Column, vector: Column, source: Column, content: Column, phrase_share: Column, title_share: Column, **facts: Column) -> Column:
+    """Weighted score of a candidate, to four places.
 
-
-def cut_for(question: Column) -> Column:
-    out = F.lit(5)
-    for pattern, k in reversed(CUTS):
-        out = F.when(question.rlike(pattern), k).otherwise(out)
-    return out
-
-
-def rerank_score(keyword: Column, vector: Column, source: Column, phrase_share: Column, length: Column, numeric: Column, priority: Column, version: Column) -> Column:
-    """Weighted score of a candidate from its channels, phrases, shape and version, to four places."""
+    facts (all optional): exact_key, city_match, city_open, numeric, land_use, placed, plain (flags); priority, intent, version
+    (0 to 1); role (atomic, summary or fallback).
+    """
+    flag = lambda name, worth: F.when(facts[name], worth).otherwise(0.0) if name in facts else F.lit(0.0)
+    share = lambda name, worth: worth * facts[name] if name in facts else F.lit(0.0)
+    role = facts.get("role", F.lit(None).cast("string"))
     total = (
         0.28 * keyword
         + 0.30 * F.greatest(vector, F.lit(0.0))
         + F.when(source == "exact", 0.32).otherwise(0.0)
-        + 0.45 * phrase_share * F.least(F.lit(1.0), 180 / F.greatest(length, F.lit(180)))
-        + F.when(numeric, 0.07).otherwise(0.0)
-        + 0.12 * priority
-        + 0.16 * version
+        + 0.45 * phrase_share * F.least(F.lit(1.0), 180 / F.greatest(F.length(content), F.lit(180)))
+        + 0.28 * F.least(F.lit(1.0), title_share)
+        + flag("exact_key", 0.22)
+        + F.when(facts.get("city_match", F.lit(False)), 0.08).when(facts.get("city_open", F.lit(False)), 0.04).otherwise(0.0)
+        + flag("numeric", 0.07)
+        + flag("land_use", 0.10)
+        + flag("placed", 0.05)
+        + share("priority", 0.12)
+        + share("intent", 0.18)
+        + share("version", 0.16)
+        + F.when(role == "atomic", 0.04).when(role == "summary", -0.02).when(role == "fallback", -0.08).otherwise(0.0)
+        + flag("plain", -0.22)
     )
     return F.round(total, 4)

@@ -7,6 +7,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from folioforge.functions import questions as Q
 from folioforge.functions import text as T
 from folioforge.functions import vectors as V
 from folioforge.operators import access, gates, search, tables
@@ -24,7 +25,7 @@ _TERM_LIST = ", ".join(f"'{t}'" for t in TERMS)
 def _bm25_sql(side: str = "", source: str = "documents d") -> str:
     by, on = (", side", " using (side)") if side else ("", " on true")
     return f"""
-    with tok as (select doc_id{side}, regexp_extract_all(lower(text), '[a-z0-9]+') as t from {source}),
+    with tok as (select doc_id{side}, list_concat(regexp_extract_all(lower(text), '[a-z]+[0-9]+|[0-9]+(?:[.\\-~][0-9]+)*|[a-z]{{2,}}'), list_transform(regexp_extract_all(text, '[A-Za-z][0-9]{{1,3}}'), lambda c: upper(c)), regexp_extract_all(text, '[0-9]+(?:\\.[0-9]+)+')) as t from {source}),
     len as (select doc_id{by}, t, len(t) as length from tok),
     stat as (select {'side, ' if side else ''}count(*) as n, avg(length) as mean from len {'group by side' if side else ''}),
     tf as (select doc_id{by}, length, q.term, len(list_filter(t, lambda x: x = q.term)) as f
@@ -153,12 +154,9 @@ def evidence_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", *[f.alias(k) for k, f in flags.items()], gates.display_policy(flags).alias("policy"))
 
 
-_SCOPE = [("empty", r"^\s*$"), ("code", r"(?i)\b(code|function|script)\b"), ("weather", r"(?i)\bweather\b"), ("greeting", r"(?i)^(hi|hello|hey)\b"), ("short", r"^.{1,3}$")]
-
-
-@query("select conv_id, turn, case " + " ".join(f"when regexp_matches(text, '{p}') then '{n}'" for n, p in _SCOPE) + " else 'in_scope' end as reason from conversations")
+@query("select conv_id, turn, case " + " ".join(f"when regexp_matches(text, '{p}') then '{n}'" for n, p in Q.OUT_OF_SCOPE) + " end as reason from conversations")
 def scope_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", gates.scope(F.col("text")).alias("reason"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", Q.scope(F.col("text")).alias("reason"))
 
 
 _PAIRS = """with p as (select conv_id, turn, text, lag(text) over (partition by conv_id order by turn) as before from conversations),"""
@@ -256,7 +254,8 @@ def pipeline_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     vector = _similar(spark, sf_dir).select(F.col("vec_id").alias("doc_id"), "sim")
     found = lexical.join(vector, "doc_id", "left").join(documents.select("doc_id", "text"), "doc_id")
     share = sum((F.contains(F.lower("text"), F.lit(p)).cast("double") for p in PHRASES), F.lit(0.0)) / len(PHRASES)
-    score = search.rerank_score(F.col("keyword"), F.coalesce("sim", F.lit(0.0)), F.lit("hybrid"), share, F.length("text"), T.has_number_with_unit(F.col("text")), F.lit(0.3), F.lit(0.35))
+    facts = {"numeric": Q.has_number(F.col("text")), "city_open": F.lit(True), "priority": Q.type_priority(F.lit("section")), "version": V.recency(F.lit(None).cast("string"), F.lit(None).cast("date")), "role": F.lit("fallback")}
+    score = search.rerank_score(F.col("keyword"), F.coalesce("sim", F.lit(0.0)), F.lit("hybrid"), F.col("text"), share, F.lit(0.0), **facts)
     best = search.ranked(found.withColumn("score", score), "score", "doc_id", 5, by=["side"])
     sides_best = best.groupBy("side").agg(F.count("*").alias("n"), F.max("score").alias("top"))
     one = sides_best.agg(*[F.coalesce(F.max(F.when(F.col("side") == s, F.col(c))), F.lit(0)).alias(f"{s}_{c}") for s in ("accessible", "denied") for c in ("n", "top")])
@@ -279,10 +278,14 @@ def context_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("source", F.col("rank").cast("long").alias("rank"), "doc_id", "n_chars")
 
 
-@query("""select conv_id, turn, k as cut from (select conv_id, turn, case when regexp_matches(text, 'deliverable|checklist|attachment') then 30 when regexp_matches(text, 'table [0-9]') then 20
-    when regexp_matches(text, 'how much|how many') then 12 when regexp_matches(text, 'must|shall') then 10 when regexp_matches(text, 'clause|article') then 8 else 5 end as k from conversations)""")
-def intent_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", search.cut_for(F.col("text")).alias("cut"))
+_ASKS = {k: f"regexp_matches(trim(text), '{p}')" for k, p in Q.SIGNALS.items()}
+
+
+@query(f"""select conv_id, turn, case when {_ASKS['deliverable']} or {_ASKS['checklist']} or {_ASKS['attachment']} then 30 when {_ASKS['table_no']} then 20 when {_ASKS['indicator']} then 12
+    when {_ASKS['obligation']} or {_ASKS['configuration']} then 10 when {_ASKS['clause']} then 8 else 5 end as result_size, """ + ", ".join(f"{sql} as asks_{k}" for k, sql in _ASKS.items()) + " from conversations")
+def question_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.col("text")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", Q.result_size(text).alias("result_size"), *[Q.asks(text, k).alias(f"asks_{k}") for k in Q.SIGNALS])
 
 
 @query()

@@ -194,7 +194,7 @@ def props_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", parsed["k"].alias("k"), F.col("props").rlike("[0-9]").alias("has_digit"))
 
 
-@query("""select o_orderkey, round(least(case o_orderstatus when 'F' then 0.8 when 'O' then 0.4 else 0.5 end + least(greatest(date_diff('day', date '2000-01-01', cast(o_orderdate as date)) / 36500.0, 0), 0.2), 1.0), 6) as priority from orders""".replace("round(least(", "round(cast(least(").replace(", 1.0), 6)", ", 1.0) as double), 6)"))
+@query("""select o_orderkey, round(least(case o_orderstatus when 'F' then 1.0 when 'O' then 0.35 else 0.55 end + least(greatest(date_diff('day', date '2000-01-01', cast(o_orderdate as date)) / 36500.0, 0), 0.2), 1.0), 6) as priority from orders""".replace("round(least(", "round(cast(least(").replace(", 1.0), 6)", ", 1.0) as double), 6)"))
 def version_recency(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.when(F.col("o_orderstatus") == "F", "current").when(F.col("o_orderstatus") == "O", "draft").otherwise("other")
     return table(spark, sf_dir, "orders").select("o_orderkey", F.round(V.recency(status, F.to_date("o_orderdate")), 6).alias("priority"))
