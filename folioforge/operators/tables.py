@@ -100,3 +100,70 @@ def packed_sentences(rows: DataFrame, key: str, sentences: str, target: int = 90
 
     parts = F.aggregate(sentences, start, add, lambda s: F.when(s["open"] == "", s["done"]).otherwise(F.concat(s["done"], F.array(s["open"]))))
     return rows.select(key, F.posexplode(parts).alias("part", "content"))
+
+
+def continued_tables(parts: DataFrame, least: float = 0.75) -> DataFrame:
+    """parts with ``table_no``: parts of one logical table share the number of their first.
+
+    parts: doc_id, seq, page_start, page_end, title, headers. A part goes on with the one before if it is on the same or the
+    next page, has as many columns, and has a continuation title, the same title, or no title and similar headers.
+    """
+    w = Window.partitionBy("doc_id").orderBy("seq")
+    before = F.lag(F.struct("page_end", "title", "headers")).over(w)
+    bare = lambda t: F.regexp_replace(t, "^\\s*续(?=表)|[（(]续[)）]", "")
+    names = lambda h: F.array_distinct(F.filter(F.transform(h, lambda x: F.lower(F.regexp_replace(x, "(?U)[\\s（）()：:，,]+", ""))), lambda x: x != ""))
+    marked = parts.withColumn("__before", before)
+    mine, theirs = names(F.col("headers")), names(F.col("__before.headers"))
+    alike = F.when((F.size(mine) > 0) & (F.size(theirs) > 0), F.size(F.array_intersect(mine, theirs)) / F.size(F.array_union(mine, theirs))).otherwise(0.0)
+    title = F.coalesce("title", F.lit(""))
+    continued = title.rlike("续表|[（(]续[)）]")
+    same = (title != "") & F.coalesce(bare(title) == bare(F.col("__before.title")), F.lit(False))
+    goes_on = (F.col("page_start") <= F.col("__before.page_end") + 1) & (F.size("headers") == F.size("__before.headers")) & (continued | same | (((title == "") | continued) & (alike >= least)))
+    number = F.sum((~F.coalesce(goes_on, F.lit(False))).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return marked.withColumn("table_no", number).drop("__before")
+
+
+def continued_rows(rows: DataFrame, table: Sequence[str], order: str, code: str, content: str) -> DataFrame:
+    """Rows without a code are appended to the content of the row before them that has one."""
+    w = Window.partitionBy(*table).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    has = F.coalesce(F.col(code) != "", F.lit(False))
+    grouped = rows.withColumn("__row", F.sum(has.cast("int")).over(w)).groupBy(*table, "__row")
+    parts = F.array_sort(F.collect_list(F.struct(order, content)))
+    return grouped.agg(F.max(code).alias(code), F.min(order).alias(order), F.array_join(F.transform(parts, lambda p: p[content]), "").alias(content)).drop("__row")
+
+
+def grid_statistics(matrix: Column) -> Column:
+    """columns used twice or more, fill rate, and the share of rows with the most frequent width (its first of equals)."""
+    widths = F.transform(matrix, lambda r: F.size(F.filter(r, lambda c: F.coalesce(F.trim(c) != "", F.lit(False)))))
+    width = F.array_max(F.transform(matrix, lambda r: F.size(r)))
+    used = F.transform(F.sequence(F.lit(1), F.greatest(width, F.lit(1))), lambda i: F.size(F.filter(matrix, lambda r: F.coalesce(F.trim(F.try_element_at(r, i)) != "", F.lit(False)))))
+    filled = F.aggregate(widths, F.lit(0), lambda a, b: a + b)
+    common = F.array_max(F.transform(widths, lambda n: F.size(F.filter(widths, lambda m: m == n))))
+    cells = F.aggregate(F.transform(matrix, lambda r: F.size(r)), F.lit(0), lambda a, b: a + b)
+    return F.struct(F.size(F.filter(used, lambda n: n >= 2)).alias("columns"), F.try_divide(filled, cells).alias("fill"), F.try_divide(common, F.size(matrix)).alias("stable"))
+
+
+def bound_chunks(chunks: DataFrame, rows: DataFrame) -> DataFrame:
+    """chunks with row_index: by their own source row, else the first row of their table whose key lies in theirs.
+
+    chunks: doc_id, table_id, chunk_id, source_row_index, row_key; rows: doc_id, table_id, row_index, key.
+    """
+    direct = rows.select("doc_id", "table_id", F.col("row_index").alias("source_row_index"), F.lit(True).alias("known"))
+    marked = chunks.join(direct, ["doc_id", "table_id", "source_row_index"], "left")
+    open_ = marked.where("known is null").select("doc_id", "table_id", "chunk_id", "row_key")
+    fits = open_.join(rows, ["doc_id", "table_id"]).where((F.length("key") > 0) & F.contains("row_key", "key"))
+    first = fits.groupBy("doc_id", "table_id", "chunk_id").agg(F.min("row_index").alias("by_key"))
+    out = marked.join(first, ["doc_id", "table_id", "chunk_id"], "left")
+    return out.withColumn("row_index", F.when(F.col("known"), F.col("source_row_index")).otherwise(F.col("by_key"))).drop("known", "by_key")
+
+
+def numbered_rows(rows: DataFrame, table: Sequence[str], order: str, key: str) -> DataFrame:
+    """rows with row_type (summary, note or data, by how the key begins) and row_number from 0 in their table."""
+    kind = F.when(F.col(key).rlike("^\\s*(?:小计|合计|总计|subtotal|total)"), "summary").when(F.col(key).rlike("^\\s*(?:注|备注|说明|note)"), "note").otherwise("data")
+    return rows.withColumn("row_type", kind).withColumn("row_number", F.row_number().over(Window.partitionBy(*table).orderBy(order)) - 1)
+
+
+def strong_slices(slices: DataFrame, question: str, support: str, least: float = 0.5, share: float = 0.6) -> DataFrame:
+    """Slices with at least ``share`` of their question's best support; none if that is below ``least``."""
+    best = F.max(support).over(Window.partitionBy(question))
+    return slices.withColumn("__best", best).where((F.col("__best") >= least) & (F.col(support) >= share * F.col("__best"))).drop("__best")
