@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +49,19 @@ def dropped(*tables: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, False)
 
 
+def key_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each value of the column ``key`` out of batches that are sorted by it, one value at a time."""
+    held: pa.Table | None = None
+    for batch in batches:
+        held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        cuts = [0, *(np.flatnonzero(np.diff(held["key"].to_numpy())) + 1).tolist()]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            yield held.slice(a, b - a)
+        held = held.slice(cuts[-1])
+    if held is not None and len(held):
+        yield held
+
+
 def hot_bound(total: int, keys: int = 1024, least: int = 1024) -> int:
     """A count that at most ``keys`` keys of a table of ``total`` rows can exceed."""
     return max(least, total // keys)
