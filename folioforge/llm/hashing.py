@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 #: Words of the sequences that minimisers are taken from.
 PIECE = 8
@@ -79,13 +80,15 @@ class Windows:
         self.word = self.word - self.first_word[self.text]
 
 
-def portions(texts: list[str | None], most: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
+def portions(column: pa.Array, most: int = 1 << 18) -> Iterator[tuple[int, list[bytes]]]:
+    """Runs of neighbouring texts of about ``most`` bytes together, each with its first position; null is empty."""
     start, held, size = 0, [], 0
-    for i, text in enumerate(texts):
-        held.append((text or "").encode())
-        size += len(held[-1])
-        if size >= most:
-            yield start, held
-            start, held, size = i + 1, [], 0
+    for i in range(0, len(column), 64):
+        for text in column.slice(i, 64).to_pylist():
+            held.append((text or "").encode())
+            size += len(held[-1])
+            if size >= most:
+                yield start, held
+                start, held, size = start + len(held), [], 0
     if held:
         yield start, held

@@ -12,8 +12,8 @@ frequent are dealt out over SALTS groups; a group that sees such a window once p
 Defined results: a null text has no words. Rows with equal text are different documents, so all their windows repeat,
 also when the key is equal or null. Texts shorter than a window keep all words. Other columns are not read.
 
-Memory: the sketch has a fixed number of cells, whatever the input; its merged bits (DEPTH * CELLS / 8 bytes) are what is
-broadcast. Beyond about CELLS windows it filters less and less and the exact pass does more; results stay the same.
+Memory: the sketch grows with the input up to DEPTH rows of 2**MOST_BITS cells; its merged bits, one a cell, are
+broadcast in compressed form. Beyond that many windows it filters less and less and the exact pass does more; results stay the same.
 """
 
 from __future__ import annotations
@@ -29,96 +29,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.llm.common import stored
+from folioforge.llm.hashing import Windows, mixed, portions
 
-DEPTH, CELL_BITS, SHARD_BITS = 2, 28, 6
-CELLS, SHARD_CELLS = 1 << CELL_BITS, 1 << CELL_BITS - SHARD_BITS
+DEPTH, SHARD_BITS = 2, 6
+#: A row of the sketch has at least CELLS_PER_WINDOW times as many cells as there are windows, between these powers of two.
+LEAST_BITS, MOST_BITS, CELLS_PER_WINDOW, BYTES_PER_WORD = 20, 30, 1.5, 6
 SALTS, DIGEST = 64, 12
-#: Windows counted before a task hands on its sketch, and words of the sequences that minimisers are taken from.
-HELD, PIECE = 4_000_000, 8
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-
-
-def mixed(x: np.ndarray, seed: int) -> np.ndarray:
-    """A bijective scrambling of 64-bit values, another one for each seed."""
-    x = x + np.uint64((seed + 1) * 0xD1342543DE82EF95 % (1 << 64))
-    for shift, factor in ((32, 0xD6E8FEB86659FD93), (29, 0xA0761D6478BD642F)):
-        x = (x ^ x >> np.uint64(shift)) * np.uint64(factor)
-    return x ^ x >> np.uint64(32)
-
-
-def rolled(x: np.ndarray, length: int, step: np.uint64 = _BASE) -> np.ndarray:
-    """Hashes of all runs of ``length`` neighbours of x, put together from runs of powers of two."""
-    out, done, run, size, power = None, 0, x, 1, step
-    with np.errstate(over="ignore"):
-        while True:
-            if length & size:
-                if out is None:
-                    out = run
-                else:
-                    n = len(x) - done - size + 1
-                    out = out[:n] * power + run[done : done + n]
-                done += size
-            if done == length:
-                return out
-            run = run[:-size] * power + run[size:]
-            power, size = power * power, size * 2
-
-
-def least(x: np.ndarray, length: int) -> np.ndarray:
-    """The least value of every ``length`` neighbours of x."""
-    size = 1
-    while size * 2 <= length:
-        x = np.minimum(x[:-size], x[size:])
-        size *= 2
-    return x if size == length else np.minimum(x[: len(x) - (length - size)], x[length - size :])
-
-
-class Windows:
-    """All windows of several texts: hash, minimiser, text and first word of each."""
-
-    def __init__(self, texts: list[bytes], window: int) -> None:
-        data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
-        ends = np.cumsum([len(text) + 1 for text in texts])
-        space = _SPACE[data]
-        edge = np.flatnonzero(np.diff(space, prepend=True))
-        start, end = edge[::2], edge[1::2]
-        self.text_of_word = np.searchsorted(ends, start, "right")
-        self.first_word = np.searchsorted(self.text_of_word, np.arange(len(texts) + 1))
-        self.n_words = np.diff(self.first_word)
-        empty = np.zeros(0, np.uint64)
-        self.hash, self.minimiser, self.text, self.word = empty, empty, np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if len(start) < window:
-            return
-        with np.errstate(over="ignore"):
-            # a word's hash: its bytes times powers of the base that count from the word's start
-            inside = np.arange(len(data))
-            inside[start[0] :] -= np.repeat(start, np.diff(np.append(start, len(data))))
-            powers = np.cumprod(np.full(int((end - start).max()) + 1, _BASE, np.uint64))
-            value = np.where(space, np.uint64(0), (data + np.uint64(1)) * powers[np.minimum(inside, len(powers) - 1)])
-            word = mixed(np.add.reduceat(value, start), 0)
-            self.word = np.flatnonzero(self.text_of_word[: len(word) - window + 1] == self.text_of_word[window - 1 :])
-            self.text = self.text_of_word[self.word]
-            self.hash = rolled(word, window)[self.word]
-            piece = min(PIECE, window)
-            self.minimiser = least(mixed(rolled(word, piece), 9), window - piece + 1)[self.word]
-        self.word = self.word - self.first_word[self.text]
-
-    def cells(self, row: int) -> np.ndarray:
-        return (mixed(self.hash, row + 1) >> np.uint64(64 - CELL_BITS)).astype(np.uint32)
-
-
-def portions(texts: list[str | None], most: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
-    start, held, size = 0, [], 0
-    for i, text in enumerate(texts):
-        held.append((text or "").encode())
-        size += len(held[-1])
-        if size >= most:
-            yield start, held
-            start, held, size = i + 1, [], 0
-    if held:
-        yield start, held
+#: Windows counted before a task hands on its sketch.
+HELD = 4_000_000
+
+
+def cell_bits(docs: DataFrame) -> int:
+    """The size of a sketch row as a power of two, from the bytes of the column text."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return min(MOST_BITS, max(LEAST_BITS, int(size / BYTES_PER_WORD * CELLS_PER_WINDOW).bit_length()))
+
+
+def cells_of(windows: Windows, row: int, bits: int) -> np.ndarray:
+    return (mixed(windows.hash, row + 1) >> np.uint64(64 - bits)).astype(np.uint32)
 
 
 def packed(cells: np.ndarray) -> bytes:
@@ -135,15 +63,15 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.cumsum(steps, dtype=np.int64)[steps < 255]
 
 
-def _shards(held: list[np.ndarray], row: int) -> Iterator[tuple[int, bytes]]:
-    cells = np.sort(np.concatenate(held))
-    bounds = np.searchsorted(cells, np.arange(1, 1 << SHARD_BITS, dtype=np.uint32) * np.uint32(SHARD_CELLS))
+def _shards(held: list[np.ndarray], row: int, bits: int) -> Iterator[tuple[int, bytes]]:
+    cells, size = np.sort(np.concatenate(held)), 1 << bits - SHARD_BITS
+    bounds = np.searchsorted(cells, np.arange(1, 1 << SHARD_BITS, dtype=np.uint32) * np.uint32(size))
     for shard, part in enumerate(np.split(cells, bounds)):
         if len(part):
-            yield row << SHARD_BITS | shard, packed(part - np.uint32(shard * SHARD_CELLS))
+            yield row << SHARD_BITS | shard, packed(part - np.uint32(shard * size))
 
 
-def sketched(docs: DataFrame, window: int) -> DataFrame:
+def sketched(docs: DataFrame, window: int, bits: int) -> DataFrame:
     """Merged sketch: shard, bits (which cells count 2 or more, packed) and hot (the few cells of a large share)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,29 +79,29 @@ def sketched(docs: DataFrame, window: int) -> DataFrame:
         task = TaskContext.get().partitionId()
 
         def flush() -> pa.RecordBatch:
-            rows = [x for row in range(DEPTH) for x in _shards(held[row], row)]
+            rows = [x for row in range(DEPTH) for x in _shards(held[row], row, bits)]
             for part in held:
                 part.clear()
             return pa.RecordBatch.from_pydict({"shard": pa.array([s for s, _ in rows], pa.int32()), "task": pa.array([task] * len(rows), pa.int32()), "cells": pa.array([c for _, c in rows], pa.binary())})
 
         for batch in batches:
-            for _, texts in portions(batch.column(0).to_pylist()):
+            for _, texts in portions(batch.column(0)):
                 windows = Windows(texts, window)
                 if len(windows.hash):
                     for row in range(DEPTH):
-                        held[row].append(windows.cells(row))
+                        held[row].append(cells_of(windows, row, bits))
                 if sum(map(len, held[0])) >= HELD:
                     yield flush()
         if held[0]:
             yield flush()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, total = -1, np.zeros(SHARD_CELLS, np.uint32)
+        shard, total = -1, np.zeros(1 << bits - SHARD_BITS, np.uint32)
 
         def result() -> pa.RecordBatch:
-            hot = np.flatnonzero(total > max(4096, int(total.sum()) // 16))
-            bits = zlib.compress(np.packbits(total > 1).tobytes(), 1)
-            return pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "bits": pa.array([bits], pa.binary()), "hot": pa.array([hot.astype("<u4").tobytes()], pa.binary())})
+            hot = np.flatnonzero(total > max(256, int(total.sum()) // 1024))
+            twice = zlib.compress(np.packbits(total > 1).tobytes(), 1)
+            return pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "bits": pa.array([twice], pa.binary()), "hot": pa.array([hot.astype("<u4").tobytes()], pa.binary())})
 
         for batch in batches:
             for now, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -190,15 +118,16 @@ def sketched(docs: DataFrame, window: int) -> DataFrame:
     return parts.repartition(DEPTH << SHARD_BITS, "shard").sortWithinPartitions("shard").mapInArrow(merge, "shard int, bits binary, hot binary")
 
 
-def joined_bits(rows: list) -> tuple[list[np.ndarray], list[np.ndarray]]:
+def joined_bits(rows: list, bits: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """By sketch row: one bit a cell, and the sorted hot cells."""
-    bits = [np.zeros(CELLS // 8, np.uint8) for _ in range(DEPTH)]
+    twice = [np.zeros(1 << bits - 3, np.uint8) for _ in range(DEPTH)]
     hot: list[list[np.ndarray]] = [[] for _ in range(DEPTH)]
+    size = 1 << bits - SHARD_BITS
     for r in rows:
         row, shard = r.shard >> SHARD_BITS, r.shard & (1 << SHARD_BITS) - 1
-        bits[row][shard * SHARD_CELLS // 8 : (shard + 1) * SHARD_CELLS // 8] = np.frombuffer(zlib.decompress(r.bits), np.uint8)
-        hot[row].append(np.frombuffer(r.hot, "<u4") + np.uint32(shard * SHARD_CELLS))
-    return bits, [np.sort(np.concatenate(x)) if x else np.zeros(0, np.uint32) for x in hot]
+        twice[row][shard * size // 8 : (shard + 1) * size // 8] = np.frombuffer(zlib.decompress(r.bits), np.uint8)
+        hot[row].append(np.frombuffer(r.hot, "<u4") + np.uint32(shard * size))
+    return twice, [np.sort(np.concatenate(x)) if x else np.zeros(0, np.uint32) for x in hot]
 
 
 def _digests(text: bytes, words: np.ndarray, window: int) -> bytes:
@@ -211,19 +140,19 @@ def _digests(text: bytes, words: np.ndarray, window: int) -> bytes:
 RUN = "bucket long, salt int, id long, print int, first int, offsets binary, digests binary"
 
 
-def candidates(docs: DataFrame, window: int, sketch: tuple) -> DataFrame:
+def candidates(docs: DataFrame, window: int, bits: int, sketch: list) -> DataFrame:
     """Runs of windows estimated repeated, with their digests. docs: id, print (a hash of the text), text."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, hot = shared.value
+        twice, hot = joined_bits(shared.value, bits)
         for batch in batches:
-            for start, texts in portions(batch.column("text").to_pylist()):
+            for start, texts in portions(batch.column("text")):
                 w = Windows(texts, window)
-                cells = [w.cells(row) for row in range(DEPTH)]
+                cells = [cells_of(w, row, bits) for row in range(DEPTH)]
                 maybe = np.ones(len(w.hash), bool)
                 for row in range(DEPTH):
-                    maybe &= (bits[row][cells[row] >> 3] >> (7 - (cells[row] & 7)).astype(np.uint8) & 1).astype(bool)
+                    maybe &= (twice[row][cells[row] >> 3] >> (7 - (cells[row] & 7)).astype(np.uint8) & 1).astype(bool)
                 chosen = np.flatnonzero(maybe)
                 if not len(chosen):
                     continue
@@ -297,7 +226,7 @@ def exactly_repeated(runs: DataFrame) -> DataFrame:
             new = np.ones(len(hit), bool)
             new[1:] = (np.diff(row[hit]) > 0) | (np.diff(word[hit]) > 1)
             at = np.flatnonzero(new)
-            to = np.append(at[1:], len(hit)) - 1
+            to = np.append(at, len(hit))[1:] - 1
             # frequent windows: one seen once here goes on, one seen often leaves a mark
             alone = np.flatnonzero(salted & ~again)
             _, mark = np.unique(digests[salted & again].view("S12") if (salted & again).any() else np.zeros(0, "S12"), return_index=True)
@@ -338,8 +267,9 @@ def removed(docs: DataFrame, window: int = 35, key: str = "doc_id", text: str =
     """key, n_words, n_removed and kept_text (the kept words, joined by one space) of every row of docs."""
     kind = docs.schema[key].dataType.simpleString()
     named = docs.select(F.col(key).alias("key"), F.xxhash64(F.col(key)).alias("id"), F.hash(F.col(text)).alias("print"), F.col(text).alias("text"))
-    sketch = joined_bits(sketched(named.select("text"), window).collect())  # at most DEPTH * CELLS / 8 bytes
-    runs = candidates(named.select("id", "print", "text"), window, sketch)
+    bits = cell_bits(named)
+    sketch = sketched(named.select("text"), window, bits).collect()  # compressed; at most DEPTH << MOST_BITS - 3 bytes
+    runs = candidates(named.select("id", "print", "text"), window, bits, sketch)
     spans = resolved(stored(exactly_repeated(runs))).distinct()
     by_text = stored(spans.groupBy("id", "print").agg(F.collect_list(F.struct("first", "last")).alias("spans")))
 

@@ -46,6 +46,9 @@ def test_odd_rows(spark, odd_rows):
     docs = spark.createDataFrame([(*r, 0, "x") for r in odd_rows], "doc_id long, text string, n_words int, spans string")
     assert rows_of(substrings.digests(docs)) == expected(odd_rows)
     assert substrings.digests(docs.limit(0)).collect() == []
+    alone = [(1, "a b " * 300), (2, "c " + " ".join(map(str, range(90))))]
+    assert rows_of(substrings.digests(spark.createDataFrame(alone, "doc_id long, text string"))) == expected(alone)
+    assert rows_of(substrings.digests(spark.createDataFrame(alone[1:], "doc_id long, text string"))) == expected(alone[1:])
 
 
 def test_frequent_windows_in_salted_groups(spark, odd_rows, monkeypatch):
@@ -53,8 +56,8 @@ def test_frequent_windows_in_salted_groups(spark, odd_rows, monkeypatch):
     docs = spark.createDataFrame(odd_rows, "doc_id long, text string")
     made = substrings.joined_bits
 
-    def all_hot(rows):
-        bits, _ = made(rows)
+    def all_hot(rows, size):
+        bits, _ = made(rows, size)
         return bits, [np.flatnonzero(np.unpackbits(x)).astype(np.uint32) for x in bits]
 
     monkeypatch.setattr(substrings, "joined_bits", all_hot)
