@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Pre-tokens of at most this many characters are remembered, at most this many of them.
-CACHED_LENGTH, CACHED_WORDS = 32, 400_000
+CACHED_LENGTH, CACHED_WORDS = 32, 120_000
 _TO_PIECE = {b: chr(0x100 + b) for b in range(256)}
 
 
@@ -110,8 +110,8 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(*shared.value, pattern)
         for batch in batches:
-            for start in range(0, len(batch), 256):
-                part = batch.slice(start, 256)
+            for start in range(0, len(batch), 64):
+                part = batch.slice(start, 64)
                 ids = [encoder.encode(value or "").tobytes() for value in part.column(text).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.binary())], [*part.schema.names, into])
 
@@ -126,8 +126,8 @@ def decode(encoded: DataFrame, vocabulary: str, ids: str = "token_ids", into: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         entry = shared.value.__getitem__
         for batch in batches:
-            for start in range(0, len(batch), 256):
-                part = batch.slice(start, 256)
+            for start in range(0, len(batch), 64):
+                part = batch.slice(start, 64)
                 out = [b"".join(map(entry, np.frombuffer(value or b"", "<u4").tolist())) for value in part.column(ids).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], [*part.schema.names, into])
 

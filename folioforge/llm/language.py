@@ -103,15 +103,16 @@ class Words:
         return np.concatenate([slots, np.bincount(np.repeat(self.script, self.length)[letter], minlength=SCRIPTS)])
 
 
-def portions(texts: list[str | None], most: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
-    """Runs of neighbouring texts of about ``most`` characters together, each with its first position."""
+def portions(column: pa.Array, most: int = 1 << 18) -> Iterator[tuple[int, list[str]]]:
+    """Runs of neighbouring texts of about ``most`` characters together, each with its first position; null is empty."""
     start, held, size = 0, [], 0
-    for i, text in enumerate(texts):
-        held.append(text or "")
-        size += len(text or "")
-        if size >= most:
-            yield start, held
-            start, held, size = i + 1, [], 0
+    for i in range(0, len(column), 64):
+        for text in column.slice(i, 64).to_pylist():
+            held.append(text or "")
+            size += len(held[-1])
+            if size >= most:
+                yield start, held
+                start, held, size = start + len(held), [], 0
     if held:
         yield start, held
 
@@ -126,7 +127,7 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang") -> tuple[
         total: dict[str, np.ndarray] = {}
         for batch in batches:
             langs = np.array(batch.column("lang").to_pylist(), object)
-            for start, texts in portions(batch.column("text").to_pylist()):
+            for start, texts in portions(batch.column("text")):
                 words = Words(texts)
                 for name in set(langs[start : start + len(texts)]):
                     counts = words.of_texts(langs[start : start + len(texts)] == name)
@@ -239,7 +240,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], ke
         langs, logs, scripts = shared.value
         name = [*langs, UNDETERMINED]
         for batch in batches:
-            for start, texts in portions(batch.column("text").to_pylist()):
+            for start, texts in portions(batch.column("text")):
                 found = list(label(texts, logs, scripts))
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -274,7 +275,7 @@ def identified(docs: DataFrame, least_score: float = 0.5) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, texts in portions(batch.column("text").to_pylist()):
+            for start, texts in portions(batch.column("text")):
                 keep = [i >= 0 and score >= least_score for i, score, _ in label(texts, *shared.value)]
                 yield batch.slice(start, len(texts)).filter(pa.array(keep, pa.bool_()))
 
