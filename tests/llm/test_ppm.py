@@ -83,6 +83,15 @@ def test_odd_rows(spark, odd_rows, monkeypatch):
     checked(odd_rows, found, order=ppm.model_of(ppm.counted(docs.where("crc32(cast(doc_id as string)) % 10 <> 0").select("text")))[0])
 
 
+def test_order_holds_at_every_size(spark, odd_rows, monkeypatch):
+    """Scores are those of the full order when few sequences, or none, may be broadcast, and contexts come in portions."""
+    docs = spark.createDataFrame(odd_rows, "doc_id long, text string")
+    for most in (120, 0):
+        monkeypatch.setattr(ppm, "MOST_ENTRIES", most)
+        monkeypatch.setattr(ppm, "ROWS_HELD", 1)
+        checked(odd_rows, ppm.scored_by_folds(docs))
+
+
 def test_probabilities_sum_to_one():
     text = [b"abracadabra", b"banana band"]
     gram = ppm.grams(*ppm.stream([[t] for t in text]))
