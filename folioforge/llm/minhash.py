@@ -8,8 +8,9 @@ more than CROWD members are split at the next minimum where that leaves smaller
 pairs; in larger ones every class proposes its neighbours in the sorted order, those with the longest common prefix.
 Regions with a large share of all classes go to a deeper prefix before they are sorted, and at full depth are dealt out
 in an order that differs from tree to tree. Proposed pairs are confirmed exactly, on full sets, and the links are
-joined into components. Crowded regions that hold several components are then searched for links between them in blocks
-(``crowd_links``), so that what the neighbours have missed is found as well.
+joined into components. Crowded regions of the base depth, split or not, that hold several components are then searched
+for links between them (``crowd_links``): the classes outside a region's largest component meet all of its classes, in
+blocks, so that what the neighbours have missed is found as well.
 
 Defined results: a text that is null or has no words has an empty set, is linked with nothing and is its own component.
 Fewer words than a shingle make one shingle of all words. Rows with one key are one node, whatever their texts. A row
@@ -111,7 +112,7 @@ def _signatures(column: pa.Array) -> np.ndarray:
 
 
 def region_rows(classes: DataFrame, depths: list[int]) -> DataFrame:
-    """For each class and tree: region (of the adaptive depth), label, tie, class, n."""
+    """For each class and tree: region (of the adaptive depth), whole (its region of the base depth), label, tie, class, n."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(depths), CELLS), np.int64)
@@ -133,7 +134,7 @@ def region_rows(classes: DataFrame, depths: list[int]) -> DataFrame:
             sig = _signatures(batch.column("sig"))
             own = np.frombuffer(b"".join(x[:8] for x in batch.column("class").to_pylist()), np.uint64)
             for tree in range(TREES):
-                region = _regions(sig, tree, depths[0])
+                region = whole = _regions(sig, tree, depths[0])
                 tie = mixed(own, 40 + tree)
                 for i, depth in enumerate(depths):
                     crowded = np.isin(CELLS * i + (_regions(sig, tree, depth) >> np.uint64(48)).astype(np.int64), large)
@@ -143,15 +144,16 @@ def region_rows(classes: DataFrame, depths: list[int]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(region.view(np.int64)),
+                        pa.array(whole.view(np.int64)),
                         pa.array([label[i : i + 4 * DEPTH] for i in range(0, len(label), 4 * DEPTH)], pa.binary()),
                         pa.array(tie.view(np.int64)),
                         batch.column("class"),
                         batch.column("n"),
                     ],
-                    ["region", "label", "tie", "class", "n"],
+                    ["region", "whole", "label", "tie", "class", "n"],
                 )
 
-    return classes.select("class", "n", "sig").mapInArrow(deal, "region long, label binary, tie long, class binary, n long")
+    return classes.select("class", "n", "sig").mapInArrow(deal, "region long, whole long, label binary, tie long, class binary, n long")
 
 
 def neighbours(region: np.ndarray, labels: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
@@ -182,7 +184,7 @@ def neighbours(region: np.ndarray, labels: np.ndarray, base: int) -> tuple[np.nd
 def proposed(rows: DataFrame, base: int, percent: int) -> DataFrame:
     """Distinct pairs a < b of classes that are neighbours in a tree and whose sizes allow a link.
 
-    Members of crowded regions, where not all pairs are proposed, come as a with the region and a null b.
+    Members of crowded or split regions, where not all pairs are proposed, come as a with the base region and a null b.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,14 +195,15 @@ def proposed(rows: DataFrame, base: int, percent: int) -> DataFrame:
             fits = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
             one, two = (table["class"].combine_chunks().take(pa.array(x[fits])).to_pylist() for x in (i, j))
             both = {(a, b) if a < b else (b, a) for a, b in zip(one, two, strict=True)}
-            regions, place, size = np.unique(table["region"].to_numpy(), return_inverse=True, return_counts=True)
-            crowd = np.flatnonzero(size[place] > CROWD)
+            region, whole = table["region"].to_numpy(), table["whole"].to_numpy()
+            _, place, size = np.unique(region, return_inverse=True, return_counts=True)
+            crowd = np.flatnonzero((size[place] > CROWD) | (region != whole))
             members = table["class"].combine_chunks().take(pa.array(crowd)).to_pylist()
             return pa.RecordBatch.from_pydict(
                 {
                     "a": pa.array([a for a, _ in both] + members, pa.binary()),
                     "b": pa.array([b for _, b in both] + [None] * len(members), pa.binary()),
-                    "region": pa.array([None] * len(both) + regions[place[crowd]].tolist(), pa.int64()),
+                    "region": pa.array([None] * len(both) + whole[crowd].tolist(), pa.int64()),
                 }
             )
 
@@ -259,28 +262,32 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def in_blocks(rows: DataFrame, sizes: DataFrame) -> DataFrame:
-    """rows (region, class, ...) dealt out so that any two of a region meet in one task: a key for each pair of blocks of BLOCK rows.
+    """rows (region, class, outside, ...) dealt out so that each row outside meets all rows of its region, in one task each.
 
-    sizes: region, members.
+    A key for each pair of a block of BLOCK rows outside (side 0) and a block of BLOCK rows of the region (side 1).
+    sizes: region, members, outsiders. Regions with very many rows are few and looked up by broadcast (see common.lookup).
     """
-    dealt = rows.join(sizes.select("region", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), "region")
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other"))
-    return dealt.withColumn("key", F.xxhash64("region", "one", "two")).drop("blocks", "other").repartition("key").sortWithinPartitions("key")
+    shape = sizes.select("region", "members", F.ceil(F.col("outsiders") / BLOCK).cast("int").alias("outer"), F.ceil(F.col("members") / BLOCK).cast("int").alias("inner"))
+    total = sizes.agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0]
+    dealt = lookup(rows, shape, "region", "members", hot_bound(total)).withColumn("own", F.xxhash64("class"))
+    one, two = F.pmod("own", F.col("outer")), F.pmod("own", F.col("inner"))
+    left = dealt.where("outside").withColumn("side", F.lit(0)).withColumn("one", one).withColumn("two", F.explode(F.expr("sequence(0L, inner - 1L)")))
+    right = dealt.withColumn("side", F.lit(1)).withColumn("one", F.explode(F.expr("sequence(0L, outer - 1L)"))).withColumn("two", two)
+    both = left.unionByName(right).withColumn("key", F.xxhash64("region", "one", "two"))
+    return both.drop("outer", "inner", "one", "two").repartition("key").sortWithinPartitions("key")
 
 
 def _alike(part: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of different components in the two blocks whose sizes and signatures leave room for a link."""
+    """Pairs of rows of different components, one outside and any other, whose sizes and signatures leave room for a link."""
     sig, n = _signatures(part["sig"]), part["n"].to_numpy()
-    component, block = part["component"].to_numpy(), part["block"].to_numpy()
-    one, two = part["one"][0].as_py(), part["two"][0].as_py()
-    left, right = np.flatnonzero(block == one), np.flatnonzero(block == two)
+    component, side, own, outside = (part[c].to_numpy() for c in ("component", "side", "own", "outside"))
+    right = np.flatnonzero(side == 1)
     share = percent / 100
     enough = TREES * DEPTH * share - 6 * np.sqrt(TREES * DEPTH * share * (1 - share))
     found = []
-    for i in left:
-        later = right[right > i] if one == two else right
-        fits = later[(component[later] != component[i]) & (100 * np.minimum(n[later], n[i]) >= percent * np.maximum(n[later], n[i]))]
+    for i in np.flatnonzero(side == 0):
+        once = ~outside[right] | (own[right] >= own[i])  # two rows outside meet twice
+        fits = right[once & (component[right] != component[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
         fits = fits[(sig[fits] == sig[i]).sum(1) >= enough]
         found.append(np.stack([np.full(len(fits), i), fits]))
     return tuple(np.concatenate(found, 1)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
@@ -289,25 +296,30 @@ def _alike(part: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
 def crowd_links(crowd: DataFrame, known: DataFrame, docs: DataFrame, percent: int, size: int) -> DataFrame:
     """one and two: components that a link joins which the proposals have missed, found exactly inside crowded regions.
 
-    crowd: region, class; known: class, rep, n, sig, component. Members of a region that aren't all of one component are
-    compared by signature, block by block; only those that may link across components have their sets compared. Links
-    inside a component change nothing and are passed over.
+    crowd: region, class; known: class, rep, n, sig, component. Where a region's members aren't all of one component, those
+    outside its largest component are compared with all of them by signature, block by block; only those that may link
+    across components have their sets compared. Links inside a component change nothing and are passed over.
     """
     members = crowd.join(known.select("class", "component"), "class")
-    mixed = stored(members.groupBy("region").agg(F.count("*").alias("members"), F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("region", "members"))
-    rows = in_blocks(members.join(known.select("class", "n", "sig"), "class"), mixed).select("key", "region", "class", "component", "n", "sig", "block", "one", "two")
+    parts = members.groupBy("region", "component").agg(F.count("*").alias("n"))
+    regions = parts.groupBy("region").agg(F.sum("n").alias("members"), F.max_by("component", F.struct("n", "component")).alias("largest"), F.max("n").alias("most")).where("members > most")
+    mixed = stored(regions.select("region", "members", "largest", (F.col("members") - F.col("most")).alias("outsiders")))
+    told = mixed.select("region", "largest", "members")
+    total = mixed.agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0]
+    placed = stored(lookup(members, told, "region", "members", hot_bound(total)).select("region", "class", (F.col("component") != F.col("largest")).alias("outside")))
+    rows = in_blocks(placed.join(known.select("class", "component", "n", "sig"), "class"), mixed)
 
     def open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in key_groups(batches):
             at = np.unique(np.concatenate(_alike(part, percent)))
-            yield from part.select(["region", "class"]).take(pa.array(at)).combine_chunks().to_batches()
+            yield from part.select(["region", "class", "outside"]).take(pa.array(at)).combine_chunks().to_batches()
 
-    needed = stored(rows.mapInArrow(open_pairs, "region long, class binary").distinct())
+    needed = stored(rows.mapInArrow(open_pairs, "region long, class binary, outside boolean").distinct())
     wanted = needed.select("class").distinct()
     ids = known.select("class", F.col("rep").alias("id")).join(wanted, "class", "left_semi")
     sets = stored(wanted_sets(docs, ids, size).join(wanted, "class", "left_semi").dropDuplicates(["class"]))
     left = needed.join(known.select("class", "component", "n", "sig"), "class").join(sets, "class")
-    sizes = needed.groupBy("region").agg(F.count("*").alias("members"))
+    sizes = needed.groupBy("region").agg(F.count("*").alias("members"), F.count_if("outside").alias("outsiders"))
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in key_groups(batches):
@@ -322,8 +334,7 @@ def crowd_links(crowd: DataFrame, known: DataFrame, docs: DataFrame, percent: in
                         joined.add(pair)
             yield pa.RecordBatch.from_pydict({"one": pa.array([a for a, _ in joined], pa.int64()), "two": pa.array([b for _, b in joined], pa.int64())})
 
-    dealt = in_blocks(left, sizes).select("key", "component", "n", "sig", "set", "block", "one", "two")
-    return dealt.mapInArrow(link, "one long, two long").distinct()
+    return in_blocks(left, sizes).mapInArrow(link, "one long, two long").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -79,6 +79,27 @@ def test_large_regions_go_deeper(spark, odd_rows, monkeypatch):
     assert rows_of(minhash.near_duplicates(docs, 80)) == expected(odd_rows, 80)
 
 
+def test_single_bridges_to_split_regions(spark, monkeypatch):
+    """Documents with one link, to one member of a region that is split into parts, join its component."""
+    monkeypatch.setattr(minhash, "hot_bound", lambda *_: 60)
+    monkeypatch.setattr(minhash, "SALTS", 4096)
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    dice = random.Random(5)
+    base = [f"b{n}" for n in range(200)]
+    rows = []
+    for i in range(150):
+        copy = list(base)
+        for at in dice.sample(range(150), 2):
+            copy[at] = f"c{i}"
+        rows.append((i, " ".join(copy)))
+    for i in range(8):  # near the end of one copy, three more words differ
+        copy = rows[i][1].split()
+        copy[155] = copy[165] = copy[175] = f"d{i}"
+        rows.append((1000 + i, " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert rows_of(minhash.near_duplicates(docs, 85)) == expected(rows, 85)
+
+
 def test_components(spark):
     dice = random.Random(3)
     links = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 160)] + [(dice.randrange(200, 300), dice.randrange(200, 300)) for _ in range(70)] + [(5, 5), (7, None)]
