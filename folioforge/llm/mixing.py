@@ -3,7 +3,9 @@
 The mix is a sequence of slots of equally many words. The golden-ratio point of a slot, mapped through the cumulative
 targets, names its source, and the slot's rank among those of the source names a block: the words
 [rank * block, (rank + 1) * block) of the source's documents, which are laid end to end in a shuffled order, again and
-again, at most ``most`` times. Joining slots with blocks gives the pieces of documents that make up the mix.
+again, at most ``most`` times. Joining slots with blocks gives the pieces of documents that make up the mix. Where the
+mix is ``closed``, each source takes its target in whole words: its last slots are trimmed, or what it lacks is taken in
+blocks after the last slot, so that small sources reach their targets whatever the length of a block.
 
 Targets: sources in order (by code point, null last) weigh the given weights, repeating, and share all words; a target
 stops at ``most`` times the size of its source, and the excess is shared out by weight until none is above.
@@ -79,17 +81,20 @@ def laid_out(docs: DataFrame, tie: Sequence[str]) -> DataFrame:
     return inside.join(before, ["mix_key", "mix_chunk"]).withColumn("mix_start", F.col("mix_before") + F.col("mix_inside")).drop("mix_before", "mix_inside", "mix_hash")
 
 
-def pieces(layout: DataFrame, slots: DataFrame, sources: DataFrame, block: int) -> DataFrame:
-    """mix_slot, mix_key, mix_chunk, mix_row, mix_pass, first and last: the words of documents, from 0, that each slot takes."""
+def pieces(layout: DataFrame, slots: DataFrame, sources: DataFrame, block: int, count: int) -> DataFrame:
+    """mix_slot, mix_key, mix_chunk, mix_row, mix_pass, first and last: the words of documents, from 0, that each slot takes.
+
+    Scheduled words beyond the slots of a source have slot ``count``, the one after the last.
+    """
     docs = layout.where("size > 0").select("mix_key", "mix_chunk", "mix_row", "mix_start", "size").join(F.broadcast(sources.select("mix_key", "source_size", "scheduled")), "mix_key")
     docs = docs.withColumn("mix_pass", F.explode(F.expr("sequence(0L, (scheduled - 1) div source_size)"))).withColumn("at", F.col("mix_pass") * F.col("source_size") + F.col("mix_start")).where("at < scheduled")
     docs = docs.withColumn("mix_rank", F.explode(F.expr(f"sequence(at div {block}, (least(at + size, scheduled) - 1) div {block})")))
     first = F.greatest(F.col("mix_rank") * block - F.col("at"), F.lit(0))
     last = F.least(F.expr(f"(mix_rank + 1) * {block}"), F.col("at") + F.col("size"), F.col("scheduled")) - F.col("at")
-    return docs.join(slots, ["mix_key", "mix_rank"]).select("mix_slot", "mix_key", "mix_chunk", "mix_row", "mix_pass", first.alias("first"), last.alias("last"))
+    return docs.join(slots, ["mix_key", "mix_rank"], "left").select(F.coalesce("mix_slot", F.lit(count).cast("long")).alias("mix_slot"), "mix_key", "mix_chunk", "mix_row", "mix_pass", first.alias("first"), last.alias("last"))
 
 
-def taken_words(docs: DataFrame, tie: Sequence[str], weights: Sequence[float] = (5, 2, 1), most: int = 3) -> tuple[DataFrame, DataFrame]:
+def taken_words(docs: DataFrame, tie: Sequence[str], weights: Sequence[float] = (5, 2, 1), most: int = 3, closed: bool = False) -> tuple[DataFrame, DataFrame]:
     """docs (with size and source) plus source_size, target, taken and mix_key/chunk/row; and the pieces that make up the mix.
 
     tie: the columns that order the documents of a source after shuffling; rows that agree in all of them are alike.
@@ -106,10 +111,11 @@ def taken_words(docs: DataFrame, tie: Sequence[str], weights: Sequence[float] =
     shares = shares.withColumn("high", F.when(F.col("high") >= 1, F.lit(1.5)).otherwise(F.col("high")))
     plan = stored(schedule(shares.select("mix_key", "low", "high"), slots))
     given = plan.groupBy("mix_key").agg((F.count("*") * block).alias("given"))
-    scheduled = F.least(F.coalesce("given", F.lit(0)), most * F.col("source_size"))
+    wanted = F.ceil(F.round("target", 6)).cast("long") if closed else F.coalesce("given", F.lit(0))
+    scheduled = F.least(wanted, most * F.col("source_size"))
     sources = sources.join(F.broadcast(given), "mix_key", "left").withColumn("scheduled", scheduled)
     layout = laid_out(docs, tie)
-    parts = pieces(layout, plan, sources, block)
+    parts = pieces(layout, plan, sources, block, slots)
     taken = parts.groupBy("mix_key", "mix_chunk", "mix_row").agg(F.sum(F.col("last") - F.col("first")).alias("taken"), F.sum(F.when(F.col("first") == 0, 1).otherwise(0)).alias("mix_copies"))
     full = layout.join(taken, ["mix_key", "mix_chunk", "mix_row"], "left").join(F.broadcast(sources.select("mix_key", "source_size", "target")), "mix_key")
     return full.withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long")).withColumn("mix_copies", F.coalesce("mix_copies", F.lit(0))), parts
@@ -118,11 +124,11 @@ def taken_words(docs: DataFrame, tie: Sequence[str], weights: Sequence[float] =
 def mix_report(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target and taken of every document."""
     sized = stored(docs.select("doc_id", word_count(F.col("text")).alias("size"), F.col("source").cast("string").alias("source")))
-    return taken_words(sized, ["doc_id", "size"])[0].select("doc_id", "size", "source_size", "target", "taken")
+    return taken_words(sized, ["doc_id", "size"], closed=True)[0].select("doc_id", "size", "source_size", "target", "taken")
 
 
 def mixed(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: int = 3) -> DataFrame:
     """The mix as documents with unchanged columns: a row for each time that a document's first word is taken."""
     inner = docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), F.struct(*docs.columns).alias("mix_doc"), F.xxhash64("text").alias("mix_text"))
-    rows, _ = taken_words(stored(inner), ["doc_id", "size", "mix_text"], weights, most)
+    rows, _ = taken_words(stored(inner), ["doc_id", "size", "mix_text"], weights, most, closed=True)
     return rows.where("mix_copies > 0").select("mix_doc", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))).alias("mix_copy")).select("mix_doc.*")

@@ -79,6 +79,16 @@ def test_pieces_follow_the_schedule(spark):
     assert parts.agg(F.sum(F.col("last") - F.col("first"))).first()[0] == sum(expected.values())
 
 
+def test_small_sources_reach_their_targets(spark, monkeypatch):
+    """With blocks that are longer than a source's target, as in a large corpus."""
+    monkeypatch.setattr(mixing, "SHORTEST", 4096)
+    rows = [(i, "w " * 2000, "ab"[i % 2]) for i in range(40)] + [(100, "x " * 300, None), (101, "y " * 7, "tiny")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    _, taken, target = by_source(report(docs).join(docs.select("doc_id", "source"), "doc_id").collect())
+    assert all(abs(taken[s] - target[s]) <= 1 for s in target) and min(taken.values()) > 0
+    assert {100, 101} <= {r.doc_id for r in mixing.mixed(docs).collect()}
+
+
 def test_odd_rows(spark):
     rows = [(1, None, "a"), (2, "", None), (3, "x " * 90000, "a"), (None, "y y y", "é"), (4, "z", "Z"), (4, "z", "Z"), (5, None, "empty")] + [(6, "same words here", "z")] * 4
     docs = spark.createDataFrame([(*r, 1, 2.0, "k") for r in rows], "doc_id long, text string, source string, size int, target double, mix_key string")
