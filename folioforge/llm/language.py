@@ -209,18 +209,18 @@ def best_path(scores: np.ndarray) -> np.ndarray:
     return path
 
 
-def label(texts: list[str], logs: np.ndarray, scripts: np.ndarray) -> Iterator[tuple[int, float, list[tuple[int, int, int]]]]:
-    """For each text: language (-1: none), score, spans (start, end, language) in code points."""
+def label(texts: list[str], logs: np.ndarray, scripts: np.ndarray) -> Iterator[tuple[int, float, list[tuple[int, int, int]], float]]:
+    """For each text: language (-1: none), score, spans (start, end, language) in code points, share of letters in learned scripts."""
     words = Words(texts)
     if not len(logs) or not len(words.first):
-        yield from ((-1, 0.0, []) for _ in texts)
+        yield from ((-1, 0.0, [], 0.0) for _ in texts)
         return
     scores = word_scores(words, logs, scripts)
     bounds = np.searchsorted(words.text, np.arange(len(texts) + 1))
     for i in range(len(texts)):
         a, b = bounds[i], bounds[i + 1]
         if a == b:
-            yield -1, 0.0, []
+            yield -1, 0.0, [], 0.0
             continue
         constant = constant_path(scores[a:b])
         path = np.full(b - a, constant) if constant >= 0 else best_path(scores[a:b])
@@ -228,7 +228,8 @@ def label(texts: list[str], logs: np.ndarray, scripts: np.ndarray) -> Iterator[t
         best = int(letters.argmax())
         cut = np.concatenate(([0], np.flatnonzero(np.diff(path)) + 1, [b - a]))
         start, length = words.start[a:b] - words.offset[i], words.length[a:b]
-        yield best, float(letters[best] / letters.sum()), [(int(start[x]), int(start[y - 1] + length[y - 1]), int(path[x])) for x, y in zip(cut[:-1], cut[1:], strict=True)]
+        explained = words.length[a:b][scripts.any(0)[words.script[a:b]]].sum() / letters.sum()
+        yield best, float(letters[best] / letters.sum()), [(int(start[x]), int(start[y - 1] + length[y - 1]), int(path[x])) for x, y in zip(cut[:-1], cut[1:], strict=True)], float(explained)
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -245,9 +246,9 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], ke
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("key").slice(start, len(texts)),
-                        pa.array([name[i] for i, _, _ in found], pa.string()),
-                        pa.array([score for _, score, _ in found], pa.float64()),
-                        pa.array([[{"start": a, "end": b, "lang": name[i]} for a, b, i in spans] for _, _, spans in found], span),
+                        pa.array([name[i] for i, *_ in found], pa.string()),
+                        pa.array([score for _, score, *_ in found], pa.float64()),
+                        pa.array([[{"start": a, "end": b, "lang": name[i]} for a, b, i in spans] for _, _, spans, _ in found], span),
                     ],
                     [key, "lang_pred", "score", "spans"],
                 )
@@ -268,15 +269,15 @@ def identify(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "spans")
 
 
-def identified(docs: DataFrame, least_score: float = 0.5) -> DataFrame:
-    """The rows of docs, columns unchanged, whose language is found with at least ``least_score``."""
+def identified(docs: DataFrame, least_explained: float = 0.5) -> DataFrame:
+    """The rows of docs, columns unchanged, with at least this share of letters in scripts of learned languages, in however many languages."""
     langs, logs, scripts = learn(docs.where(~held_out()))
     shared = docs.sparkSession.sparkContext.broadcast((logs, scripts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, texts in portions(batch.column("text")):
-                keep = [i >= 0 and score >= least_score for i, score, _ in label(texts, *shared.value)]
+                keep = [i >= 0 and explained >= least_explained for i, _, _, explained in label(texts, *shared.value)]
                 yield batch.slice(start, len(texts)).filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -52,6 +52,14 @@ def test_mixed_text_and_odd_rows(spark):
     assert kept.columns == [*docs.columns, "lang"]
 
 
+def test_even_mixtures_stay(spark):
+    """A text in three languages, none with half of its letters, is kept; one in a script that wasn't learned isn't."""
+    parts = {"en": "the cat and the dog were on the street with them ", "de": "der Hund und die Katze waren auf der Strasse ", "ru": "Привет мир это простой текст "}
+    rows = [(i, t * 5, lang) for i, (lang, t) in enumerate([*parts.items()] * 6)]
+    docs = spark.createDataFrame([*rows, (100, "".join(t * 3 for t in parts.values()), "en"), (None, "漢字" * 9, None)], "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in language.identified(docs).collect()) == [*range(18), 100]
+
+
 def test_nothing_learned(spark):
     docs = spark.createDataFrame([(None, "some text", "en")], "doc_id long, text string, lang string")
     assert [(r.held_out, r.lang_pred, r.score) for r in language.identify(docs).collect()] == [(True, "und", 0.0)]
