@@ -66,11 +66,10 @@ def test_links_of_odd_rows(spark, odd_vectors, monkeypatch):
 
 def expected_top(rows, every, k=5):
     parts = [(a, [math.floor(256 * float(x)) for x in v]) for a, v, *_ in rows if a is not None and fit(v)]
-    parts = [(a, v) for a, v in parts if all(abs(x) <= 2**31 for x in v)]
     out = []
     for a, v in {(a, tuple(v)) for a, v in parts if a % every == 0}:
-        scores = sorted((-sum(x * y for x, y in zip(v, w, strict=True)), b) for b, w in parts if b != a and len(w) == len(v))
-        out += [(a, rank, b, -s) for rank, (s, b) in enumerate(scores[:k], 1)]
+        scores = sorted((-max(min(sum(x * y for x, y in zip(v, w, strict=True)), 2**63 - 1), -(2**63)), b) for b, w in parts if b != a and len(w) == len(v))
+        out += [(a, rank, b, min(-s, 2**63 - 1)) for rank, (s, b) in enumerate(scores[:k], 1)]
     return sorted(out)
 
 
@@ -82,12 +81,30 @@ def test_top_of_the_whole_table(spark):
 
 
 def test_top_of_odd_rows(spark, odd_vectors):
-    rows = [*odd_vectors, (300, [2.5e6] * 16, 0), (301, [2.4e6] * 16, 0), (302, [-3.0] * 16, 0), (310, [1e30] * 16, 0), (400, [1.0, 2.0], 0), (401, [1.0, -2.0], 0)]
+    rows = [*odd_vectors, (300, [2.5e6] * 16, 0), (301, [2.4e6] * 16, 0), (302, [-3.0] * 16, 0), (310, [1e30] * 16, 0), (400, [1.0, 2.0], 0), (401, [1.0, -2.0], 0), (402, [1e8, 1.0], 0), (403, [2.0**60, -(2.0**60)], 0), (404, [3e38, 1e-3], 0)]
     df = spark.createDataFrame([(*r, 1, "x") for r in rows], SCHEMA)
     assert sorted(map(tuple, inner_products.top_k(df, "vec_id % 10 = 0").collect())) == expected_top(rows, 10)
     assert inner_products.top_k(df.limit(0), "vec_id % 10 = 0").collect() == []
 
 
+def test_large_components(spark):
+    rows = [(1, [1.0, 2.0]), (2, [1e8, 1.0]), (3, [0.5, 0.5]), (4, [-1e300, 1e300]), (5, [1e308, 1e308]), (10, [1e9, -1e9]), (20, [0.0, 0.0]), (30, [1e200, 3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in inner_products.top_k(df, "vec_id % 10 = 0 or vec_id = 1").collect()}
+    assert found[1, 1] == (4, 2**63 - 1) and found[1, 2] == (5, 2**63 - 1) and found[1, 3] == (30, 2**63 - 1) and found[1, 4] == (2, 256 * 25_600_000_000 + 512 * 256)
+    assert len([q for q, _ in found if q == 20]) == 5 and found[20, 1] == (1, 0)
+
+
+def test_blocks_of_other_lengths(spark, monkeypatch):
+    dice = np.random.default_rng(6)
+    rows = [(i, (dice.standard_normal(8) * 2.0 ** dice.integers(-6, 6)).tolist()) for i in range(1500)]
+    monkeypatch.setattr(inner_products, "BLOCK_BYTES", 64)
+    monkeypatch.setattr(inner_products, "PIECE", 40)
+    monkeypatch.setattr(inner_products, "LONGEST", 20)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, inner_products.top_k(df, "vec_id % 50 = 0").collect())) == expected_top(rows, 50)
+
+
 def test_pruning_keeps_the_best():
     dice = np.random.default_rng(8)
     c = np.floor(dice.standard_normal((3000, 12)) * np.geomspace(300, 3, 12) * dice.exponential(1, (3000, 1)))
