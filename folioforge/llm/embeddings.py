@@ -3,7 +3,7 @@
 Vectors are compared with others of the same label and dimension. Equal vectors form a class, counted once. A table
 hashes a vector to the signs of its products with ``bits`` random hyperplanes; there are as many tables as a pair at the
 threshold needs to meet in one of them but for MISSED. Vectors of one bucket are compared exactly, in double precision.
-A pair counts in the first table where it meets, so links are counted without writing out the pairs of a group; a bucket
+Vectors travel packed, as they were given. A pair counts in the first table where it meets, so links are counted without writing out the pairs of a group; a bucket
 passes on each vector's number of links and the root of its part of the bucket, which joins into components.
 
 Defined results: a vector that is null, zero, or holds null or non-finite components, or has a null label or id, is
@@ -24,11 +24,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioforge.llm.common import hot_bound, lookup, stored
 from folioforge.llm.components import components
 
-BLOCK, BUCKET, MISSED, MOST_BITS = 1024, 48, 1e-6, 24
+BLOCK, BUCKET, MISSED, MOST_BITS = 1024, 256, 1e-6, 24
+#: Room for rounding where products of whole blocks are compared with the threshold, before the exact comparison.
+SLACK = 1e-9
 
 
 def usable(vector: Column) -> Column:
@@ -46,39 +49,56 @@ def hyperplanes(dim: int, bits: int, tables: int) -> np.ndarray:
     return np.random.default_rng([dim, bits, tables]).standard_normal((dim, bits * tables))
 
 
-def hashed(classes: DataFrame, bits: int, tables: int) -> DataFrame:
-    """classes with codes: the bucket of each table."""
+def _rows_of(column: pa.Array | pa.ChunkedArray, kind: str) -> np.ndarray:
+    """Binaries of one length as the rows of a matrix, without a Python object a row."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(kind).reshape(len(column), -1)
+
+
+def hashed(classes: DataFrame, bits: int, tables: int, kind: str) -> DataFrame:
+    """classes with codes (the bucket of each table), code_bytes (the same, packed) and the vector packed as ``kind``."""
+    small = "u1" if bits <= 8 else "<u2" if bits <= 16 else "<u4"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
         weights = 1 << np.arange(bits)
         for batch in batches:
-            codes = []
-            for vector in batch.column("vector").to_pylist():
-                x = np.array(vector)
-                if len(x) not in planes:
-                    planes[len(x)] = hyperplanes(len(x), bits, tables)
-                codes.append(((x @ planes[len(x)]).reshape(tables, bits) >= 0) @ weights)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c.tolist() for c in codes], pa.list_(pa.int32()))], [*batch.schema.names, "codes"])
-
-    return classes.mapInArrow(run, "class string, label int, rep long, copies long, vector array<double>, codes array<int>")
+            ends = batch.column("vector").offsets.to_numpy()
+            values = batch.column("vector").flatten().to_numpy()
+            dims = np.diff(ends)
+            codes = np.zeros((len(batch), tables), np.int32)
+            packed: list[bytes] = [b""] * len(batch)
+            for dim in np.unique(dims).tolist():
+                at = np.flatnonzero(dims == dim)
+                x = values[(ends[at] - ends[0])[:, None] + np.arange(dim)]
+                if dim not in planes:
+                    planes[dim] = hyperplanes(dim, bits, tables)
+                codes[at] = ((x @ planes[dim]).reshape(len(at), tables, bits) >= 0) @ weights
+                for i, row in zip(at.tolist(), x.astype(kind), strict=True):
+                    packed[i] = row.tobytes()
+            each = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1) * tables, pa.int32()), pa.array(codes.ravel()))
+            columns = [*(batch.column(c) for c in ("class", "label", "rep", "copies")), pa.array(dims.astype(np.int32)), pa.array(packed, pa.binary()), each, pa.array([c.tobytes() for c in codes.astype(small)], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["class", "label", "rep", "copies", "dim", "vector", "codes", "code_bytes"])
+
+    return classes.mapInArrow(run, "class string, label int, rep long, copies long, dim int, vector binary, codes array<int>, code_bytes binary")
 
 
 def _joined(table: int, x: np.ndarray, y: np.ndarray, norms: tuple, codes: tuple, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Positions of linked pairs that meet in no earlier table."""
-    i, j = np.nonzero(x @ y.T >= least * np.outer(*norms))
+    i, j = np.nonzero(x @ y.T >= (least - SLACK) * np.outer(*norms))
     near = (x[i] * y[j]).sum(1) / (norms[0][i] * norms[1][j]) >= least
     first = ~(codes[0][i, :table] == codes[1][j, :table]).any(1) if table else np.ones(len(i), bool)
     return i[near & first], j[near & first]
 
 
-def compared(rows: DataFrame, least: float) -> DataFrame:
+def compared(rows: DataFrame, least: float, kind: str) -> DataFrame:
     """class, links, rep, root: what each bucket (or pair of blocks) adds to each of its vectors."""
 
     def bucket(table: int, part: pa.Table) -> pa.Table | None:
         n = len(part)
-        x = np.array(part["vector"].to_pylist())
-        codes, copies, block = np.array(part["codes"].to_pylist()), part["copies"].to_numpy(), part["block"].to_numpy()
+        x = _rows_of(part["vector"], kind).astype(np.float64)
+        codes, copies, block = _rows_of(part["code_bytes"], f"<u{len(part['code_bytes'][0].as_py()) // part['tables'][0].as_py()}"), part["copies"].to_numpy(), part["block"].to_numpy()
         norm = np.sqrt((x * x).sum(1))
         one, two = part["one"][0].as_py(), part["two"][0].as_py()
         links, root = np.zeros(n, np.int64), np.arange(n)
@@ -154,16 +174,18 @@ def near_vectors(vectors: DataFrame, least: float = 0.93) -> DataFrame:
     largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 1
     bits = min(MOST_BITS, max(3, round(log2(max(largest / BUCKET, 1)))))
     tables = tables_for(bits, least)
-    coded = stored(hashed(classes.select("class", "label", "rep", "copies", "vector"), bits, tables))
-    buckets = coded.select("*", F.posexplode("codes").alias("table", "code")).withColumn("bucket", F.xxhash64("label", F.size("vector"), "table", "code")).drop("code", "label")
+    # vectors travel as they were given: floats are doubles without loss
+    kind = "<f4" if isinstance(vectors.schema["embedding"].dataType.elementType, T.FloatType) else "<f8"
+    coded = stored(hashed(classes.select("class", "label", "rep", "copies", "vector"), bits, tables, kind))
+    buckets = coded.select("*", F.posexplode("codes").alias("table", "code")).withColumn("bucket", F.xxhash64("label", "dim", "table", "code")).drop("code", "codes", "label")
     # few buckets can hold a large share of the rows: they are cut into blocks
     bound = hot_bound(classes.count() * tables, 4096, BLOCK)
     large = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > bound).select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     dealt = buckets.join(F.broadcast(large), "bucket", "left").withColumn("block", F.when(F.col("blocks").isNotNull(), F.pmod(F.xxhash64("class"), F.col("blocks"))).otherwise(0).cast("int"))
     pairs = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = dealt.withColumn("other", F.explode(pairs)).withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other"))
-    dealt = dealt.withColumn("key", F.xxhash64("bucket", "one", "two")).select("key", "table", "class", "rep", "copies", "vector", "codes", "block", "one", "two")
-    found = stored(compared(dealt.repartition("key").sortWithinPartitions("key"), least))
+    dealt = dealt.withColumn("key", F.xxhash64("bucket", "one", "two")).select("key", "table", F.lit(tables).alias("tables"), "class", "rep", "copies", "vector", "code_bytes", "block", "one", "two")
+    found = stored(compared(dealt.repartition("key").sortWithinPartitions("key"), least, kind))
     joined = components(found.select("rep", "root"), "rep", "root")
     links = found.groupBy("class").agg(F.sum("links").alias("links"))
     told = classes.select("class", "rep", "copies").join(links, "class", "left").join(joined, F.col("rep") == F.col("node"), "left")
