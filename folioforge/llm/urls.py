@@ -9,8 +9,12 @@ among its labelled ones, smoothed towards the same template on all hosts, which
 URLs with a purity above ``reject`` are blocked. Labels are the rules' own verdicts, or any given column.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path. Equal URLs get equal verdicts; rows are
-never merged, and other columns are not read. Without labels every template is allowed. Levels below MOST_LEVELS count
-as one. Nodes with a large share of the rows are few and looked up by broadcast (see common.lookup).
+never merged, and other columns are not read. Without labels every template is allowed.
+
+Scale: the tree is as deep as the paths. A node with one URL is a leaf at once, and what all URLs of a node have in common
+is passed in one step, so the rounds follow the number of branchings on a path. A node has at most MANY_CHILDREN literal
+children that aren't generalised, each with at most 64 shapes of what follows, so comparing siblings holds few rows a node.
+Nodes and branches with a large share of the rows are few and looked up by broadcast (see common.lookup).
 """
 
 from __future__ import annotations
@@ -24,7 +28,9 @@ from folioforge.llm.common import hot_bound, lookup, lower_ascii, stored
 
 #: Fixed values of the registered query: rule and verdict.
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
-MOST_LEVELS, MANY_CHILDREN, RARE_CHILD = 4, 20, 0.05
+MANY_CHILDREN, RARE_CHILD = 20, 0.05
+#: Segments that a shape of what follows a branch looks at.
+SHAPE = 3
 SIMILAR, FREQUENT_SHAPE, NOISE, WEIGHT, REJECT = 0.2, 0.1, 2.0, 4.0, 0.6
 _PARTS = r"^(?s).*?://([^/?#]*)([^?#]*)"
 
@@ -55,63 +61,101 @@ def _looked_up(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataF
     return lookup(rows, table, key, "rows", hot_bound(total))
 
 
+def _joined(segments: Column) -> Column:
+    """Segments, generalised where they hold a digit, each with the slash after it."""
+    return F.array_join(F.transform(segments, lambda x: F.concat(F.when(x.rlike("[0-9]"), wildcard(x)).otherwise(x), F.lit("/"))), "")
+
+
+def passed_over(rows: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
+    """Rows that are done, and those still open with what their node's rows have in common moved to the template.
+
+    A row is done when nothing is left of its path, or when it is the only one of its node.
+    """
+    open_rows = rows.where(F.size("left") > 0)
+    spread = open_rows.groupBy("template").agg(F.count("*").alias("rows"), F.min("left").alias("first"), F.max("left").alias("last"))
+    # arrays sort by their first difference, so all share what the first and the last share
+    same = F.zip_with("first", "last", lambda a, b: F.coalesce(a == b, F.lit(False)))
+    common = F.when(F.array_position(same, False) > 0, F.array_position(same, False) - 1).otherwise(F.size("first"))
+    looked = _looked_up(open_rows, spread.select("template", "rows", F.col("rows").alias("in_node"), common.cast("int").alias("common")), "template", total)
+    ahead = F.when(F.col("in_node") == 1, F.size("left")).otherwise(F.col("common"))
+    moved = looked.withColumn("ahead", ahead).withColumn("template", F.concat("template", _joined(F.slice("left", F.lit(1), F.col("ahead")))))
+    moved = moved.withColumn("left", F.slice("left", F.col("ahead") + 1, F.size("left") + 1)).select(rows.columns)
+    moved = stored(moved)
+    return rows.where(F.size("left") == 0).unionByName(moved.where(F.size("left") == 0)), moved.where(F.size("left") > 0)
+
+
+def one_level(rows: DataFrame, total: int) -> DataFrame:
+    """Rows with something left of their path, moved on by one segment."""
+    segment = F.element_at("left", 1)
+    variable = segment.rlike("[0-9]")
+    letter = lambda s: F.when(~s.rlike("[0-9]"), "a").when(s.rlike(r"\.[A-Za-z]{1,5}$"), ".").otherwise("*")
+    shape = F.array_join(F.transform(F.slice("left", 2, SHAPE), letter), "")
+    here = rows.withColumn("segment", F.when(variable, wildcard(segment)).otherwise(segment)).withColumn("variable", variable)
+    labelled, blocked = F.sum(F.when(F.col("bad").isNotNull(), F.col("n")).otherwise(0)), F.sum(F.coalesce("bad", F.lit(0)) * F.col("n"))
+    by_shape = here.groupBy("template", "segment", "variable", shape.alias("shape")).agg(F.sum("n").alias("n"), F.count("*").alias("rows"), labelled.alias("labelled"), blocked.alias("blocked"))
+    # branches of all nodes; at most 64 shapes each
+    branches = by_shape.groupBy("template", "segment", "variable").agg(*[F.sum(c).alias(c) for c in ("n", "rows", "labelled", "blocked")], F.collect_list(F.struct("shape", F.col("n").alias("k"))).alias("shapes"))
+    branches = stored(branches)
+    # 1. rare ones among very many children are variable too
+    nodes = branches.groupBy("template").agg(F.count("*").alias("children"), F.sum("n").alias("in_node"))
+    crowded = nodes.where(F.col("children") >= MANY_CHILDREN)
+    branches = _looked_up_left(branches, crowded, "template", "children", branches.count())
+    rare = F.coalesce(F.col("n") < RARE_CHILD * F.col("in_node"), F.lit(False))
+    branches = branches.withColumn("general", F.when(F.col("variable"), F.col("segment")).when(rare, wildcard(F.col("segment"))).otherwise(F.col("segment")))
+    # 2. literal siblings that behave alike: those with the same frequent shapes of what follows them are compared
+    literal = branches.where(~F.col("variable") & ~rare)
+    kind = F.array_sort(F.transform(F.filter("shapes", lambda s: s["k"] >= FREQUENT_SHAPE * F.col("n")), lambda s: s["shape"]))
+    literal = literal.withColumn("kind", F.array_join(kind, ","))
+    siblings = literal.groupBy("template", "kind").agg(
+        F.collect_list(F.struct("segment", "n", "labelled", "blocked", "shapes")).alias("each"), F.flatten(F.collect_list("shapes")).alias("pool"), *[F.sum(c).alias(f"kind_{c}") for c in ("n", "labelled", "blocked")]
+    ).where(F.size("each") > 1)
+
+    def shared(shapes: Column, n: Column) -> Column:
+        in_pool = lambda s: F.aggregate(F.filter("pool", lambda p: p["shape"] == s["shape"]), F.lit(0).cast("long"), lambda t, p: t + p["k"]) / F.col("kind_n")
+        return F.aggregate(shapes, F.lit(0.0), lambda t, s: t + F.least(s["k"] / n, in_pool(s)))
+
+    x = F.col("x")
+    rate, rate_all = x["blocked"] / F.greatest(x["labelled"], F.lit(1)), F.col("kind_blocked") / F.greatest("kind_labelled", F.lit(1))
+    alike = (1 - F.col("overlap") <= SIMILAR + F.sqrt(F.size(x["shapes"]) / x["n"]) / 2) & (
+        (x["labelled"] == 0) | (F.abs(rate - rate_all) <= NOISE * F.sqrt(rate_all * (1 - rate_all) / F.greatest(x["labelled"], F.lit(1))) + 1e-9)
+    )
+    compared = siblings.select("template", "pool", "kind_n", "kind_labelled", "kind_blocked", F.explode("each").alias("x")).withColumn("overlap", shared(x["shapes"], x["n"]))
+    merged = compared.where(alike).select("template", "x.segment", F.lit("*").alias("merged"))
+    named = branches.join(merged, ["template", "segment"], "left").select(F.xxhash64("template", "segment", "variable").alias("branch"), F.coalesce("merged", "general").alias("general"), "rows")
+    found = _looked_up(here.withColumn("branch", F.xxhash64("template", "segment", "variable")), named, "branch", total)
+    return found.withColumn("template", F.concat("template", "general", F.lit("/"))).withColumn("left", F.slice("left", 2, F.size("left"))).select(rows.columns)
+
+
+def _looked_up_left(rows: DataFrame, table: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """rows with the columns of table where it has their key (null elsewhere), by the same rule as common.lookup."""
+    bound = hot_bound(total)
+    hot, cold = table.where(F.col(count) > bound), table.where(F.col(count) <= bound)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, "left")
+    return rows.join(F.broadcast(hot), key).unionByName(rest)
+
+
 def templates(urls: DataFrame) -> DataFrame:
     """urls (host, path, bad: 1, 0 or null, n: how many) with ``template``: host and generalised path of its tree's leaf."""
     segments = F.filter(F.split("path", "/"), lambda s: s != "")
-    rows = urls.withColumn("left", segments).withColumn("template", F.concat("host", F.when(F.endswith("path", F.lit("/")), F.lit("//")).otherwise(F.lit("/"))))
-    rows = stored(rows)
+    root = F.concat("host", F.when(F.endswith("path", F.lit("/")), F.lit("//")).otherwise(F.lit("/")))
+    rows = stored(urls.withColumn("left", segments).withColumn("template", root))
     total = rows.count()
-    for level in range(1, MOST_LEVELS + 1):
-        here = F.try_element_at("left", F.lit(level))
-        if level == MOST_LEVELS:
-            here = F.when(here.isNotNull(), F.lit("**"))
-        rows = rows.withColumn("segment", here)
-        deeper = rows.where("segment is not null")
-        # 1. variable segments
-        children = deeper.groupBy("template", "segment").agg(F.sum("n").alias("n"))
-        nodes = children.groupBy("template").agg(F.count("*").alias("children"), F.sum("n").alias("in_node"), F.count("*").alias("rows"))
-        variable = F.col("segment").rlike("[0-9]") | ((F.col("children") >= MANY_CHILDREN) & (F.col("n") < RARE_CHILD * F.col("in_node")))
-        branches = children.withColumnRenamed("n", "n_child").join(nodes.drop("rows"), "template").withColumn("n", F.col("n_child"))
-        branches = branches.select(
-            F.xxhash64("template", "segment").alias("branch"), "template", "segment", F.when(F.col("segment") == "**", F.col("segment")).when(variable, wildcard(F.col("segment"))).otherwise(F.col("segment")).alias("general"), F.col("n_child").alias("rows")
-        )
-        deeper = stored(_looked_up(deeper.withColumn("branch", F.xxhash64("template", "segment")), branches.select("branch", "general", "rows"), "branch", total))
-        # 2. literal siblings that behave alike: those with the same frequent shapes of what follows them are compared
-        follows = F.transform(F.slice("left", level + 1, MOST_LEVELS), lambda s: F.when(s.rlike("[0-9]"), wildcard(s)).otherwise("a"))
-        sums = [F.sum("n").alias("n"), F.sum(F.when(F.col("bad").isNotNull(), F.col("n")).otherwise(0)).alias("labelled"), F.sum(F.coalesce("bad", F.lit(0)) * F.col("n")).alias("blocked")]
-        by_shape = deeper.where("general not like '*%'").withColumn("shape", F.concat_ws("/", follows)).groupBy("template", "general", "shape").agg(*sums)
-        own = by_shape.groupBy("template", "general").agg(F.sum("n").alias("branch_n"), F.sum("labelled").alias("branch_labelled"), F.sum("blocked").alias("branch_blocked"), F.count("*").alias("shapes"))
-        by_shape = by_shape.join(own, ["template", "general"])
-        frequent = by_shape.where(F.col("n") >= FREQUENT_SHAPE * F.col("branch_n")).groupBy("template", "general").agg(F.array_sort(F.collect_set("shape")).alias("kind"))
-        by_shape = by_shape.join(frequent, ["template", "general"])
-        pooled = by_shape.groupBy("template", "kind", "shape").agg(F.sum("n").alias("shape_n"))
-        whole = by_shape.groupBy("template", "kind").agg(F.sum("n").alias("kind_n"), F.sum("labelled").alias("kind_labelled"), F.sum("blocked").alias("kind_blocked"), F.countDistinct("general").alias("siblings"))
-        common = by_shape.join(pooled, ["template", "kind", "shape"]).join(whole, ["template", "kind"])
-        each = ["branch_n", "branch_labelled", "branch_blocked", "shapes", "kind_labelled", "kind_blocked", "siblings"]
-        overlap = F.sum(F.least(F.col("n") / F.col("branch_n"), F.col("shape_n") / F.col("kind_n"))).alias("overlap")
-        compared = common.groupBy("template", "general", *each).agg(overlap)
-        rate, rate_all = (F.col(f"{x}_blocked") / F.greatest(f"{x}_labelled", F.lit(1)) for x in ("branch", "kind"))
-        alike = (
-            (F.col("siblings") > 1)
-            & (1 - F.col("overlap") <= SIMILAR + F.sqrt(F.col("shapes") / F.col("branch_n")) / 2)
-            & ((F.col("branch_labelled") == 0) | (F.abs(rate - rate_all) <= NOISE * F.sqrt(rate_all * (1 - rate_all) / F.greatest("branch_labelled", F.lit(1))) + 1e-9))
-        )
-        merged = compared.where(alike).select(F.xxhash64("template", "general").alias("branch"), F.lit("*").alias("merged"))
-        keyed = deeper.drop("branch").withColumn("branch", F.xxhash64("template", "general"))
-        everything = keyed.groupBy("branch").agg(F.sum("n").alias("rows")).join(merged, "branch", "left").select("branch", "merged", "rows")
-        deeper = _looked_up(keyed, everything, "branch", total).withColumn("template", F.concat("template", F.coalesce("merged", "general"), F.lit("/")))
-        rows = stored(rows.where("segment is null").drop("segment").unionByName(deeper.select(*[c for c in rows.columns if c != "segment"])))
-    return rows.drop("left")
+    done, rows = passed_over(rows, total)
+    while not rows.isEmpty():
+        finished, rows = passed_over(stored(one_level(rows, total)), total)
+        done = done.unionByName(finished)
+    return done.drop("left")
 
 
 def purity(rows: DataFrame) -> DataFrame:
     """template, purity and rows of each template of ``templates``."""
     labelled, blocked = F.sum(F.when(F.col("bad").isNotNull(), F.col("n")).otherwise(0)), F.sum(F.coalesce("bad", F.lit(0)) * F.col("n"))
     own = rows.withColumn("path_template", F.expr("substring(template, length(host) + 1)")).groupBy("template", "path_template").agg(labelled.alias("labelled"), blocked.alias("blocked"), F.count("*").alias("rows"))
-    shared = own.groupBy("path_template").agg(F.sum("labelled").alias("path_labelled"), F.sum("blocked").alias("path_blocked"))
+    own = stored(own)
+    shared = own.groupBy("path_template").agg(F.sum("labelled").alias("path_labelled"), F.sum("blocked").alias("path_blocked"), F.count("*").alias("hosts"))
     overall = own.agg(((F.coalesce(F.sum("blocked"), F.lit(0)) + 0.5) / (F.coalesce(F.sum("labelled"), F.lit(0)) + 1.0)).alias("p")).first()[0]
     by_path = (F.col("path_blocked") + WEIGHT * overall) / (F.col("path_labelled") + WEIGHT)
-    return own.join(shared, "path_template").select("template", ((F.col("blocked") + WEIGHT * by_path) / (F.col("labelled") + WEIGHT)).alias("purity"), "rows")
+    return lookup(own, shared, "path_template", "hosts", hot_bound(own.count())).select("template", ((F.col("blocked") + WEIGHT * by_path) / (F.col("labelled") + WEIGHT)).alias("purity"), "rows")
 
 
 def judged(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, reject: float = REJECT) -> DataFrame:
