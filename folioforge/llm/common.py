@@ -25,10 +25,13 @@ def lower_ascii(text: Column) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where that is unset and all run on one machine."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="folioforge-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="folioforge-"))
     return context.getCheckpointDir()
 
 
@@ -67,6 +70,22 @@ def hot_bound(total: int, keys: int = 1024, least: int = 1024) -> int:
     return max(least, total // keys)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, with underscores after it until df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def lookup_left(left: DataFrame, right: DataFrame, key: str, count: str, bound: int) -> DataFrame:
+    """Like ``lookup``, but rows of left without a match stay, with nulls."""
+    hot = right.where(F.col(count) > bound).drop(count)
+    cold = right.where(F.col(count) <= bound).drop(count)
+    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return left.join(F.broadcast(hot), key).unionByName(rest.join(cold, key, "left"))
+
+
 def lookup(left: DataFrame, right: DataFrame, key: str, count: str, bound: int) -> DataFrame:
     """Inner join of left with right (one row a key; ``count``: how many rows of left have it) without a hot task.
 

@@ -8,7 +8,8 @@ spans, its score their share of all letters.
 Defined results: a text that is null or has no letter is ``und`` with score 0 and no spans, and so is every text when
 nothing was learned. Ties go to the language that sorts first. A script that no language was learned with leaves all
 languages as candidates. Repeated rows stay, clashing extra columns are not read. The model has a fixed number of slots
-a language and at most MOST_LANGUAGES languages, so it is small enough to broadcast at every input size.
+a language, of which it holds those seen, so it is as small as the languages are few at every input size. Up to DENSE
+languages are laid out whole; with more, texts go in smaller portions.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SLOT_BITS, SMOOTHING, SHORT_WORD, MOST_LANGUAGES = 17, 0.3, 5, 256
+SLOT_BITS, SMOOTHING, SHORT_WORD, DENSE = 17, 0.3, 5, 64
 SLOTS = 1 << SLOT_BITS
 #: Nats: what a switch costs, how much one word can count, and what a word of a foreign script costs.
 PENALTY, WORD_BOUND, FOREIGN = 14.0, 8.0, 30.0
@@ -117,7 +118,36 @@ def portions(column: pa.Array, most: int = 1 << 18) -> Iterator[tuple[int, list[
         yield start, held
 
 
-def learn(labelled: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray, np.ndarray]:
+class Rows:
+    """Log probabilities by language and slot: of slots not seen with a language one value, of the others their own."""
+
+    def __init__(self, unseen: np.ndarray, slots: list[np.ndarray], values: list[np.ndarray]) -> None:
+        self.unseen, self.slots, self.values = unseen, slots, values
+        self.laid_out: dict[int, np.ndarray] = {}
+
+    def __len__(self) -> int:
+        return len(self.unseen)
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "laid_out": {}}
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        if i in self.laid_out:
+            return self.laid_out[i]
+        if i >= len(self):
+            raise IndexError(i)
+        row = np.full(SLOTS, self.unseen[i], np.float32)
+        row[self.slots[i]] = self.values[i]
+        if len(self) <= DENSE:
+            self.laid_out[i] = row
+        return row
+
+    def portion(self) -> int:
+        """Characters of texts that are scored together."""
+        return max(1 << 12, (1 << 18) * DENSE // max(DENSE, len(self)))
+
+
+def learn(labelled: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[str], Rows, np.ndarray]:
     """Languages in order, log probabilities by language and slot, and which language uses which script.
 
     Every labelled row counts; rows with a null text or language are passed over. Each task adds up its own table.
@@ -139,22 +169,25 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang") -> tuple[
     rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
     counts = rows.mapInArrow(count, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(counts["lang"].to_pylist()))
-    if len(langs) > MOST_LANGUAGES:
-        raise ValueError(f"{len(langs)} languages; the model holds {MOST_LANGUAGES}")
-    table = np.zeros((len(langs), SLOTS + SCRIPTS))
     place = {name: i for i, name in enumerate(langs)}
-    table[[place[name] for name in counts["lang"].to_pylist()], counts["slot"].to_numpy()] = counts["n"].to_numpy()
-    seen, letters = table[:, :SLOTS], table[:, SLOTS:]
-    used = (seen.sum(0) > 0).sum()
-    logs = np.log((seen + SMOOTHING) / (seen.sum(1, keepdims=True) + SMOOTHING * max(used, 1)))
+    row, slot, n = np.array([place[name] for name in counts["lang"].to_pylist()], np.int64), counts["slot"].to_numpy(), counts["n"].to_numpy()
+    feature = slot < SLOTS
+    letters = np.zeros((len(langs), SCRIPTS))
+    letters[row[~feature], slot[~feature] - SLOTS] = n[~feature]
+    row, slot, n = row[feature], slot[feature], n[feature]
+    whole = np.bincount(row, n, len(langs)) + SMOOTHING * max(len(np.unique(slot)), 1)
+    order = np.argsort(row, kind="stable")
+    bounds = np.searchsorted(row[order], np.arange(1, len(langs)))
+    values = np.log((n + SMOOTHING) / whole[row]).astype(np.float32)
     scripts = letters >= SCRIPT_SHARE * np.maximum(letters.sum(1, keepdims=True), 1)
-    return langs, logs.astype(np.float32), scripts
+    return langs, Rows(np.log(SMOOTHING / whole).astype(np.float32), np.split(slot[order], bounds), np.split(values[order], bounds)), scripts
 
 
-def word_scores(words: Words, logs: np.ndarray, scripts: np.ndarray) -> np.ndarray:
+def word_scores(words: Words, logs: Rows, scripts: np.ndarray) -> np.ndarray:
     """By word and language, 0 for the best and not under -WORD_BOUND, or -FOREIGN where the script rules a language out."""
     scores = np.empty((len(words.first), len(logs)), np.float32)
-    for i, row in enumerate(logs):
+    for i in range(len(logs)):
+        row = logs[i]
         scores[:, i] = np.add.reduceat(row[words.trigram], words.first)
         scores[words.short, i] += row[words.short_slot]
     open_to = scripts.T[words.script]
@@ -209,7 +242,7 @@ def best_path(scores: np.ndarray) -> np.ndarray:
     return path
 
 
-def label(texts: list[str], logs: np.ndarray, scripts: np.ndarray) -> Iterator[tuple[int, float, list[tuple[int, int, int]], float]]:
+def label(texts: list[str], logs: Rows, scripts: np.ndarray) -> Iterator[tuple[int, float, list[tuple[int, int, int]], float]]:
     """For each text: language (-1: none), score, spans (start, end, language) in code points, share of letters in learned scripts."""
     words = Words(texts)
     if not len(logs) or not len(words.first):
@@ -232,7 +265,7 @@ def label(texts: list[str], logs: np.ndarray, scripts: np.ndarray) -> Iterator[t
         yield best, float(letters[best] / letters.sum()), [(int(start[x]), int(start[y - 1] + length[y - 1]), int(path[x])) for x, y in zip(cut[:-1], cut[1:], strict=True)], float(explained)
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], key: str = "doc_id", text: str = "text") -> DataFrame:
+def predict(docs: DataFrame, model: tuple[list[str], Rows, np.ndarray], key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, lang_pred, score and spans (start, end, lang; code points, end exclusive) of each row of docs."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
@@ -241,7 +274,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], ke
         langs, logs, scripts = shared.value
         name = [*langs, UNDETERMINED]
         for batch in batches:
-            for start, texts in portions(batch.column("text")):
+            for start, texts in portions(batch.column("text"), logs.portion()):
                 found = list(label(texts, logs, scripts))
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -276,7 +309,7 @@ def identified(docs: DataFrame, least_explained: float = 0.5) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, texts in portions(batch.column("text")):
+            for start, texts in portions(batch.column("text"), shared.value[0].portion()):
                 keep = [i >= 0 and explained >= least_explained for i, _, _, explained in label(texts, *shared.value)]
                 yield batch.slice(start, len(texts)).filter(pa.array(keep, pa.bool_()))
 

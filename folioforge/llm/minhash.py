@@ -6,7 +6,7 @@ minima of a tree form a region; how many they must share depends on the region:
 threshold (``base_depth``: a pair at the threshold meets in no tree with a chance of 2e-5 at most), and regions with
 more than CROWD members are split at the next minimum where that leaves smaller groups. Small groups propose all their
 pairs; in larger ones every class proposes its neighbours in the sorted order, those with the longest common prefix.
-Regions with a large share of all classes go to a deeper prefix before they are sorted, and at full depth are dealt out
+Regions with more than 1/4096 of all rows (and 256) go to a deeper prefix before they are sorted, and at full depth are dealt out
 in an order that differs from tree to tree. Proposed pairs are confirmed exactly, on full sets, and the links are
 joined into components. Crowded regions of the base depth, split or not, that hold several components are then searched
 for links between them (``crowd_links``): the classes outside a region's largest component meet all of its classes, in
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import dropped, hot_bound, key_groups, lookup, stored
+from folioforge.llm.common import dropped, hot_bound, key_groups, lookup, stored, unused
 from folioforge.llm.components import components
 from folioforge.llm.hashing import Windows, mixed, portions
 
@@ -125,9 +125,10 @@ def region_rows(classes: DataFrame, depths: list[int]) -> DataFrame:
         yield pa.RecordBatch.from_pydict({"cell": pa.array(at), "n": pa.array(total.ravel()[at])})
 
     counts = classes.select("sig").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    # a cell is large if it holds 1/256 of the rows over the mean of a cell; there are 256 of a depth at most
-    bound = hot_bound(classes.count() * TREES, 256, 4096)
-    large = np.array([r.cell for r in counts.where(F.col("n") > bound + bound // 256).select("cell").collect()], np.int64)
+    # a cell is large if it holds 1/4096 of the rows over the mean of a cell; there are 4096 of a depth at most
+    rows = classes.count() * TREES
+    bound = hot_bound(rows, 4096, 256)
+    large = np.array([r.cell for r in counts.where(F.col("n") > bound + rows // CELLS).select("cell").collect()], np.int64)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -377,5 +378,6 @@ def deduplicated(docs: DataFrame, percent: int = 80, size: int = 5, key: str = "
     """
     kept = near_duplicates(docs, percent, size, key, text).where("kept").select(key).where(F.col(key).isNotNull()).distinct()
     named = docs.where(F.col(key).isNotNull()).join(kept, key, "left_semi")
-    first = named.withColumn("__row", F.row_number().over(Window.partitionBy(key).orderBy(text))).where("__row = 1").select(*docs.columns)
+    row = unused(docs, "row_of_key")
+    first = named.withColumn(row, F.row_number().over(Window.partitionBy(key).orderBy(text))).where(F.col(row) == 1).drop(row).select(*docs.columns)
     return first.unionByName(docs.where(F.col(key).isNull()))

@@ -15,7 +15,7 @@ target 0. Rows with one key are different documents; extra columns pass through
 ``mix_`` are its own). The shuffle is by hash, so reruns agree.
 
 Scale: running totals are taken inside up to CHUNKS parts of a source and carried on over the parts, so no window holds
-a whole source. What is broadcast has a row a source; more than MOST_SOURCES sources are refused.
+a whole source. What has a row a source is broadcast up to MOST_SOURCES sources and joined by shuffles beyond.
 """
 
 from __future__ import annotations
@@ -57,13 +57,18 @@ def targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), most: int =
     return table.withColumn("target", F.coalesce(F.least(room, unit * F.col("weight")), room)).select("mix_key", "source_size", "target")
 
 
-def schedule(sources: DataFrame, slots: int) -> DataFrame:
+def _small(df: DataFrame, few: bool) -> DataFrame:
+    """A table with about a row a source, to be broadcast if those are few."""
+    return F.broadcast(df) if few else df
+
+
+def schedule(sources: DataFrame, slots: int, few: bool = True) -> DataFrame:
     """mix_slot, mix_key and mix_rank (from 0, among the slots of the source) of each slot. sources: mix_key, low, high (cumulative shares)."""
     spark = sources.sparkSession
     cell = F.least(F.floor(F.col("point") * GRID), F.lit(GRID - 1)).cast("long")
     points = spark.range(slots).withColumnRenamed("id", "mix_slot").withColumn("point", F.pmod((F.col("mix_slot") + 0.5) * GOLDEN, F.lit(1.0))).withColumn("cell", cell)
     cells = sources.where("high > low").withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") * GRID).cast("long"), F.least(F.floor(F.col("high") * GRID), F.lit(GRID - 1)).cast("long"))))
-    named = points.join(F.broadcast(cells), "cell").where("point >= low and point < high").select("mix_slot", "mix_key", F.floor(F.col("mix_slot") / SLOT_CHUNK).alias("part"))
+    named = points.join(_small(cells, few), "cell").where("point >= low and point < high").select("mix_slot", "mix_key", F.floor(F.col("mix_slot") / SLOT_CHUNK).alias("part"))
     before = named.groupBy("mix_key", "part").agg(F.count("*").alias("n"))
     before = before.withColumn("before", F.sum("n").over(Window.partitionBy("mix_key").orderBy("part")) - F.col("n")).drop("n")
     inside = F.row_number().over(Window.partitionBy("mix_key", "part").orderBy("mix_slot")) - 1
@@ -81,12 +86,12 @@ def laid_out(docs: DataFrame, tie: Sequence[str]) -> DataFrame:
     return inside.join(before, ["mix_key", "mix_chunk"]).withColumn("mix_start", F.col("mix_before") + F.col("mix_inside")).drop("mix_before", "mix_inside", "mix_hash")
 
 
-def pieces(layout: DataFrame, slots: DataFrame, sources: DataFrame, block: int, count: int) -> DataFrame:
+def pieces(layout: DataFrame, slots: DataFrame, sources: DataFrame, block: int, count: int, few: bool = True) -> DataFrame:
     """mix_slot, mix_key, mix_chunk, mix_row, mix_pass, first and last: the words of documents, from 0, that each slot takes.
 
     Scheduled words beyond the slots of a source have slot ``count``, the one after the last.
     """
-    docs = layout.where("size > 0").select("mix_key", "mix_chunk", "mix_row", "mix_start", "size").join(F.broadcast(sources.select("mix_key", "source_size", "scheduled")), "mix_key")
+    docs = layout.where("size > 0").select("mix_key", "mix_chunk", "mix_row", "mix_start", "size").join(_small(sources.select("mix_key", "source_size", "scheduled"), few), "mix_key")
     docs = docs.withColumn("mix_pass", F.explode(F.expr("sequence(0L, (scheduled - 1) div source_size)"))).withColumn("at", F.col("mix_pass") * F.col("source_size") + F.col("mix_start")).where("at < scheduled")
     docs = docs.withColumn("mix_rank", F.explode(F.expr(f"sequence(at div {block}, (least(at + size, scheduled) - 1) div {block})")))
     first = F.greatest(F.col("mix_rank") * block - F.col("at"), F.lit(0))
@@ -102,22 +107,21 @@ def taken_words(docs: DataFrame, tie: Sequence[str], weights: Sequence[float] =
     docs = docs.withColumn("mix_key", source_key(F.col("source")))
     sources = stored(targets(docs.select("mix_key", "size"), weights, most))
     count, words = sources.agg(F.count("*"), F.coalesce(F.sum("source_size"), F.lit(0))).first()
-    if count > MOST_SOURCES:
-        raise ValueError(f"{count} sources; at most {MOST_SOURCES} are mixed")
+    few = count <= MOST_SOURCES
     block = min(LONGEST, max(SHORTEST, words // SLOTS))
     slots = round(words / block)
     share = F.try_divide(F.sum("target").over(Window.orderBy("mix_key")), F.sum("target").over(Window.partitionBy(F.lit(0))))
     shares = sources.withColumn("high", share).withColumn("low", F.coalesce(F.lag("high").over(Window.orderBy("mix_key")), F.lit(0.0)))
     shares = shares.withColumn("high", F.when(F.col("high") >= 1, F.lit(1.5)).otherwise(F.col("high")))
-    plan = stored(schedule(shares.select("mix_key", "low", "high"), slots))
+    plan = stored(schedule(shares.select("mix_key", "low", "high"), slots, few))
     given = plan.groupBy("mix_key").agg((F.count("*") * block).alias("given"))
     wanted = F.ceil(F.round("target", 6)).cast("long") if closed else F.coalesce("given", F.lit(0))
     scheduled = F.least(wanted, most * F.col("source_size"))
-    sources = sources.join(F.broadcast(given), "mix_key", "left").withColumn("scheduled", scheduled)
+    sources = sources.join(_small(given, few), "mix_key", "left").withColumn("scheduled", scheduled)
     layout = laid_out(docs, tie)
-    parts = pieces(layout, plan, sources, block, slots)
+    parts = pieces(layout, plan, sources, block, slots, few)
     taken = parts.groupBy("mix_key", "mix_chunk", "mix_row").agg(F.sum(F.col("last") - F.col("first")).alias("taken"), F.sum(F.when(F.col("first") == 0, 1).otherwise(0)).alias("mix_copies"))
-    full = layout.join(taken, ["mix_key", "mix_chunk", "mix_row"], "left").join(F.broadcast(sources.select("mix_key", "source_size", "target")), "mix_key")
+    full = layout.join(taken, ["mix_key", "mix_chunk", "mix_row"], "left").join(_small(sources.select("mix_key", "source_size", "target"), few), "mix_key")
     return full.withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long")).withColumn("mix_copies", F.coalesce("mix_copies", F.lit(0))), parts
 
 

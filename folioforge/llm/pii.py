@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import hot_bound, lookup, stored
+from folioforge.llm.common import hot_bound, lookup, lookup_left, stored
 
 KINDS = ["email", "ip", "card", "phone", "term"]
 #: The kinds' patterns.
@@ -27,7 +27,9 @@ IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 OCTETS = r"^0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})(?:\.0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})){3}$"
-CONTEXT, SUPPORT, DISCLOSED, TERM = 60, 3, 0.9, r"\p{L}{4,}"
+CONTEXT, SUPPORT, DISCLOSED, TERM = 60, 3, 0.9, r"[\p{L}\p{N}]{2,}"
+#: Terms up to this many are broadcast, so that other words don't leave the scan that counts them.
+MOST_TERMS = 1_000_000
 SPANS = "array<struct<start:int,kind:int,end:int,value:string>>"
 
 
@@ -86,11 +88,11 @@ def entity_of(span: Column) -> Column:
 
 
 def terms_near(text: Column, span: Column) -> Column:
-    """Distinct lower-case words of letters next to a span, without those at the cut."""
+    """Distinct lower-case words of letters and digits next to a span, without those at the cut."""
     left = F.substring(text, F.greatest(span["start"] - CONTEXT, F.lit(0)) + 1, F.least(span["start"], F.lit(CONTEXT)))
     right = F.substring(text, span["end"] + 1, F.lit(CONTEXT))
-    left = F.when(span["start"] > CONTEXT, F.regexp_replace(left, r"^\p{L}+", "")).otherwise(left)
-    right = F.when(F.length(text) > span["end"] + CONTEXT, F.regexp_replace(right, r"\p{L}+$", "")).otherwise(right)
+    left = F.when(span["start"] > CONTEXT, F.regexp_replace(left, r"^[\p{L}\p{N}]+", "")).otherwise(left)
+    right = F.when(F.length(text) > span["end"] + CONTEXT, F.regexp_replace(right, r"[\p{L}\p{N}]+$", "")).otherwise(right)
     return F.array_distinct(F.regexp_extract_all(F.lower(F.concat(left, F.lit(" "), right)), F.lit(TERM), F.lit(0)))
 
 
@@ -105,34 +107,38 @@ def disclosing_terms(docs: DataFrame, held: DataFrame, total: int) -> DataFrame:
     together = stored(together.join(entities, "entity"))
     wanted = together.select("term").distinct()
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))
-    spread = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("documents")).join(wanted, "term")
+    wanted = F.broadcast(wanted) if wanted.count() <= MOST_TERMS else wanted
+    spread = docs.select(F.explode(words).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("documents"))
     share = F.col("both") / F.greatest("documents", "both")
     information = F.log2(F.greatest(F.lit(float(total)), F.col("holders") + 1) / F.col("holders"))
     return together.join(spread, "term").where(1 + F.log2(share) / information >= DISCLOSED).select("entity", "term")
 
 
 def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with ``pii_spans``: start, kind (a place in KINDS), end and value of all spans, by start, then kind."""
+    """doc (all columns of docs) and ``pii_spans``: start, kind (a place in KINDS), end and value of all spans, by start, then kind."""
     value = F.coalesce(F.col(text), F.lit(""))
-    named = docs.withColumn("pii_print", F.xxhash64(value)).withColumn("pii_more", F.hash(value))
-    found = named.select(value.alias("text"), "pii_print", "pii_more").withColumn("spans", base_spans(F.col("text"))).where(F.size("spans") > 0)
+    print_ = F.concat_ws("-", F.hex(F.xxhash64(value)), F.hex(F.hash(value)))
+    named = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("doc"), value.alias("text"), print_.alias("print"))
+    found = named.select("text", "print").withColumn("spans", base_spans(F.col("text"))).where(F.size("spans") > 0)
 
     def around(entity: Column) -> Column:
         own = F.filter("spans", lambda s: entity_of(s) == entity)
         return F.struct(entity.alias("entity"), F.array_distinct(F.flatten(F.transform(own, lambda s: terms_near(F.col("text"), s)))).alias("terms"))
 
     each = F.transform(F.array_distinct(F.transform("spans", entity_of)), around)
-    held = stored(found.select(F.col("pii_print").alias("print"), "pii_more", F.explode(each).alias("x")).select("print", "pii_more", "x.entity", "x.terms"))
+    held = stored(found.select("print", F.explode(each).alias("x")).select("print", "x.entity", "x.terms"))
     flagged = disclosing_terms(docs.select(value.alias("text")), held, docs.count())
     flagged = stored(flagged.groupBy("entity").agg(F.collect_set("term").alias("flagged")))
-    uses = held.select("entity", "print", "pii_more").distinct()
+    uses = held.groupBy("entity", "print").agg(F.count("*").alias("copies"))
     counts = uses.groupBy("entity").agg(F.count("*").alias("uses"))
     by_text = lookup(uses, flagged.join(counts, "entity"), "entity", "uses", hot_bound(held.count()))
-    by_text = stored(by_text.groupBy(F.col("print").alias("pii_print"), "pii_more").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("flagged")))).alias("pii_terms")))
-    rows = named.join(by_text, ["pii_print", "pii_more"], "left").drop("pii_print", "pii_more")
-    pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("pii_terms", "|"), F.lit(r")(?!\p{L})"))
+    # an entity's copies of a text are as many as the text has; texts with very many are looked up by broadcast
+    by_text = stored(by_text.groupBy("print").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("flagged")))).alias("pii_terms"), F.max("copies").alias("copies")))
+    rows = lookup_left(named, by_text, "print", "copies", hot_bound(docs.count()))
+    value = F.col("text")
+    pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join("pii_terms", "|"), F.lit(r")(?![\p{L}\p{N}])"))
     terms = F.when(F.col("pii_terms").isNotNull(), matches(value, pattern, 4)).otherwise(F.array().cast(SPANS))
-    return rows.withColumn("pii_spans", F.array_sort(F.concat(base_spans(value), terms))).drop("pii_terms")
+    return rows.select("doc", F.array_sort(F.concat(base_spans(value), terms)).alias("pii_spans"))
 
 
 def listed(spans: Column) -> Column:
@@ -143,7 +149,7 @@ def listed(spans: Column) -> Column:
 
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans."""
-    rows = with_spans(docs.select("doc_id", "text")).select("doc_id", "pii_spans")
+    rows = with_spans(docs.select("doc_id", "text")).select("doc.doc_id", "pii_spans")
 
     def count(kind: int) -> Column:
         return F.size(F.filter("pii_spans", lambda s: s["kind"] == kind)).cast("long")
@@ -155,16 +161,17 @@ def report(docs: DataFrame) -> DataFrame:
 def sanitised(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs, columns unchanged, with every span in the text replaced by its kind in brackets; overlapping spans are one."""
     rows = with_spans(docs, text)
+    original = F.col("doc").getField(text)
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
 
     def add(state: Column, s: Column) -> Column:
-        fresh = F.concat(state["parts"], F.array(F.substring(F.col(text), state["at"] + 1, s["start"] - state["at"]), F.element_at(names, s["kind"] + 1)))
+        fresh = F.concat(state["parts"], F.array(F.substring(original, state["at"] + 1, s["start"] - state["at"]), F.element_at(names, s["kind"] + 1)))
         inside = s["start"] < state["at"]
         return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(inside, state["parts"]).otherwise(fresh).alias("parts"))
 
     def end(state: Column) -> Column:
-        return F.concat(F.array_join(state["parts"], ""), F.substring(F.col(text), state["at"] + 1, F.length(text)))
+        return F.concat(F.array_join(state["parts"], ""), F.substring(original, state["at"] + 1, F.length(original)))
 
-    clean = F.when(F.size("pii_spans") > 0, F.aggregate("pii_spans", start, add, end)).otherwise(F.col(text))
-    return rows.withColumn(text, clean).select(*docs.columns)
+    clean = F.when(F.size("pii_spans") > 0, F.aggregate("pii_spans", start, add, end)).otherwise(original)
+    return rows.select(*[(clean if c == text else F.col("doc").getField(c)).alias(c) for c in docs.columns])

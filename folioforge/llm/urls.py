@@ -24,7 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import hot_bound, lookup, lower_ascii, stored
+from folioforge.llm.common import hot_bound, lookup, lookup_left, lower_ascii, stored
 
 #: Fixed values of the registered query: rule and verdict.
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
@@ -99,7 +99,7 @@ def one_level(rows: DataFrame, total: int) -> DataFrame:
     # 1. rare ones among very many children are variable too
     nodes = branches.groupBy("template").agg(F.count("*").alias("children"), F.sum("n").alias("in_node"))
     crowded = nodes.where(F.col("children") >= MANY_CHILDREN)
-    branches = _looked_up_left(branches, crowded, "template", "children", branches.count())
+    branches = lookup_left(branches, crowded.withColumn("rows_", F.col("children")), "template", "rows_", hot_bound(branches.count()))
     rare = F.coalesce(F.col("n") < RARE_CHILD * F.col("in_node"), F.lit(False))
     branches = branches.withColumn("general", F.when(F.col("variable"), F.col("segment")).when(rare, wildcard(F.col("segment"))).otherwise(F.col("segment")))
     # 2. literal siblings that behave alike: those with the same frequent shapes of what follows them are compared
@@ -126,14 +126,6 @@ def one_level(rows: DataFrame, total: int) -> DataFrame:
     return found.withColumn("template", F.concat("template", "general", F.lit("/"))).withColumn("left", F.slice("left", 2, F.size("left"))).select(rows.columns)
 
 
-def _looked_up_left(rows: DataFrame, table: DataFrame, key: str, count: str, total: int) -> DataFrame:
-    """rows with the columns of table where it has their key (null elsewhere), by the same rule as common.lookup."""
-    bound = hot_bound(total)
-    hot, cold = table.where(F.col(count) > bound), table.where(F.col(count) <= bound)
-    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, "left")
-    return rows.join(F.broadcast(hot), key).unionByName(rest)
-
-
 def templates(urls: DataFrame) -> DataFrame:
     """urls (host, path, bad: 1, 0 or null, n: how many) with ``template``: host and generalised path of its tree's leaf."""
     segments = F.filter(F.split("path", "/"), lambda s: s != "")

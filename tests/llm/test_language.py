@@ -63,3 +63,53 @@ def test_even_mixtures_stay(spark):
 def test_nothing_learned(spark):
     docs = spark.createDataFrame([(None, "some text", "en")], "doc_id long, text string, lang string")
     assert [(r.held_out, r.lang_pred, r.score) for r in language.identify(docs).collect()] == [(True, "und", 0.0)]
+
+
+def slot_of(*points):
+    """The slot of a trigram of lower-case letters (0: none)."""
+    mixed = 0
+    for p, factor in zip(points, (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D), strict=True):
+        mixed ^= p * factor
+    return (mixed & 0xFFFFFFFF) * 0x27D4EB2F % (1 << 32) >> (32 - language.SLOT_BITS)
+
+
+def short_slot(word):
+    code = 7
+    for c in word:
+        code = (code * 0x01000193 + ord(c)) % (1 << 32)
+    return code * 0x9E3779B1 % (1 << 32) >> (32 - language.SLOT_BITS)
+
+
+def features(word):
+    padded = [0, *map(ord, word), 0]
+    slots = [slot_of(*padded[i : i + 3]) for i in range(len(word))]
+    return slots + ([short_slot(word)] if len(word) <= language.SHORT_WORD else [])
+
+
+def test_scores_against_plain_counts(spark):
+    """Learned counts, script narrowing and word scores, by dictionaries."""
+    rows = [("Der Hund und die Katze", "de"), ("the cat and the dog", "en"), ("Привет мир", "ru"), ("le chat et le chien", "fr"), ("ο σκύλος the", "el")]
+    langs, logs, scripts = language.learn(spark.createDataFrame(rows * 2, "text string, lang string"))
+    assert langs == ["de", "el", "en", "fr", "ru"]
+    counts = {lang: {} for lang in langs}
+    for text, lang in rows * 2:
+        for word in text.lower().split():
+            for slot in features(word):
+                counts[lang][slot] = counts[lang].get(slot, 0) + 1
+    used = len({s for c in counts.values() for s in c})
+    text = "the katze мир σκύλος dog"
+    found = language.word_scores(language.Words([text]), logs, scripts)
+    open_to = {"L": ["de", "el", "en", "fr"], "C": ["ru"], "G": ["el"]}
+    for i, (word, script) in enumerate(zip(text.split(), "LLCGL", strict=True)):
+        own = {lang: sum(np.log((counts[lang].get(s, 0) + language.SMOOTHING) / (sum(counts[lang].values()) + language.SMOOTHING * used)) for s in features(word)) for lang in open_to[script]}
+        best = max(own.values())
+        expected = [max(own[lang] - best, -language.WORD_BOUND) if lang in own else -language.FOREIGN for lang in langs]
+        assert np.allclose(found[i], expected, atol=1e-3)
+
+
+def test_many_languages(spark):
+    """Hundreds of labels, each with a word of its own, are told apart."""
+    name = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(3)) * 2
+    docs = spark.createDataFrame([(2 * i + k, f"{name(i)} {name(i)}", f"l{i:03}") for i in range(600) for k in range(2)], "doc_id long, text string, lang string")
+    found = language.predict(docs, language.learn(docs)).join(docs, "doc_id")
+    assert found.where("lang = lang_pred").count() >= 1190 and found.count() == 1200

@@ -62,11 +62,11 @@ def odd_rows():
 
 
 def test_odd_rows(spark, odd_rows):
-    docs = spark.createDataFrame([(*r, "x", 1) for r in odd_rows], "doc_id long, text string, class string, n int")
+    docs = spark.createDataFrame([(*r, "x", 1, "y", "z") for r in odd_rows], "doc_id long, text string, class string, n int, __row string, row_of_key string")
     assert rows_of(minhash.near_duplicates(docs, 80)) == expected(odd_rows, 80)
     assert minhash.near_duplicates(docs.limit(0), 80).collect() == []
     kept = minhash.deduplicated(docs, 80)
-    assert kept.columns == docs.columns
+    assert kept.columns == docs.columns and {(r["class"], r.n, r["__row"], r.row_of_key) for r in kept.collect()} == {("x", 1, "y", "z")}
     root = {r[0]: r[2] for r in expected(odd_rows, 80)}
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([*{k for k, v in root.items() if k == v and k is not None}, None, None], key=str)
 

@@ -89,6 +89,16 @@ def test_small_sources_reach_their_targets(spark, monkeypatch):
     assert {100, 101} <= {r.doc_id for r in mixing.mixed(docs).collect()}
 
 
+def test_more_sources_than_are_broadcast(spark, monkeypatch):
+    rows = [(i, "w " * (1 + i % 7), f"s{i % 300:03}") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    few = sorted(report(docs).collect())
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 10)
+    assert sorted(report(docs).collect()) == few
+    _, taken, target = by_source(report(docs).join(docs.select("doc_id", "source"), "doc_id").collect())
+    assert len(target) == 300 and all(abs(taken[s] - target[s]) <= 1 for s in target)
+
+
 def test_odd_rows(spark):
     rows = [(1, None, "a"), (2, "", None), (3, "x " * 90000, "a"), (None, "y y y", "é"), (4, "z", "Z"), (4, "z", "Z"), (5, None, "empty")] + [(6, "same words here", "z")] * 4
     docs = spark.createDataFrame([(*r, 1, 2.0, "k") for r in rows], "doc_id long, text string, source string, size int, target double, mix_key string")

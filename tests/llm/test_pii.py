@@ -42,16 +42,16 @@ def listed(spans):
 
 def near(text, a, b):
     left, right = text[max(a - pii.CONTEXT, 0) : a], text[b : b + pii.CONTEXT]
-    left = re.sub(r"^[^\W\d_]+", "", left) if a > pii.CONTEXT else left
-    right = re.sub(r"[^\W\d_]+$", "", right) if len(text) > b + pii.CONTEXT else right
-    return set(re.findall(r"[^\W\d_]{4,}", f"{left} {right}".lower()))
+    left = re.sub(r"^[^\W_]+", "", left) if a > pii.CONTEXT else left
+    right = re.sub(r"[^\W_]+$", "", right) if len(text) > b + pii.CONTEXT else right
+    return set(re.findall(r"[^\W_]{2,}", f"{left} {right}".lower()))
 
 
 def expected(rows):
     texts = [text or "" for _, text in rows]
     with_entity, both, spread, own = defaultdict(list), defaultdict(list), defaultdict(int), []
     for text in texts:
-        for term in set(re.findall(r"[^\W\d_]{4,}", text.lower())):
+        for term in set(re.findall(r"[^\W_]{2,}", text.lower())):
             spread[term] += 1
         own.append(defaultdict(set))
         for a, k, b, value in base(text):
@@ -70,7 +70,7 @@ def expected(rows):
     out = []
     for (key, _), text, entities in zip(rows, texts, own, strict=True):
         found, terms = base(text), set().union(*[flagged[e] for e in entities])
-        more = [(m.start(), 4, m.end()) for m in re.finditer(rf"(?i)(?<![^\W\d_])(?:{'|'.join(sorted(terms))})(?![^\W\d_])", text)] if terms else []
+        more = [(m.start(), 4, m.end()) for m in re.finditer(rf"(?i)(?<![^\W_])(?:{'|'.join(sorted(terms))})(?![^\W_])", text)] if terms else []
         out.append((key, *(sum(s[1] == k for s in found) for k in range(4)), hashlib.sha256(listed(found).encode()).hexdigest(), listed(sorted([*(s[:3] for s in found), *more]))))
     return sorted(out, key=str)
 
@@ -111,3 +111,13 @@ def test_odd_rows(spark):
     texts = {r.doc_id: r.text for r in clean.collect()}
     assert texts[3] == "[EMAIL][EMAIL] x@y 🙂 [EMAIL]" and texts[1] is None and texts[30] == rows[18][1]
     assert texts[21] == "note 1 with words: [TERM] called [EMAIL] about number 1 again, and [TERM] left"
+
+
+def test_clashing_names(spark):
+    rows = odd_rows()
+    names = ["pii_print", "pii_more", "pii_spans", "print", "doc", "text_"]
+    docs = spark.createDataFrame([(*r, *names) for r in rows], ["doc_id", "text", *names])
+    clean = pii.sanitised(docs)
+    assert clean.columns == docs.columns and {tuple(r)[2:] for r in clean.collect()} == {tuple(names)}
+    plain = pii.sanitised(docs.select("doc_id", "text"))
+    assert rows_of(clean.select("doc_id", "text")) == rows_of(plain)
