@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Words that state an obligation, in the order in which they are looked for.
-OBLIGATIONS = ["必须", "应当", "应", "不得", "严禁", "禁止", "不应", "宜", "不宜", "可", "须", "需"]
+OBLIGATIONS = ["必须", "应", "应当", "不得", "禁止", "严禁", "原则上应", "宜", "可", "鼓励", "参照", "结合实际"]
 HAN = "[\\u4e00-\\u9fa5]"
 LATIN_TOKEN, NUMBER = "[a-z0-9]+", r"-?[0-9]+(?:\.[0-9]+)?"
 
@@ -52,7 +52,7 @@ def keywords(text: Column, stop: Sequence[str] = (), most: int = 40) -> Column:
 
 def sentences(text: Column) -> Column:
     """Trimmed sentences with their closing mark; empty ones are dropped."""
-    parts = F.split(text, r"(?<=[.!?。；;！？])")
+    parts = F.split(text, r"(?<=[。；;！!？?])")
     return F.filter(F.transform(parts, squeezed), lambda s: s != "")
 
 
@@ -93,17 +93,6 @@ def obligations(text: Column) -> Column:
     return F.filter(F.array(*[F.lit(w) for w in OBLIGATIONS]), lambda w: F.contains(text, w))
 
 
-def normative_level(text: Column) -> Column:
-    """Forbidden, mandatory, recommended, permitted or informative: the first rule that fits."""
-    return (
-        F.when(text.rlike("严禁|禁止|不得|must not|shall not"), "forbidden")
-        .when(text.rlike("必须|应当|应|须|must|shall"), "mandatory")
-        .when(text.rlike("宜|should"), "recommended")
-        .when(text.rlike("可|may"), "permitted")
-        .otherwise("informative")
-    )
-
-
 def normal_date(text: Column) -> Column:
     """Year, month and day as ISO text; anything else trimmed."""
     pattern = "([0-9]{4})[年./-]([0-9]{1,2})(?:[月./-]([0-9]{1,2})日?)?"

@@ -19,9 +19,11 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def fnv1a(text: Column) -> Column:
-    """32-bit FNV-1a over the code points of a text."""
+    """32-bit FNV-1a over the UTF-16 units of a text."""
     points = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
-    return F.aggregate(points, F.lit(FNV_OFFSET).cast("long"), lambda h, c: h.bitwiseXOR(c) * FNV_PRIME % (1 << 32))
+    high, low = (lambda p: F.floor((p - 0x10000) / 1024) + 0xD800), (lambda p: (p - 0x10000) % 1024 + 0xDC00)
+    units = F.flatten(F.transform(points, lambda p: F.when(p > 0xFFFF, F.array(high(p), low(p))).otherwise(F.array(p))))
+    return F.aggregate(units, F.lit(FNV_OFFSET).cast("long"), lambda h, c: h.bitwiseXOR(c) * FNV_PRIME % (1 << 32))
 
 
 def stable_id(kind: Column, *parts: Column) -> Column:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioforge.functions import rules as R
 from folioforge.functions import text as T
 from folioforge.functions.vectors import stable_id
 from folioforge.operators.tables import section_paths
@@ -77,7 +78,7 @@ def definitions(blocks: DataFrame) -> DataFrame:
 def requirements(blocks: DataFrame) -> DataFrame:
     """A record for each sentence that states an obligation."""
     rows = blocks.where("level is null").select("doc_id", "block_index", "page", "page_end", F.explode(T.sentences(F.col("text"))).alias("text"))
-    rows = rows.withColumn("rule", T.normative_level(F.col("text"))).where("rule <> 'informative'")
+    rows = rows.withColumn("rule", R.requirement_level(F.col("text"))).where("rule <> 'unknown'")
     return rows.select(*record("requirement", F.col("rule"), F.col("text"), 0.8))
 
 

@@ -12,6 +12,8 @@ from folioforge.functions.text import exact_key, search_tokens
 K1, B = 1.5, 0.75
 #: Passages up to this many are broadcast for substring matching; more are found by a key of inner words.
 BROADCAST_PASSAGES = 2_000
+#: Bytes of passages that are broadcast at a time.
+BLOCK_BYTES = 1 << 20
 
 
 def bm25(rows: DataFrame, terms: Sequence[str], key: str = "doc_id", text: str = "text", side: str | None = None) -> DataFrame:
@@ -29,7 +31,7 @@ def bm25(rows: DataFrame, terms: Sequence[str], key: str = "doc_id", text: str =
 
     counted = rows.select(key, *by, tokens.alias("tokens")).select(
         key, *by, F.size("tokens").alias("length"), *[times(w).alias(f"f{i}") for i, w in enumerate(terms)]
-    )
+    ).persist()  # a few numbers a row, read by the statistics and by the scores
     stats = counted.groupBy(*by).agg(F.count("*").alias("rows"), F.avg("length").alias("mean"), *[F.sum((F.col(f"f{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))])
     joined = counted.join(F.broadcast(stats), by) if by else counted.crossJoin(F.broadcast(stats))  # one row, or one a side
 
@@ -68,24 +70,56 @@ def merged(exact: DataFrame, lexical: DataFrame, vector: DataFrame, key: str) ->
 
 
 def containing(rows: DataFrame, passages: DataFrame, key: str, text: str, passage_key: str, passage: str) -> DataFrame:
-    """key and passage_key of all rows whose text contains a passage.
+    """key and passage_key of all rows whose text contains a passage; the key names one row.
 
-    A few passages are broadcast. Many are matched by the four words after their first one, which stand whole between
-    blanks in any text that contains the passage; passages too short for that are few enough to be broadcast or refused.
+    A few short passages are broadcast. Many are matched by the four words after their first one, which stand whole between
+    blanks in any text that contains the passage: keys and these words are joined, texts only for what they find. Passages
+    too short for that are looked for all at once, in blocks of BLOCK_BYTES.
     """
-    passages = passages.where(F.length(passage) > 0)
-    if passages.count() <= BROADCAST_PASSAGES:
+    passages = passages.where(F.length(passage) > 0).select(passage_key, passage)
+    count, size = passages.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(passage)), F.lit(0))).first()
+    if count <= BROADCAST_PASSAGES and size <= BLOCK_BYTES:
         return rows.join(F.broadcast(passages), F.contains(rows[text], passages[passage])).select(key, passage_key)
     pieces = F.split(passage, " ")
     short, long = passages.where(F.size(pieces) < 6), passages.where(F.size(pieces) >= 6)
-    if short.count() > BROADCAST_PASSAGES:
-        raise ValueError("too many passages of less than six words")
-    anchored = long.withColumn("anchor", F.concat_ws(" ", F.slice(pieces, 2, 4)))
+    anchored = long.select(passage_key, F.concat_ws(" ", F.slice(pieces, 2, 4)).alias("anchor"))
     own = F.split(text, " ")
     starts = F.when(F.size(own) >= 4, F.sequence(F.lit(1), F.size(own) - 3)).otherwise(F.array().cast("array<int>"))
-    anchors = rows.select("*", F.explode(F.array_distinct(F.transform(starts, lambda i: F.concat_ws(" ", F.slice(own, i, 4))))).alias("anchor"))
-    found = anchors.join(anchored, "anchor").where(F.contains(text, F.col(passage))).select(key, passage_key).distinct()
-    return found.unionByName(rows.join(F.broadcast(short), F.contains(rows[text], short[passage])).select(key, passage_key))
+    anchors = rows.select(key, F.explode(F.array_distinct(F.transform(starts, lambda i: F.concat_ws(" ", F.slice(own, i, 4))))).alias("anchor"))
+    likely = anchors.join(anchored, "anchor").select(key, passage_key).distinct()
+    found = likely.join(rows.select(key, text), key).join(long, passage_key).where(F.contains(text, F.col(passage))).select(key, passage_key)
+    parts = short.agg(F.coalesce(F.ceil(F.sum(F.octet_length(passage)) / BLOCK_BYTES), F.lit(0)).cast("int")).first()[0]
+    for part in range(parts):
+        found = found.unionByName(_each_of(rows, short.where(F.pmod(F.xxhash64(passage_key), F.lit(parts)) == part), key, text, passage_key, passage))
+    return found
+
+
+def _each_of(rows: DataFrame, passages: DataFrame, key: str, text: str, passage_key: str, passage: str) -> DataFrame:
+    """key and passage_key of rows that contain a passage, all passages looked for in one go over each text."""
+    import pyarrow as pa
+
+    known = [(r[0], r[1]) for r in passages.select(passage_key, passage).collect()]  # about BLOCK_BYTES
+    shared = rows.sparkSession.sparkContext.broadcast(known)
+    kinds = rows.schema[key].dataType.simpleString(), passages.schema[passage_key].dataType.simpleString()
+
+    def run(batches):
+        import ahocorasick
+
+        same: dict[str, list] = {}
+        for name, value in shared.value:
+            same.setdefault(value, []).append(name)
+        machine = ahocorasick.Automaton()
+        for value, names in same.items():
+            machine.add_word(value, names)
+        machine.make_automaton()
+        for batch in batches:
+            out = [(k, name) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for names in {id(n): n for _, n in machine.iter(t or "")}.values() for name in names]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(types)], [key, passage_key])
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    types = to_arrow_type(rows.schema[key].dataType), to_arrow_type(passages.schema[passage_key].dataType)
+    return rows.select(key, text).mapInArrow(run, f"`{key}` {kinds[0]}, `{passage_key}` {kinds[1]}")
 
 
 def exact_scores(hits: DataFrame, key: str, boost: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioforge.functions import questions as Q
+from folioforge.functions import rules as R
 from folioforge.functions import text as T
 from folioforge.functions import vectors as V
 from folioforge.operators import access, gates, search, tables
@@ -138,27 +139,12 @@ def keyword_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""select conv_id, turn, len(s) as n_sentences, s[1] as first_sentence from (select conv_id, turn,
-    list_filter(list_transform(regexp_extract_all(text, '[^.!?]*[.!?]|[^.!?]+$'), lambda x: regexp_replace(trim(x, chr(32) || chr(9) || chr(10) || chr(13)), '\\s+', ' ', 'g')), lambda x: x <> '') as s from conversations where text is not null) where len(s) > 0""")
+    list_filter(list_transform(regexp_extract_all(text, '[^。；;！!？?]*[。；;！!？?]|[^。；;！!？?]+$'), lambda x: regexp_replace(trim(x, chr(32) || chr(9) || chr(10) || chr(13)), '\\s+', ' ', 'g')), lambda x: x <> '') as s from conversations where text is not null) where len(s) > 0""")
 def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", T.sentences(F.col("text")).alias("s")).where(F.size("s") > 0)
     return rows.select("conv_id", "turn", F.size("s").cast("long").alias("n_sentences"), F.element_at("s", 1).alias("first_sentence"))
 
 
-_SIGNS = {"page_fragment": r"[—–-] ?[0-9]{1,4} ?[—–-]", "symbol_run": r"[$%&*#!]{3}", "numeric_run": "[0-9]{12}", "broken_number": "[0-9][a-z][0-9]", "table_residue": r" \| .* \| "}
-_COUNT = " + ".join(f"cast({k} as int)" for k in _SIGNS)
-
-
-@query("with f as (select doc_id, " + ", ".join(f"regexp_matches(text, '{p}') as {k}" for k, p in _SIGNS.items()) + f" from documents) select *, case when broken_number then 'blocks' when {_COUNT} >= 2 then 'source_page' else 'shown' end as policy from f")
-def evidence_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flags = gates.evidence_flags(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", *[f.alias(k) for k, f in flags.items()], gates.display_policy(flags).alias("policy"))
-
-
-@query("select conv_id, turn, case " + " ".join(f"when regexp_matches(text, '{p}') then '{n}'" for n, p in Q.OUT_OF_SCOPE) + " end as reason from conversations")
-def scope_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", Q.scope(F.col("text")).alias("reason"))
-
-
 _PAIRS = """with p as (select conv_id, turn, text, lag(text) over (partition by conv_id order by turn) as before from conversations),"""
 
 
@@ -190,13 +176,6 @@ def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.select("page_id", F.length("text").cast("long").alias("n_chars"), "text")
 
 
-@query("""select level, mandatory, count(*) as n from (select case when regexp_matches(text, 'must not|shall not') then 'forbidden' when regexp_matches(text, 'must|shall') then 'mandatory'
-    when regexp_matches(text, 'should') then 'recommended' when regexp_matches(text, 'may') then 'permitted' else 'informative' end as level, regexp_matches(text, 'must|shall') as mandatory from documents) group by all""")
-def normative_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.col("text")
-    return table(spark, sf_dir, "documents").groupBy(T.normative_level(text).alias("level"), text.rlike("must|shall").alias("mandatory")).agg(F.count("*").alias("n"))
-
-
 @query("select source, count(*) as questions, cast(sum(greatest(ceil(length(text) / 2), 1)) as bigint) as tokens from documents group by source")
 def token_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = F.greatest(F.ceil(F.length("text") / 2), F.lit(1))
@@ -210,13 +189,14 @@ def list_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("total_chars", F.length("text").cast("long")).drop("text")
 
 
-@query("""select doc_id, lang, source, 'new' as origin from documents where doc_id % 3 = 0 union all
-    select d.doc_id, d.lang, d.source, 'old' from documents d where d.doc_id % 2 = 0 and d.doc_id not in (select doc_id from documents where doc_id % 3 = 0)""")
+@query("""select doc_id, lang, source, 'new' as origin from documents where doc_id in (select doc_id from labels) union all
+    select d.doc_id, d.lang, d.source, 'old' from documents d where d.doc_id not in (select doc_id from labels)""")
 def replace_by_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioforge.sources.tables import replaced
 
     rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
-    return replaced(rows.where("doc_id % 2 = 0").withColumn("origin", F.lit("old")), rows.where("doc_id % 3 = 0").withColumn("origin", F.lit("new")), "doc_id")
+    new = rows.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
+    return replaced(rows.withColumn("origin", F.lit("old")), new.withColumn("origin", F.lit("new")), "doc_id")
 
 
 @query("select doc_id, coalesce(quality, -1) as quality from documents left join labels using (doc_id)")
@@ -278,18 +258,9 @@ def context_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("source", F.col("rank").cast("long").alias("rank"), "doc_id", "n_chars")
 
 
-_ASKS = {k: f"regexp_matches(trim(text), '{p}')" for k, p in Q.SIGNALS.items()}
-
-
-@query(f"""select conv_id, turn, case when {_ASKS['deliverable']} or {_ASKS['checklist']} or {_ASKS['attachment']} then 30 when {_ASKS['table_no']} then 20 when {_ASKS['indicator']} then 12
-    when {_ASKS['obligation']} or {_ASKS['configuration']} then 10 when {_ASKS['clause']} then 8 else 5 end as result_size, """ + ", ".join(f"{sql} as asks_{k}" for k, sql in _ASKS.items()) + " from conversations")
-def question_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.col("text")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", Q.result_size(text).alias("result_size"), *[Q.asks(text, k).alias(f"asks_{k}") for k in Q.SIGNALS])
-
-
 @query()
 def packed_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentences of each document packed into parts of about 900 characters; held against plain code in the tests."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", T.sentences(F.col("text")).alias("s"))
-    return tables.packed_sentences(rows, "doc_id", F.col("s")).select("doc_id", "part", F.length("content").alias("n_chars"), F.sha2("content", 256).alias("content_sha256"))
+    """Paragraphs of each document in pieces of about 900 characters with overlap; held against plain code in the tests."""
+    pieces = R.packed_section(F.split("text", "\n"))
+    rows = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.posexplode(pieces).alias("part", "content"))
+    return rows.select("doc_id", "part", F.length("content").alias("n_chars"), F.sha2("content", 256).alias("content_sha256"))

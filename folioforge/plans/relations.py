@@ -72,11 +72,13 @@ def parent_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select a.l_orderkey, a.l_linenumber, count(b.l_linenumber) as siblings, min(b.l_linenumber) as first_sibling from lineitem a left join lineitem b on a.l_orderkey = b.l_orderkey and a.l_returnflag = b.l_returnflag and a.l_linenumber <> b.l_linenumber group by all")
 def sibling_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")
-    other = rows.withColumnRenamed("l_linenumber", "other")
-    joined = rows.join(other, ["l_orderkey", "l_returnflag"], "left")
-    sibling = F.when(F.col("other") != F.col("l_linenumber"), F.col("other"))
-    return joined.groupBy("l_orderkey", "l_linenumber").agg(F.count(sibling).alias("siblings"), F.min(sibling).alias("first_sibling"))
+    """How many siblings a row has and the first of them, from counts by group; no pairs are made."""
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_returnflag", "l_linenumber").agg(F.count("*").alias("n"))
+    groups = rows.groupBy("l_orderkey", "l_returnflag").agg(F.sum("n").alias("all"), F.min("l_linenumber").alias("first"))
+    joined = rows.join(groups, ["l_orderkey", "l_returnflag"])
+    second = joined.where("l_linenumber > first").groupBy("l_orderkey", "l_returnflag").agg(F.min("l_linenumber").alias("second"))
+    other = F.when(F.col("l_linenumber") == F.col("first"), F.col("second")).otherwise(F.col("first"))
+    return joined.join(second, ["l_orderkey", "l_returnflag"], "left").groupBy("l_orderkey", "l_linenumber").agg(F.sum(F.col("n") * (F.col("all") - F.col("n"))).alias("siblings"), F.min(other).alias("first_sibling"))
 
 
 @query("""with h as (select conv_id, turn, case when role = 'user' then text when turn % 3 = 0 then '' end as v from conversations)
@@ -239,11 +241,12 @@ def toc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select o_orderkey, list_sort(list(l_quantity))[count(*) // 2 + 1] as upper_median from orders join lineitem on o_orderkey = l_orderkey group by o_orderkey".replace("list_sort(list(l_quantity))[count(*) // 2 + 1]", "list_sort(list(l_quantity))[cast(floor(count(*) / 2) as bigint) + 1]"))
 def upper_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The upper of the two middle values, not their mean."""
-    values = F.array_sort(F.collect_list("l_quantity"))
-    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(values.alias("v"))
-    rows = rows.join(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", "left_semi")
-    return rows.select("o_orderkey", F.element_at("v", (F.floor(F.size("v") / 2) + 1).cast("int")).alias("upper_median"))
+    """The upper of the two middle values, not their mean, from counts by value."""
+    counts = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey"), "l_quantity").agg(F.count("*").alias("n"))
+    counts = counts.join(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", "left_semi")
+    upto = F.sum("n").over(Window.partitionBy("o_orderkey").orderBy("l_quantity"))
+    every = F.sum("n").over(Window.partitionBy("o_orderkey"))
+    return counts.withColumn("upto", upto).withColumn("every", every).where(F.col("upto") > F.floor(F.col("every") / 2)).groupBy("o_orderkey").agg(F.min("l_quantity").alias("upper_median"))
 
 
 @query("select coalesce(nullif(o_orderpriority, ''), 'unknown') as value, count(*) as n from orders group by 1")

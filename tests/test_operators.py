@@ -114,3 +114,15 @@ def test_feedback_stream(spark, tmp_path):
         put("2.json", ("t2", "down", "v", "2024-01-02T10:00:00Z"))
     found = {r.target_id: (r.type, r.user_id) for r in spark.read.parquet(str(tmp_path / "out/version=1")).collect()}
     assert found == {"t1": ("down", "u"), "t2": ("down", "v")}
+
+
+def test_many_passages_of_all_lengths(spark, monkeypatch):
+    """Beyond what is broadcast: short passages in blocks, long ones by their inner words."""
+    words = [f"w{i % 13}" for i in range(400)]
+    texts = [(i, " ".join(words[i * 7 : i * 7 + 30])) for i in range(40)] + [(100, None), (101, "")]
+    passages = [(i, " ".join(words[i : i + 1 + i % 9])) for i in range(120)] + [(500, "w1"), (501, "3 w"), (502, ""), (503, None), (504, "w1")]
+    expected = sorted((k, p) for k, t in texts for p, x in passages if t and x and x in t)
+    monkeypatch.setattr(search, "BROADCAST_PASSAGES", 3)
+    monkeypatch.setattr(search, "BLOCK_BYTES", 200)
+    rows, asked = spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame(passages, "item long, passage string")
+    assert sorted(map(tuple, search.containing(rows, asked, "id", "text", "item", "passage").collect())) == expected

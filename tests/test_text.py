@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioforge.functions import questions as Q
+from folioforge.functions import rules as R
 from folioforge.functions import text as T
 from folioforge.functions import vectors as V
 
@@ -23,7 +24,7 @@ def test_tokens(spark):
 
 
 def test_sentences_and_keys(spark):
-    assert value(spark, T.sentences(F.col("t")), t=" 一。 二！three. four") == ["一。", "二！", "three.", "four"]
+    assert value(spark, T.sentences(F.col("t")), t=" 一。 二！绿地率不低于0.5。宽度3.5米；three. four?") == ["一。", "二！", "绿地率不低于0.5。", "宽度3.5米；", "three. four?"]
     assert value(spark, T.exact_key(F.col("t")), t="A　11 b") == "a11b"
     assert value(spark, T.join_han(F.col("t")), t="中 文 a 字") == "中文 a 字"
     assert value(spark, T.article_number(F.col("t")), t="3.0.1 总则") == "3.0.1" and value(spark, T.article_number(F.col("t")), t="总则 3.0.1") is None
@@ -31,9 +32,63 @@ def test_sentences_and_keys(spark):
     assert not value(spark, T.is_page_number(F.col("t")), t="12-15")
 
 
-@pytest.mark.parametrize(("text", "level"), [("不得占用", "forbidden"), ("应当配置", "mandatory"), ("宜设置", "recommended"), ("可采用", "permitted"), ("说明", "informative")])
-def test_normative_levels(spark, text, level):
-    assert value(spark, T.normative_level(F.col("t")), t=text) == level
+@pytest.mark.parametrize(
+    ("text", "level", "clause"),
+    [("不得占用", "forbidden", "must"), ("必须配置", "must", "must"), ("应当配置", "shall", "shall"), ("宜设置", "should", "should"), ("可采用", "may", "may"), ("鼓励共享", "encouraged", "unknown"), ("说明", "unknown", "informative"), ("原则上", "unknown", "should")],
+)
+def test_normative_levels(spark, text, level, clause):
+    assert value(spark, R.requirement_level(F.col("t")), t=text) == level and value(spark, R.clause_level(F.col("t")), t=text) == clause
+
+
+def test_hash_takes_utf16_units(spark):
+    def plain(text):
+        h, data = 2166136261, text.encode("utf-16-le")
+        for i in range(0, len(data), 2):
+            h = (h ^ int.from_bytes(data[i : i + 2], "little")) * 16777619 % (1 << 32)
+        return h
+
+    for text in ("abc", "用地", "a😀b", "𠀀", ""):
+        assert value(spark, V.fnv1a(F.col("t")), t=text) == plain(text)
+
+
+def test_splitting_and_packing(spark):
+    def pieces(text, hard):
+        import re
+
+        if len(text) <= hard:
+            return [text]
+        out, now = [], ""
+        for s in filter(None, re.split("(?<=[。；;！!])", text)):
+            if len(s) > hard or (len(now) + len(s) > hard and now):
+                out += [now.strip()] if now.strip() else []
+                now = ""
+            if len(s) > hard:
+                out += [c for i in range(0, len(s), hard) if (c := s[i : i + hard].strip())]
+            else:
+                now += s
+        return out + ([now.strip()] if now.strip() else [])
+
+    texts = ["甲乙丙。" * 9, "短。", "无标点" * 20 + "；" + "尾。" * 3, " 前。 " + "长" * 25 + "！后"]
+    for t in texts:
+        assert value(spark, R.split_long(F.col("t"), 12), t=t) == pieces(t, 12)
+    parts = ["一" * 20, "二" * 15, "三" * 30, "四"]
+    found = value(spark, R.packed_section(F.split("t", "/"), 30, 5, 4), t="/".join(parts))
+    assert found == ["一" * 20, "一" * 5 + "二" * 15, "二" * 5 + "三" * 30, "三" * 5 + "四"]
+    long = value(spark, R.packed_section(F.split("t", "/")), t="甲" * 2000 + "。/" + "乙" * 700)
+    assert long == ["甲" * 1200, "甲" * 800 + "。", ("甲" * 99 + "。" + "乙" * 700)]
+
+
+def test_conclusions_and_evidence(spark):
+    quality = value(spark, R.evidence_quality(F.lit("table_row"), F.col("t")), t="服务规模：0万.9人6、1万.4人4。")
+    assert quality.warnings == ["scrambled_numeric_unit"] and quality.blocks_answer and quality.policy == "source_page_required"
+    clean = value(spark, R.evidence_quality(F.lit("clause"), F.col("t")), t="第1条规定，服务规模：0万.9人6。")
+    assert clean.warnings == [] and clean.policy == "show_extracted_text"
+    assert value(spark, R.sanitised_conclusion(F.col("t")), t="【结构化指标项】\n名称：甲\n原文：\n停车位100个。") == "停车位100个。"
+    assert value(spark, R.sanitised_conclusion(F.col("t")), t="【结论】\n可以。\n【依据】\n第1条") == "可以。"
+    assert value(spark, R.incomplete_reasons(F.col("t")), t="绿地率不低于") == ["dangling_connector"] and value(spark, R.incomplete_reasons(F.col("t")), t="规模为35") == ["dangling_number"]
+    assert value(spark, R.refuses(F.col("t")), t="未找到该用地的具体要求。") and not value(spark, R.refuses(F.col("t")), t="应配建停车位。无法回答的除外")
+    assert value(spark, R.import_field(F.col("t")), t=" 答案来源：") == "correctFile" and value(spark, R.import_field(F.col("t")), t="备注") is None
+    assert value(spark, R.file_fits(F.col("a"), F.col("b")), a="停车配建指标.pdf", b="停车标准") and value(spark, R.file_fits(F.col("a"), F.col("b")), a="甲标准.pdf", b="《甲 标准》")
 
 
 def test_dates(spark):
