@@ -35,7 +35,7 @@ TREES, DEPTH, CROWD, MISSED = 16, 8, 8, 2e-5
 #: Neighbours in the sorted order that a class of a crowded region proposes.
 NEIGHBOURS = 2
 #: Members of a crowded region that are compared with as many others at a time.
-BLOCK = 1024
+BLOCK = 256
 #: Cells of the tables that large regions and wanted documents are looked up in.
 CELLS, WANTED_BITS = 1 << 16, 27
 #: Groups that a region which is large even at full depth is dealt out over.

@@ -8,6 +8,8 @@ occurs once, and every repeated window is among those estimated repeated. A seco
 The windows of the second pass travel in runs that share a minimiser (the least hash of the short word sequences inside
 a window), so that equal windows meet and the row overhead is paid once a run. Windows that the sketch holds for very
 frequent are dealt out over SALTS groups; a group that sees such a window once passes it on to a small second round.
+Where many different windows share one minimiser, which the sketching tasks count as well (by cells), each travels by its
+own hash instead.
 
 Defined results: a null text has no words. Rows with equal text are different documents, so all their windows repeat,
 also when the key is equal or null. Texts shorter than a window keep all words. Other columns are not read.
@@ -35,6 +37,8 @@ DEPTH, SHARD_BITS = 2, 6
 #: A row of the sketch has at least CELLS_PER_WINDOW times as many cells as there are windows, between these powers of two.
 LEAST_BITS, MOST_BITS, CELLS_PER_WINDOW, BYTES_PER_WORD = 20, 30, 1.5, 6
 SALTS, DIGEST = 64, 12
+#: Cells that minimisers are counted in, and the windows of one from which on its windows travel alone: this share of all, or many.
+PIECE_BITS, PIECE_SHARE, PIECE_LEAST = 12, 512, 65_536
 #: Windows counted before a task hands on its sketch.
 HELD = 4_000_000
 
@@ -49,6 +53,10 @@ def cells_of(windows: Windows, row: int, bits: int) -> np.ndarray:
     return (mixed(windows.hash, row + 1) >> np.uint64(64 - bits)).astype(np.uint32)
 
 
+def piece_cells(minimiser: np.ndarray) -> np.ndarray:
+    return (mixed(minimiser, 21) >> np.uint64(64 - PIECE_BITS)).astype(np.int64)
+
+
 def packed(cells: np.ndarray) -> bytes:
     """Sorted cells as steps of a byte each; 255 is a step that reaches no cell."""
     steps = np.diff(cells, prepend=np.uint32(0)).astype(np.int64)
@@ -72,11 +80,12 @@ def _shards(held: list[np.ndarray], row: int, bits: int) -> Iterator[tuple[int,
 
 
 def sketched(docs: DataFrame, window: int, bits: int) -> DataFrame:
-    """Merged sketch: shard, bits (which cells count 2 or more, packed) and hot (the few cells of a large share)."""
+    """Merged sketch: shard, bits (which cells count 2 or more, packed) and hot (the few cells of a large share); shard -1 has the hot cells of minimisers."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = [[] for _ in range(DEPTH)]
         task = TaskContext.get().partitionId()
+        pieces = np.zeros(1 << PIECE_BITS, np.int64)
 
         def flush() -> pa.RecordBatch:
             rows = [x for row in range(DEPTH) for x in _shards(held[row], row, bits)]
@@ -88,17 +97,23 @@ def sketched(docs: DataFrame, window: int, bits: int) -> DataFrame:
             for _, texts in portions(batch.column(0)):
                 windows = Windows(texts, window)
                 if len(windows.hash):
+                    pieces += np.bincount(piece_cells(windows.minimiser), minlength=len(pieces))
                     for row in range(DEPTH):
                         held[row].append(cells_of(windows, row, bits))
                 if sum(map(len, held[0])) >= HELD:
                     yield flush()
         if held[0]:
             yield flush()
+        if pieces.any():
+            yield pa.RecordBatch.from_pydict({"shard": pa.array([-1], pa.int32()), "task": pa.array([task], pa.int32()), "cells": pa.array([zlib.compress(pieces.tobytes(), 1)], pa.binary())})
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, total = -1, np.zeros(1 << bits - SHARD_BITS, np.uint32)
+        shard, total, pieces = -2, np.zeros(1 << bits - SHARD_BITS, np.uint32), np.zeros(1 << PIECE_BITS, np.int64)
 
         def result() -> pa.RecordBatch:
+            if shard == -1:
+                many = np.flatnonzero(pieces > max(PIECE_LEAST, int(pieces.sum()) // PIECE_SHARE))
+                return pa.RecordBatch.from_pydict({"shard": pa.array([-1], pa.int32()), "bits": pa.array([b""], pa.binary()), "hot": pa.array([many.astype("<u4").tobytes()], pa.binary())})
             hot = np.flatnonzero(total > max(256, int(total.sum()) // 1024))
             twice = zlib.compress(np.packbits(total > 1).tobytes(), 1)
             return pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "bits": pa.array([twice], pa.binary()), "hot": pa.array([hot.astype("<u4").tobytes()], pa.binary())})
@@ -106,28 +121,35 @@ def sketched(docs: DataFrame, window: int, bits: int) -> DataFrame:
         for batch in batches:
             for now, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if now != shard:
-                    if shard >= 0:
+                    if shard >= -1:
                         yield result()
                     shard = now
                     total[:] = 0
-                np.add.at(total, unpacked(cells), 1)
-        if shard >= 0:
+                if shard == -1:
+                    pieces += np.frombuffer(zlib.decompress(cells), np.int64)
+                else:
+                    np.add.at(total, unpacked(cells), 1)
+        if shard >= -1:
             yield result()
 
     parts = docs.mapInArrow(count, "shard int, task int, cells binary").select("shard", "cells")
     return parts.repartition(DEPTH << SHARD_BITS, "shard").sortWithinPartitions("shard").mapInArrow(merge, "shard int, bits binary, hot binary")
 
 
-def joined_bits(rows: list, bits: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """By sketch row: one bit a cell, and the sorted hot cells."""
+def joined_bits(rows: list, bits: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """By sketch row: one bit a cell, and the sorted hot cells; and the hot cells of minimisers."""
+    pieces = np.zeros(0, np.uint32)
     twice = [np.zeros(1 << bits - 3, np.uint8) for _ in range(DEPTH)]
     hot: list[list[np.ndarray]] = [[] for _ in range(DEPTH)]
     size = 1 << bits - SHARD_BITS
     for r in rows:
+        if r.shard == -1:
+            pieces = np.frombuffer(r.hot, "<u4")
+            continue
         row, shard = r.shard >> SHARD_BITS, r.shard & (1 << SHARD_BITS) - 1
         twice[row][shard * size // 8 : (shard + 1) * size // 8] = np.frombuffer(zlib.decompress(r.bits), np.uint8)
         hot[row].append(np.frombuffer(r.hot, "<u4") + np.uint32(shard * size))
-    return twice, [np.sort(np.concatenate(x)) if x else np.zeros(0, np.uint32) for x in hot]
+    return twice, [np.sort(np.concatenate(x)) if x else np.zeros(0, np.uint32) for x in hot], pieces
 
 
 def _digests(text: bytes, words: np.ndarray, window: int) -> bytes:
@@ -145,7 +167,7 @@ def candidates(docs: DataFrame, window: int, bits: int, sketch: list) -> DataFra
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        twice, hot = joined_bits(shared.value, bits)
+        twice, hot, pieces = joined_bits(shared.value, bits)
         for batch in batches:
             for start, texts in portions(batch.column("text")):
                 w = Windows(texts, window)
@@ -158,6 +180,8 @@ def candidates(docs: DataFrame, window: int, bits: int, sketch: list) -> DataFra
                     continue
                 often = np.logical_and.reduce([np.isin(cells[row][chosen], hot[row]) for row in range(DEPTH)])
                 text, word, least_piece = w.text[chosen], w.word[chosen], w.minimiser[chosen]
+                if len(pieces):
+                    least_piece = np.where(np.isin(piece_cells(least_piece), pieces), mixed(w.hash[chosen], 31), least_piece)
                 by_text = np.searchsorted(text, np.arange(len(texts) + 1))
                 digests = b"".join(_digests(texts[t], word[a:b], window) for t, (a, b) in enumerate(zip(by_text[:-1], by_text[1:], strict=True)) if b > a)
                 order = np.lexsort((word, often, least_piece, text))

@@ -57,13 +57,25 @@ def test_frequent_windows_in_salted_groups(spark, odd_rows, monkeypatch):
     made = substrings.joined_bits
 
     def all_hot(rows, size):
-        bits, _ = made(rows, size)
-        return bits, [np.flatnonzero(np.unpackbits(x)).astype(np.uint32) for x in bits]
+        bits, _, pieces = made(rows, size)
+        return bits, [np.flatnonzero(np.unpackbits(x)).astype(np.uint32) for x in bits], pieces
 
     monkeypatch.setattr(substrings, "joined_bits", all_hot)
     assert rows_of(substrings.digests(docs)) == expected(odd_rows)
 
 
+def test_windows_of_a_frequent_minimiser_travel_alone(spark, odd_rows, monkeypatch):
+    """Hundreds of different repeated windows around one sentence, all their minimisers taken for frequent."""
+    dice = random.Random(8)
+    sentence = " ".join(f"s{i}" for i in range(9))
+    rows = [(1000 + i, " ".join([f"a{dice.randrange(50)}" for _ in range(20)] + [sentence] + [f"b{dice.randrange(50)}" for _ in range(20)])) for i in range(60)]
+    rows = [*odd_rows, *rows, *[(k + 5000, t) for k, t in rows[:40]]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(substrings, "PIECE_LEAST", 0)
+    monkeypatch.setattr(substrings, "PIECE_SHARE", 1 << 60)
+    assert rows_of(substrings.digests(docs)) == expected(rows)
+
+
 def test_packing():
     cells = np.sort(np.random.default_rng(0).integers(0, 1 << 22, 5000).astype(np.uint32))
     for part in (cells, cells[:3], np.array([0, 0, 255, 510, 4000000], np.uint32), np.repeat(cells[:9], 40)):
