@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioforge.plans import documents, regulations, relations, service, tabular
+from folioforge.plans import documents, pages, regulations, relations, service, tabular
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {**documents.QUERIES, **regulations.QUERIES, **tabular.QUERIES, **service.QUERIES, **relations.QUERIES}
+    return {**documents.QUERIES, **regulations.QUERIES, **tabular.QUERIES, **service.QUERIES, **pages.QUERIES, **relations.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**documents.ORACLES, **regulations.ORACLES, **tabular.ORACLES, **service.ORACLES, **relations.ORACLES}
+    return {**documents.ORACLES, **regulations.ORACLES, **tabular.ORACLES, **service.ORACLES, **pages.ORACLES, **relations.ORACLES}
