@@ -78,7 +78,7 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-def lookup_left(left: DataFrame, right: DataFrame, key: str, count: str, bound: int) -> DataFrame:
+def lookup_left(left: DataFrame, right: DataFrame, key: str | list[str], count: str, bound: int) -> DataFrame:
     """Like ``lookup``, but rows of left without a match stay, with nulls."""
     hot = right.where(F.col(count) > bound).drop(count)
     cold = right.where(F.col(count) <= bound).drop(count)
@@ -86,7 +86,7 @@ def lookup_left(left: DataFrame, right: DataFrame, key: str, count: str, bound:
     return left.join(F.broadcast(hot), key).unionByName(rest.join(cold, key, "left"))
 
 
-def lookup(left: DataFrame, right: DataFrame, key: str, count: str, bound: int) -> DataFrame:
+def lookup(left: DataFrame, right: DataFrame, key: str | list[str], count: str, bound: int) -> DataFrame:
     """Inner join of left with right (one row a key; ``count``: how many rows of left have it) without a hot task.
 
     Keys with more than ``bound`` rows are few (see hot_bound), so they are broadcast; the others are shuffled.

@@ -1,14 +1,17 @@
 """Personal data: patterns for four kinds, and terms that reveal what the patterns find; DataFrame operations only.
 
 Base spans are the leftmost non-overlapping matches of each kind's pattern that pass its check. The method adds spans of
-kind ``term``: a protected entity is a value of a base span. Words next to an entity (``CONTEXT`` characters on either
-side) co-occur with it. With P(entity | term) = co-occurrences / documents with the term, a term discloses the share
-1 + log P / log(documents / documents with the entity) of the entity's information, its pointwise mutual information
-over the entity's information content. Terms that co-occur with an entity in SUPPORT different texts at least, and
-disclose at least DISCLOSED of it, are spans in every document that holds the entity; other documents are left alone.
+kind ``term``: a protected entity is a value of a base span. Words of a whole text co-occur with the entities that it
+holds; all counts are of distinct texts. Of N texts, n hold an entity, d hold a term and c hold both. The share of the
+term's texts that hold the entity is estimated as P = (c + SHRINK * n/N) / (d + SHRINK), which draws terms that were
+seen once or twice towards the entity's own rate instead of leaving them out. A term discloses the share
+1 + log P / log(N/n) of the entity's information, its pointwise mutual information over the entity's information
+content. Terms that disclose DISCLOSED of it at least, and foretell the entity with P >= LIKELY, are spans in every
+document that holds both; other documents are left alone. It follows that a term has to occur with the entity in two
+different texts at least, at every size of the corpus: with SHRINK = 1, P stays too low after one.
 ``sanitised`` generalises spans to the name of their kind.
 
-Defined results: a null text is the empty text. Copies of a text count once towards SUPPORT. Repeated rows get the
+Defined results: a null text is the empty text. Copies of a text count once. Repeated rows get the
 same spans; other columns are not read. Patterns are possessive where that can't change a match, so that very long runs
 need no stack, and may begin only where a run begins or the last match ended, which leaves leftmost matches as they are.
 """
@@ -27,8 +30,8 @@ IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 OCTETS = r"^0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})(?:\.0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})){3}$"
-CONTEXT, SUPPORT, DISCLOSED, TERM = 60, 3, 0.9, r"[\p{L}\p{N}]{2,}"
-#: Terms up to this many are broadcast, so that other words don't leave the scan that counts them.
+SHRINK, DISCLOSED, LIKELY, TERM = 1, 0.9, 0.6, r"[\p{L}\p{N}]{2,}"
+#: Terms up to this many are broadcast, so that other words don't leave the scan that counts them; beyond that they are joined.
 MOST_TERMS = 1_000_000
 SPANS = "array<struct<start:int,kind:int,end:int,value:string>>"
 
@@ -87,31 +90,56 @@ def entity_of(span: Column) -> Column:
     return F.concat(span["kind"].cast("string"), F.lit(":"), F.when(span["kind"] < 2, F.lower(span["value"])).otherwise(digits_of(span["value"])))
 
 
-def terms_near(text: Column, span: Column) -> Column:
-    """Distinct lower-case words of letters and digits next to a span, without those at the cut."""
-    left = F.substring(text, F.greatest(span["start"] - CONTEXT, F.lit(0)) + 1, F.least(span["start"], F.lit(CONTEXT)))
-    right = F.substring(text, span["end"] + 1, F.lit(CONTEXT))
-    left = F.when(span["start"] > CONTEXT, F.regexp_replace(left, r"^[\p{L}\p{N}]+", "")).otherwise(left)
-    right = F.when(F.length(text) > span["end"] + CONTEXT, F.regexp_replace(right, r"[\p{L}\p{N}]+$", "")).otherwise(right)
-    return F.array_distinct(F.regexp_extract_all(F.lower(F.concat(left, F.lit(" "), right)), F.lit(TERM), F.lit(0)))
+def has_marks(text: Column) -> Column:
+    """Whether a text may hold a base span: an at sign, a plus or enough digits; false for most texts."""
+    return F.contains(text, F.lit("@")) | F.contains(text, F.lit("+")) | text.rlike(r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]|[0-9](?:[\x20-]?[0-9]){13}")
 
 
-def disclosing_terms(docs: DataFrame, held: DataFrame, total: int) -> DataFrame:
-    """entity, term for all terms that disclose enough of an entity.
+def terms_of(text: Column) -> Column:
+    """Distinct lower-case words of letters and digits."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
 
-    docs: text. held: print (of the text), entity, terms (next to it), a row for each entity of each document.
+
+def least_share(n: Column, total: int) -> Column:
+    """The share P that a term has to reach to disclose an entity which n of total texts hold."""
+    rate = n / F.greatest(F.lit(float(total)), n + 1)
+    return F.greatest(F.lit(LIKELY), F.pow(rate, F.lit(1 - DISCLOSED)))
+
+
+def reaches(both: Column, seen: Column, n: Column, total: int) -> Column:
+    rate = n / F.greatest(F.lit(float(total)), n + 1)
+    return both + SHRINK * rate >= least_share(n, total) * (seen + SHRINK)
+
+
+def with_classes(held: DataFrame) -> DataFrame:
+    """print, terms, classes of the texts that hold an entity which other texts hold too.
+
+    Entities with the same texts co-occur with the same terms, so they are one class: class and n (texts that hold it).
+    """
+    holders = held.select("print", F.explode("entities").alias("entity"))
+    own = F.xxhash64("print")
+    known = holders.groupBy("entity").agg(F.count("*").alias("n"), F.bit_xor(own).alias("one"), F.sum(F.hash("print").cast("long")).alias("two")).where("n > 1")
+    known = stored(known.select("entity", "n", F.xxhash64("n", "one", "two").alias("class"), F.col("n").alias("uses")))
+    placed = lookup(holders, known, "entity", "uses", hot_bound(holders.count()))
+    return held.select("print", "terms").join(placed.groupBy("print").agg(F.collect_set(F.struct("class", "n")).alias("classes")), "print")
+
+
+def disclosing_terms(texts: DataFrame, held: DataFrame, named: DataFrame, total: int) -> DataFrame:
+    """class, term, both for all terms that disclose enough of a class of entities.
+
+    texts: of ``with_classes``; held: print, terms of all texts with an entity; named: print, text of all documents. How
+    many texts hold a term is counted for those terms only that could still disclose if no text without entities had them.
     """
-    entities = held.groupBy("entity").agg(F.countDistinct("print").alias("texts"), F.count("*").alias("holders")).where(F.col("texts") >= SUPPORT).drop("texts")
-    pairs = held.select("entity", "print", F.explode("terms").alias("term")).groupBy("entity", "term")
-    together = pairs.agg(F.countDistinct("print").alias("texts"), F.count("*").alias("both")).where(F.col("texts") >= SUPPORT).drop("texts")
-    together = stored(together.join(entities, "entity"))
-    wanted = together.select("term").distinct()
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))
+    pairs = texts.select(F.explode("terms").alias("term"), "classes").select("term", F.explode("classes").alias("x"))
+    together = stored(pairs.groupBy("term", F.col("x.class").alias("class"), F.col("x.n").alias("n")).agg(F.count("*").alias("both")).where("both > 1"))
+    seen = held.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("seen"))
+    uses = seen.join(together.groupBy("term").agg(F.count("*").alias("uses")), "term")
+    open_pairs = stored(lookup(together, uses, "term", "uses", hot_bound(together.count())).where(reaches(F.col("both"), F.col("seen"), F.col("n"), total)))
+    wanted = stored(open_pairs.select("term").distinct())
     wanted = F.broadcast(wanted) if wanted.count() <= MOST_TERMS else wanted
-    spread = docs.select(F.explode(words).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("documents"))
-    share = F.col("both") / F.greatest("documents", "both")
-    information = F.log2(F.greatest(F.lit(float(total)), F.col("holders") + 1) / F.col("holders"))
-    return together.join(spread, "term").where(1 + F.log2(share) / information >= DISCLOSED).select("entity", "term")
+    words = named.select("print", F.explode(terms_of(F.col("text"))).alias("term")).join(wanted, "term", "left_semi")
+    spread = words.groupBy("term").agg(F.countDistinct("print").alias("texts"))
+    return open_pairs.join(spread, "term").where(reaches(F.col("both"), F.col("texts"), F.col("n"), total)).select("class", "term", "both")
 
 
 def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -119,23 +147,20 @@ def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     value = F.coalesce(F.col(text), F.lit(""))
     print_ = F.concat_ws("-", F.hex(F.xxhash64(value)), F.hex(F.hash(value)))
     named = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("doc"), value.alias("text"), print_.alias("print"))
-    found = named.select("text", "print").withColumn("spans", base_spans(F.col("text"))).where(F.size("spans") > 0)
-
-    def around(entity: Column) -> Column:
-        own = F.filter("spans", lambda s: entity_of(s) == entity)
-        return F.struct(entity.alias("entity"), F.array_distinct(F.flatten(F.transform(own, lambda s: terms_near(F.col("text"), s)))).alias("terms"))
-
-    each = F.transform(F.array_distinct(F.transform("spans", entity_of)), around)
-    held = stored(found.select("print", F.explode(each).alias("x")).select("print", "x.entity", "x.terms"))
-    flagged = disclosing_terms(docs.select(value.alias("text")), held, docs.count())
-    flagged = stored(flagged.groupBy("entity").agg(F.collect_set("term").alias("flagged")))
-    uses = held.groupBy("entity", "print").agg(F.count("*").alias("copies"))
-    counts = uses.groupBy("entity").agg(F.count("*").alias("uses"))
-    by_text = lookup(uses, flagged.join(counts, "entity"), "entity", "uses", hot_bound(held.count()))
-    # an entity's copies of a text are as many as the text has; texts with very many are looked up by broadcast
-    by_text = stored(by_text.groupBy("print").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("flagged")))).alias("pii_terms"), F.max("copies").alias("copies")))
-    rows = lookup_left(named, by_text, "print", "copies", hot_bound(docs.count()))
-    value = F.col("text")
+    value, marked = F.col("text"), has_marks(F.col("text"))
+    found = named.where(marked).select("print", value, base_spans(value).alias("spans")).where(F.size("spans") > 0)
+    found = found.select("print", F.array_distinct(F.transform("spans", entity_of)).alias("entities"), terms_of(value).alias("terms"))
+    held = stored(found.groupBy("print").agg(F.first("entities").alias("entities"), F.first("terms").alias("terms"), F.count("*").alias("copies")))
+    texts = stored(with_classes(held))
+    total = named.agg(F.countDistinct("print")).first()[0]
+    flagged = stored(disclosing_terms(texts, held, named.select("print", "text"), total))
+    uses = flagged.agg(F.coalesce(F.sum("both"), F.lit(0))).first()[0]
+    pairs = texts.select("print", F.explode("terms").alias("term"), "classes").select("print", "term", F.explode("classes.class").alias("class"))
+    own = lookup(pairs, flagged, ["class", "term"], "both", hot_bound(uses)).groupBy("print").agg(F.array_sort(F.collect_set("term")).alias("pii_terms"))
+    # texts with very many copies are few and looked up by broadcast
+    by_text = stored(own.join(held.select("print", "copies"), "print"))
+    rows = lookup_left(named.where(marked), by_text, "print", "copies", hot_bound(docs.count()))
+    rows = rows.unionByName(named.where(~marked).withColumn("pii_terms", F.lit(None).cast("array<string>")))
     pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join("pii_terms", "|"), F.lit(r")(?![\p{L}\p{N}])"))
     terms = F.when(F.col("pii_terms").isNotNull(), matches(value, pattern, 4)).otherwise(F.array().cast(SPANS))
     return rows.select("doc", F.array_sort(F.concat(base_spans(value), terms)).alias("pii_spans"))

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 from collections import defaultdict
 from math import log2
@@ -40,36 +41,25 @@ def listed(spans):
     return ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b, *_ in spans)
 
 
-def near(text, a, b):
-    left, right = text[max(a - pii.CONTEXT, 0) : a], text[b : b + pii.CONTEXT]
-    left = re.sub(r"^[^\W_]+", "", left) if a > pii.CONTEXT else left
-    right = re.sub(r"[^\W_]+$", "", right) if len(text) > b + pii.CONTEXT else right
-    return set(re.findall(r"[^\W_]{2,}", f"{left} {right}".lower()))
-
-
 def expected(rows):
     texts = [text or "" for _, text in rows]
-    with_entity, both, spread, own = defaultdict(list), defaultdict(list), defaultdict(int), []
+    holders, having, own = defaultdict(set), defaultdict(set), []
     for text in texts:
-        for term in set(re.findall(r"[^\W_]{2,}", text.lower())):
-            spread[term] += 1
-        own.append(defaultdict(set))
-        for a, k, b, value in base(text):
-            own[-1][k, value.lower() if k < 2 else re.sub("[^0-9]", "", value)] |= near(text, a, b)
-        for entity, terms in own[-1].items():
-            with_entity[entity].append(text)
-            for term in terms:
-                both[entity, term].append(text)
-    flagged = defaultdict(set)
-    for (entity, term), seen in both.items():
-        n = len(with_entity[entity])
-        if len(set(seen)) >= pii.SUPPORT and len(set(with_entity[entity])) >= pii.SUPPORT and spread[term]:
-            share = len(seen) / max(spread[term], len(seen))
-            if 1 + log2(share) / log2(max(len(rows), n + 1) / n) >= pii.DISCLOSED:
+        for term in re.findall(r"[^\W_]{2,}", text.lower()):
+            having[term].add(text)
+        own.append({(k, value.lower() if k < 2 else re.sub("[^0-9]", "", value)) for _, k, _, value in base(text)})
+        for entity in own[-1]:
+            holders[entity].add(text)
+    flagged, total = defaultdict(set), len(set(texts))
+    for entity, held in holders.items():
+        rate = len(held) / max(total, len(held) + 1)
+        for term in {t for text in held for t in re.findall(r"[^\W_]{2,}", text.lower())}:
+            share = (len(held & having[term]) + pii.SHRINK * rate) / (len(having[term]) + pii.SHRINK)
+            if share >= pii.LIKELY and 1 - log2(share) / log2(rate) >= pii.DISCLOSED:
                 flagged[entity].add(term)
     out = []
     for (key, _), text, entities in zip(rows, texts, own, strict=True):
-        found, terms = base(text), set().union(*[flagged[e] for e in entities])
+        found, terms = base(text), set().union(*[flagged[e] for e in entities]) & set(re.findall(r"[^\W_]{2,}", text.lower()))
         more = [(m.start(), 4, m.end()) for m in re.finditer(rf"(?i)(?<![^\W_])(?:{'|'.join(sorted(terms))})(?![^\W_])", text)] if terms else []
         out.append((key, *(sum(s[1] == k for s in found) for k in range(4)), hashlib.sha256(listed(found).encode()).hexdigest(), listed(sorted([*(s[:3] for s in found), *more]))))
     return sorted(out, key=str)
@@ -121,3 +111,36 @@ def test_clashing_names(spark):
     assert clean.columns == docs.columns and {tuple(r)[2:] for r in clean.collect()} == {tuple(names)}
     plain = pii.sanitised(docs.select("doc_id", "text"))
     assert rows_of(clean.select("doc_id", "text")) == rows_of(plain)
+
+
+def planted(names=40, plain=400):
+    """Texts in which a name stands in the heading and its address at the end, two to four texts a name, far apart."""
+    dice, words = random.Random(7), [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]
+    filler = lambda: " ".join(dice.choices(words, k=60))
+    rows, own = [], {}
+    for i in range(names):
+        name = ["Wu", "Ana", "漢字", "Zorblatt"][i % 4] + str(i) * (i > 3)
+        for _ in range(2 + i % 3):
+            own[len(rows)] = name.lower()
+            rows.append((len(rows), f"{name} writes: {filler()} mail to box{i}@corp.example"))
+    return rows + [(len(rows) + i, filler()) for i in range(plain)], own
+
+
+def test_names_far_from_their_address(spark):
+    rows, own = planted()
+    found = rows_of(pii.report(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert found == expected(rows)
+    hidden = {}
+    for key, *_, spans in found:
+        text = rows[key][1].lower()
+        hidden[key] = {text[int(a) : int(b)] for kind, a, b in (x.split(":") for x in spans.split(",") if x) if kind == "term"}
+    assert all(name in hidden[key] for key, name in own.items())
+    assert all(not hidden[key] for key, _ in rows if key not in own)
+    assert not any(re.match("word", t) for terms in hidden.values() for t in terms)
+
+
+def test_one_group_holds_most_texts(spark):
+    """A third of all texts shares many addresses and words; copies of one text are another third."""
+    boxes = " ".join(f"b{i}@c.de" for i in range(60))
+    rows = [(i, f"{boxes} common words secretword{i % 2} here {i}") for i in range(60)] + [(100 + i, f"copy x{1}y a@b.cd") for i in range(60)] + [(200 + i, f"common words here {i}") for i in range(60)]
+    assert rows_of(pii.report(spark.createDataFrame(rows, "doc_id long, text string"))) == expected(rows)
