@@ -17,13 +17,14 @@ from folioforge.operators.tables import section_paths
 COLUMNS = ["doc_id", "object_type", "first_block", "page_start", "page_end", "title", "content", "confidence"]
 #: What marks each kind of record.
 CLAUSE = "^\\s*(第[0-9一二三四五六七八九十百]+条|[0-9]+(?:\\.[0-9]+){1,3})\\s*"
-DEFINITION = "^\\s*[“\"]?([^，。：:\"”]{1,40})[”\"]?\\s*(?:是指|指的是|系指|means|refers to)\\s*(.+)$"
-DEFINITION_HEADING = "术语|定义|Definitions|Terms"
-REFERENCE = "《[^》]+》|GB\\s*[/T]*\\s*[0-9]{3,}|ISO\\s*[0-9]{3,}"
-STEP = "^\\s*(?:[0-9]+[.)、]|[（(][0-9]+[)）]|第[一二三四五六七八九十]+步|Step [0-9]+)"
-PROCEDURE_HEADING = "流程|程序|步骤|Procedure|Process"
-DELIVERABLE = "图纸|说明书|成果|文件|报告|drawing|report|deliverable"
-CHECK = "检查|审查|核对|check|review"
+DEFINITION = "^(?:本(?:标准|办法|规定|指南|导则)所称)?\\s*([^，。：:\\s]{2,30})\\s*(?:是指|指|是|包括|：|:)(.+)$"
+DEFINITION_HEADING = "术语|名词解释|定义|用词说明|统计口径"
+DELIVERABLE = "成果要求|成果|附件|数据库|附表|清单|编制内容|应包括|至少包括|必选|选做|▲"
+DRAWING = "图纸要求|图纸目录|图纸|图则|导则|比例尺"
+CHECK = "清单|任务|问题|需求|项目|政策|事项|材料"
+PROCEDURE = "流程|程序|步骤|阶段|办理|审查|审批|报审|操作"
+STEP = "^\\s*(?:第?[一二三四五六七八九十0-9]+步|步骤[一二三四五六七八九十0-9]+|[0-9]+[、.．])"
+BASIS = "编制依据|依据|引用标准|相关规范|上位规划|法律法规"
 
 
 def record(kind: str | Column, title: Column, content: Column, confidence: float | Column) -> list[Column]:
@@ -69,10 +70,11 @@ def clauses(blocks: DataFrame) -> DataFrame:
 
 def definitions(blocks: DataFrame) -> DataFrame:
     """A defining sentence anywhere, or any paragraph below a heading of terms."""
-    term = F.nullif(F.regexp_extract("text", DEFINITION, 1), F.lit(""))
-    below = F.coalesce(F.col("heading").rlike(DEFINITION_HEADING), F.lit(False))
-    rows = blocks.where("level is null").withColumn("term", term).where(F.col("term").isNotNull() | below)
-    return rows.select(*record("definition", F.coalesce("term", F.substring("text", 1, 40)), F.col("text"), F.when(F.col("term").isNotNull(), 0.9).otherwise(0.7)))
+    found = F.regexp_extract("text", DEFINITION, 1)
+    title = F.when(found != "", R.trimmed(found)).otherwise(R.section_term(F.col("text")))
+    rows = blocks.where("level is null").withColumn("found", (found != "") & (R.trimmed(F.regexp_extract("text", DEFINITION, 2)) != "")).withColumn("term", title)
+    rows = rows.where(F.col("found") | ((found == "") & F.coalesce(F.col("heading").rlike(DEFINITION_HEADING), F.lit(False)))).where((F.col("term") != "") & (F.length("term") <= 40))
+    return rows.select(*record("definition", F.col("term"), F.col("text"), F.when(F.col("found"), 0.88).otherwise(0.62)))
 
 
 def requirements(blocks: DataFrame) -> DataFrame:
@@ -82,12 +84,32 @@ def requirements(blocks: DataFrame) -> DataFrame:
     return rows.select(*record("requirement", F.col("rule"), F.col("text"), 0.8))
 
 
-def matching(blocks: DataFrame, kind: str, pattern: str, heading: str | None = None, confidence: float = 0.75) -> DataFrame:
-    """Paragraphs that fit a pattern, or stand below a fitting heading."""
-    fits = F.col("text").rlike(pattern)
-    if heading:
-        fits = fits & F.coalesce(F.col("heading").rlike(heading), F.lit(False))
-    return blocks.where("level is null").where(fits).select(*record(kind, F.substring("text", 1, 40), F.col("text"), confidence))
+def deliverables(blocks: DataFrame) -> DataFrame:
+    """Paragraphs that name a drawing, else those that name another thing to hand in."""
+    text, drawing = F.col("text"), F.col("text").rlike(DRAWING)
+    title = F.when(drawing, F.substring("text", 1, 40)).otherwise(F.coalesce(R.item_name(text), F.substring("text", 1, 40)))
+    rows = blocks.where("level is null").where(drawing | text.rlike(DELIVERABLE))
+    return rows.select(*record(F.when(drawing, "drawing").otherwise("deliverable"), title, text, F.when(drawing, 0.74).otherwise(0.72)))
+
+
+def checklist_items(blocks: DataFrame) -> DataFrame:
+    """List items that speak of tasks or papers, or whose section does."""
+    own = F.col("text").rlike(CHECK)
+    bare = F.regexp_replace("text", "^\\s*[0-9]+[、.．]\\s*", "")
+    rows = blocks.where("level is null").where(T.list_mark(F.col("text")).isNotNull() & (own | F.col("section_path").rlike(CHECK)))
+    return rows.select(*record("checklist_item", F.substring(F.when(own, F.col("text")).otherwise(bare), 1, 40), F.col("text"), F.when(own, 0.68).otherwise(0.72)))
+
+
+def procedure_steps(blocks: DataFrame) -> DataFrame:
+    """Paragraphs of a section about a procedure; elsewhere those that speak of one and begin like a step."""
+    fits = F.col("section_path").rlike(PROCEDURE) | (F.col("text").rlike(PROCEDURE) & F.col("text").rlike(STEP))
+    return blocks.where("level is null").where(fits).select(*record("procedure_step", F.substring("text", 1, 40), F.col("text"), 0.64))
+
+
+def references(blocks: DataFrame) -> DataFrame:
+    """Paragraphs that name what the document is based on, or whose section does; titled by the section."""
+    fits = F.col("section_path").rlike(BASIS) | F.col("text").rlike(BASIS)
+    return blocks.where("level is null").where(fits).select(*record("reference", F.col("heading"), F.col("text"), 0.68))
 
 
 def version_info(blocks: DataFrame, pages: int = 3) -> DataFrame:
@@ -108,10 +130,10 @@ def extracted(blocks: DataFrame) -> DataFrame:
         clauses(rows),
         definitions(rows),
         requirements(rows),
-        matching(rows, "deliverable", DELIVERABLE),
-        matching(rows, "checklist_item", CHECK),
-        matching(rows, "procedure_step", STEP, PROCEDURE_HEADING),
-        matching(rows, "reference", REFERENCE),
+        deliverables(rows),
+        checklist_items(rows),
+        procedure_steps(rows),
+        references(rows),
         plain_sections(rows),
     ]
     out = parts[0]

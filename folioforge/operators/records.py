@@ -29,6 +29,18 @@ def structured_rows(tables: DataFrame) -> DataFrame:
     )
 
 
+def table_texts(rows: DataFrame) -> DataFrame:
+    """doc_id, table_id, parent and summary: a table's head as text, and its head, size and first twelve keys. rows: of ``structured_rows``."""
+    keys = F.transform(F.array_sort(F.collect_list(F.when(F.col("row_key") != "", F.struct("row_index", "row_key")))), lambda x: x["row_key"])
+    same = [F.first(c, ignorenulls=True).alias(c) for c in ("table_title", "table_no", "table_type", "names")]
+    found = rows.groupBy("doc_id", "table_id").agg(*same, F.count("*").alias("n"), keys.alias("keys"))
+    head = F.concat(F.lit("表头："), F.array_join("names", " | "))
+    parent = F.concat_ws("\n", "table_title", F.concat(F.lit("表号："), F.col("table_no")), F.concat(F.lit("表格类型："), F.col("table_type")), head)
+    first = F.when(F.size("keys") > 0, F.concat(F.lit("主要行："), F.array_join(F.slice("keys", 1, 12), "；")))
+    summary = F.concat_ws("\n", "table_title", F.concat(F.lit("表格摘要：共"), F.col("n").cast("string"), F.lit("行")), head, first)
+    return found.select("doc_id", "table_id", parent.alias("parent"), summary.alias("summary"))
+
+
 def indicators(rows: DataFrame) -> DataFrame:
     """Rows of ``structured_rows`` with a number under a header that may hold one: item, level, service scale, values, unit, confidence."""
     named = lambda pattern: F.get(F.filter("names", lambda n: n.rlike(pattern) & F.map_contains_key("fields", n)), F.lit(0))

@@ -15,6 +15,8 @@ BLOCKS = [
     ("d", 7, 3, 1, "办理流程"),
     ("d", 8, 4, None, "1. 提交图纸和说明书"),
     ("d", 9, 9, None, "本标准代替《旧版配置标准》，旧版同时废止。"),
+    ("d", 10, 9, None, "编制依据见城乡规划法"),
+    ("d", 11, 9, None, "2) 问题清单"),
 ]
 SCHEMA = "doc_id string, block_index int, page int, level int, text string"
 
@@ -26,9 +28,12 @@ def test_records(spark):
         by.setdefault(r.object_type, []).append(r)
     clause = by["clause"][0]
     assert len(by["clause"]) == 1 and clause.title == "第1条" and clause.content.endswith("依照规定办理。") and (clause.page_start, clause.page_end) == (1, 2)
-    assert sorted(r.title for r in by["definition"]) == ["容积率", "绿地"]
+    # the term is as long as it can be, and a colon defines too
+    assert sorted((r.title, r.confidence) for r in by["definition"]) == [("发布日期", 0.88), ("容积率是", 0.88), ("绿地", 0.62)]
     assert {r.title for r in by["requirement"]} >= {"shall", "forbidden"}
-    assert [r.content for r in by["procedure_step"]] == ["1. 提交图纸和说明书"] and by["deliverable"] and by["reference"]
+    assert sorted(r.first_block for r in by["procedure_step"]) == [8, 9, 10, 11]
+    assert [r.first_block for r in by["drawing"]] == [8] and [(r.first_block, r.title) for r in by["deliverable"]] == [(11, "2) 问题清单")]
+    assert [(r.first_block, r.confidence) for r in by["checklist_item"]] == [(11, 0.68)] and [(r.first_block, r.title) for r in by["reference"]] == [(10, "办理流程")]
     assert {r.title for r in by["plain_section"]} >= {"第一章 总则", "第一章 总则 > 术语"}
     assert len({r.object_id for r in found}) == len(found)
 
