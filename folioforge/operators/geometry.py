@@ -5,6 +5,7 @@ A page holds a few hundred items, so a page is a group; everything else is parti
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 
 import pandas as pd
@@ -64,12 +65,29 @@ def column_centres(items: DataFrame, tolerance: float = 12.0, least: int = 2) ->
     return items.groupBy(*PAGE).applyInPandas(run, schema)
 
 
+def centres(values: Iterable[float], tolerance: float = 2.0) -> list[int]:
+    """Whole centres of the clusters of values."""
+    ordered = sorted(values)
+    return [math.floor(sum(ordered[i] for i in c) / len(c) + 0.5) for c in clusters(ordered, tolerance)]
+
+
 def line_grids(lines: DataFrame, gap: float = 2.0) -> DataFrame:
-    """doc_id, page, x0, y0, x1, y1, horizontal, vertical: boxes of touching lines with two of each direction at least.
+    """doc_id, page, x0, y0, x1, y1, horizontal, vertical: boxes of touching lines that can be a table.
 
-    lines: doc_id, page, x0, y0, x1, y1 (axis-aligned).
+    lines: doc_id, page, x0, y0, x1, y1 (axis-aligned). A table has two lines of each direction, three places across and
+    three down at least, and is 80 wide and 40 high.
     """
 
+    def box_of(part: pd.DataFrame) -> tuple | None:
+        flat = (part["x1"] - part["x0"]) >= (part["y1"] - part["y0"])
+        across, down = part[flat], part[~flat]
+        if len(across) < 2 or len(down) < 2:
+            return None
+        xs, ys = centres([*down["x0"], *down["x1"]]), centres([*across["y0"], *across["y1"]])
+        if len(xs) < 3 or len(ys) < 3 or xs[-1] - xs[0] < 80 or ys[-1] - ys[0] < 40:
+            return None
+        return float(xs[0]), float(ys[0]), float(xs[-1]), float(ys[-1]), len(across), len(down)
+
     def run(page: pd.DataFrame) -> pd.DataFrame:
         boxes = page[["x0", "y0", "x1", "y1"]].to_numpy()
         root = list(range(len(boxes)))
@@ -84,9 +102,9 @@ def line_grids(lines: DataFrame, gap: float = 2.0) -> DataFrame:
             for j, b in enumerate(boxes[:i]):
                 if a[0] <= b[2] + gap and b[0] <= a[2] + gap and a[1] <= b[3] + gap and b[1] <= a[3] + gap:
                     root[find(i)] = find(j)
-        parts = page.assign(part=[find(i) for i in range(len(boxes))], flat=(page["x1"] - page["x0"]) >= (page["y1"] - page["y0"])).groupby("part")
-        out = [(page["doc_id"].iloc[0], page["page"].iloc[0], p["x0"].min(), p["y0"].min(), p["x1"].max(), p["y1"].max(), int(p["flat"].sum()), int((~p["flat"]).sum())) for _, p in parts]
-        return pd.DataFrame([r for r in out if r[6] >= 2 and r[7] >= 2], columns=["doc_id", "page", "x0", "y0", "x1", "y1", "horizontal", "vertical"])
+        parts = page.assign(part=[find(i) for i in range(len(boxes))]).groupby("part")
+        found = [box_of(part) for _, part in parts]
+        return pd.DataFrame([(page["doc_id"].iloc[0], page["page"].iloc[0], *b) for b in found if b], columns=["doc_id", "page", "x0", "y0", "x1", "y1", "horizontal", "vertical"])
 
     schema = f"doc_id {lines.schema['doc_id'].dataType.simpleString()}, page int, x0 double, y0 double, x1 double, y1 double, horizontal int, vertical int"
     return lines.groupBy(*PAGE).applyInPandas(run, schema)

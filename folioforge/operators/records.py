@@ -162,3 +162,31 @@ def cleaned_blocks(blocks: DataFrame) -> DataFrame:
     exempt = (F.col("type") == "heading") & F.col("heading_pattern").isNotNull()
     dropped = (F.col("contents") & (F.col("type") != "image_page")) | F.when(is_running, ~exempt).otherwise(F.col("type").isin("paragraph", "list_item") & number)
     return rows.where(~F.coalesce(dropped, F.lit(False))).select(*blocks.columns)
+
+
+def recovered(citations: DataFrame) -> DataFrame:
+    """question_id and conclusion: what the fields of a question's citations say by themselves, else null.
+
+    citations: question_id, rank, question, excerpt, review; a question has a few. A question for the scale of a service is
+    answered by all rows that state one, in the order of their sizes, if they differ; one row of a category answers nothing.
+    Otherwise the lines of the excerpt that fits best answer, if any of them is asked for.
+    """
+    rows = citations.withColumn("lines", E.useful_lines(F.col("excerpt"), F.col("review")))
+    line = lambda pattern: F.get(F.filter("lines", lambda x: x.rlike(pattern)), F.lit(0))
+    rows = rows.withColumn("scale", line("^服务规模：")).withColumn("score", E.evidence_score(F.col("lines"), F.col("question")))
+    states = F.col("scale").isNotNull()
+    text = F.concat_ws("，", line(E.ORDERING), "scale")
+    meta = F.filter("lines", lambda x: x.rlike("^(?:指标对象|来源表格|设施名称)："))
+    chosen = F.struct((-F.col("score")).alias("below"), "rank", E.as_conclusion(E.chosen_lines(F.col("lines"), F.col("question"))).alias("conclusion"))
+    found = rows.groupBy("question_id").agg(
+        F.first("question").alias("asked"),
+        F.array_sort(F.collect_list(F.when(states, F.struct(E.order_value(F.col("lines")).alias("value"), "rank", text.alias("text"))))).alias("scales"),
+        F.min_by(F.when(states, meta), F.when(states, F.col("rank"))).alias("meta"),
+        F.max(states & F.exists("lines", lambda x: x.rlike("^列[0-9]+：[ABC]类$"))).alias("category"),
+        F.min(F.when(F.size("lines") >= 2, chosen)).alias("best"),
+    )
+    asks, n, texts = R.trimmed(F.col("asked")).rlike(E.SERVICE), F.size("scales"), F.array_distinct(F.transform("scales", lambda x: x["text"]))
+    all_ = F.when(asks & (n > 1) & (F.size(texts) > 1), E.as_conclusion(F.concat("meta", texts)))
+    alone = asks & (n == 1) & F.col("category")
+    best = F.when((R.trimmed(F.col("asked")) == "") | (F.col("best.below") < 0), F.col("best.conclusion"))
+    return found.select("question_id", F.coalesce(all_, F.when(~alone, best)).alias("conclusion"))

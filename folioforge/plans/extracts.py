@@ -8,10 +8,11 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from folioforge.functions import evidence as E
 from folioforge.functions import rules as R
 from folioforge.operators import grids, objects, records
 from folioforge.plans.common import ladder, register, sample, table
-from folioforge.plans.tabular import _STRUCT, _as_tables
+from folioforge.plans.tabular import _SCORE, _SENTENCES, _STRUCT, _WANTED, EVIDENCE_QUESTIONS, _as_tables
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -194,3 +195,32 @@ def column_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where columns begin that several items of a page share."""
     rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("page")).agg(F.greatest(F.avg(8 + F.col("l_linenumber")) * 0.75, F.lit(6.0)).alias("tolerance"), F.array_sort(F.collect_list((F.col("l_partkey") % 60).cast("double"))).alias("xs"))
     return rows.select("page", F.array_join(grids.column_starts(F.col("xs"), F.col("tolerance")).cast("array<string>"), ",").alias("starts"))
+
+
+EXCERPTS = [
+    f"{E.MARK}\n指标对象：小学{{n}}\n一般规模：{{n}}班\n服务规模：每1.2万人1处；\n列1：A类", f"{E.MARK}\n指标对象：小学\n来源表格：表3\n办学规模：24班\n服务规模：每2万人1处。", f"{E.MARK}\n指标对象：小学\n千人指标：{{n}}平方米", "普通文字：{n}",
+    f"{E.MARK}\n一般规模：3000平方米\n指标对象：医院", f"{E.MARK}\n服务规模：每1.2万人1处", f"{E.MARK}\n指标对象：医院\n详细配置要求：业务用房比例不低于85%。其他；急救通道",
+]
+_JOINED = "array_to_string(list_filter(list_transform({x}, lambda s: trim(regexp_replace(s, '[。；;]\\s*$', ''))), lambda s: s <> ''), '。')"
+
+
+@query(
+    f"""with r as (select p_partkey, p_partkey // 3 as question_id, {sample('p_partkey', EXCERPTS)} as x, {sample('p_partkey // 3', EVIDENCE_QUESTIONS)} as q, p_partkey % 11 = 0 as review from part),
+    w as (select *, case when not review and starts_with(trim(x), '{E.MARK}') then list_filter(list_transform(string_split(x, chr(10)), lambda s: trim(s)), lambda s: s <> '' and not regexp_matches(s, '^【结构化') and contains(s, '：')) else [] end as lines from r),
+    k as (select *, array_to_string(lines, chr(10)) as txt, regexp_matches(q, '{E.DETAILED}') as detailed, regexp_matches(q, '{E.THOUSAND}') as thousand, regexp_matches(q, '{E.SERVICE}') as service, regexp_matches(q, '一般') as usual, regexp_matches(q, '15分钟|步行|可达|85%|比例|使用说明') as near,
+      regexp_matches(q, '{E.GENERAL}') and not regexp_matches(q, '{E.DETAILED}|{E.THOUSAND}|{E.SERVICE}') as general from w),
+    m as (select *, {_SCORE} as score, case when q <> '' then {_WANTED} end as wanted from k), n as (select *, list_filter(lines, lambda s: regexp_matches(s, '{E.ALWAYS}') or regexp_matches(s, wanted)) as kept from m),
+    f as (select *, case when wanted is null or len(kept) = 0 then lines else list_transform(kept, lambda s: case when starts_with(s, '{E.DETAIL_PREFIX}') and len({_SENTENCES}) > 0 then concat('{E.DETAIL_PREFIX}', array_to_string({_SENTENCES}, '')) else s end) end as chosen from n),
+    c as (select *, {_JOINED.format(x='chosen')} as conclusion, list_filter(lines, lambda s: starts_with(s, '服务规模：'))[1] as scale, list_filter(lines, lambda s: regexp_matches(s, '{E.ORDERING}'))[1] as size_line from f),
+    v as (select *, coalesce(cast(nullif(regexp_extract(size_line, '[0-9]+(?:\\.[0-9]+)?'), '') as double), 1e300) as v from c),
+    g as (select question_id, any_value(q) as q, count(scale) as n, list(concat_ws('，', size_line, scale) order by v, p_partkey) filter (scale is not null) as texts, arg_min(list_filter(lines, lambda s: regexp_matches(s, '^(?:指标对象|来源表格|设施名称)：')), p_partkey) filter (scale is not null) as meta,
+      bool_or(scale is not null and len(list_filter(lines, lambda s: regexp_matches(s, '^列[0-9]+：[ABC]类$'))) > 0) as category, first({{'score': score, 'conclusion': conclusion}} order by score desc, p_partkey) filter (len(lines) >= 2) as best from v group by question_id),
+    u as (select *, regexp_matches(q, '{E.SERVICE}') as asks, list_filter(texts, lambda x, i: list_position(texts, x) = i) as distinct_ from g)
+    select question_id, case when asks and n > 1 and len(distinct_) > 1 then {_JOINED.format(x='list_concat(meta, distinct_)')} when asks and n = 1 and category then null when q = '' or best.score > 0 then best.conclusion end as conclusion from u"""
+)
+def recovered_conclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conclusions out of the fields of structured excerpts, where an answer of its own is missing."""
+    key = F.col("p_partkey")
+    excerpt, question = F.expr(sample("p_partkey", EXCERPTS)), F.expr(sample("p_partkey div 3", EVIDENCE_QUESTIONS))
+    rows = table(spark, sf_dir, "part").select(F.expr("p_partkey div 3").alias("question_id"), key.alias("rank"), question.alias("question"), excerpt.alias("excerpt"), (key % 11 == 0).alias("review"))
+    return records.recovered(rows)

@@ -66,6 +66,9 @@ def test_geometry(spark):
     items = spark.createDataFrame([item("b", 5, 10), item("a", 0, 11), item("c", 100, 10), item("d", 0, 40), item("e", 101, 41)], "doc_id string, page int, text string, x double, y double, width double, height double")
     assert sorted((r.row, r.segment, r.text) for r in geometry.visual_rows(items).collect()) == [(0, 0, "ab"), (0, 1, "c"), (1, 0, "d"), (1, 1, "e")]
     assert sorted((r.centre, r.n) for r in geometry.column_centres(items).collect()) == [(1.67, 3), (100.5, 2)]
-    lines = [(0, 0, 100, 0), (0, 50, 100, 50), (0, 0, 0, 50), (100, 0, 100, 50), (300, 0, 400, 0)]
-    grid = geometry.line_grids(spark.createDataFrame([("d", 1, *map(float, x)) for x in lines], "doc_id string, page int, x0 double, y0 double, x1 double, y1 double")).collect()
-    assert [tuple(r)[2:] for r in grid] == [(0.0, 0.0, 100.0, 50.0, 2, 2)]
+    frame = [(0, 0, 100, 0), (0, 50, 100, 50), (0, 0, 0, 50), (100, 0, 100, 50)]
+    inner = [(0, 25, 100, 25), (50, 0, 50, 50), (300, 0, 400, 0)]
+    small = [(x0 / 2, y0 / 2, x1 / 2, y1 / 2) for x0, y0, x1, y1 in frame + inner[:2]]
+    rows = [("d", page, *map(float, x)) for page, lines in ((1, frame + inner), (2, frame), (3, small)) for x in lines]
+    grid = geometry.line_grids(spark.createDataFrame(rows, "doc_id string, page int, x0 double, y0 double, x1 double, y1 double")).collect()
+    assert [tuple(r)[1:] for r in grid] == [(1, 0.0, 0.0, 100.0, 50.0, 3, 3)]
