@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from folioforge.llm import bpe, embeddings, inner_products, language, minhash, mixing, oracles, phrases, pii, ppm, substrings, urls
+from folioforge.llm import bpe, embeddings, inner_products, language, lexical, minhash, mixing, oracles, phrases, pii, ppm, substrings, urls, warc
 from folioforge.llm.common import read_table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -57,6 +57,14 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(read_table(spark, sf_dir, "documents"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read_table(spark, sf_dir, "pages"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # it builds on this module
 
@@ -68,4 +76,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op11_collocations": oracles.PHRASES}
+    return {"op11_collocations": oracles.PHRASES, "op12_lexical_search": oracles.LEXICAL, "op13_warc": oracles.WARC}
