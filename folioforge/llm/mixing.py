@@ -3,9 +3,10 @@
 The mix is a sequence of slots of equally many words. The golden-ratio point of a slot, mapped through the cumulative
 targets, names its source, and the slot's rank among those of the source names a block: the words
 [rank * block, (rank + 1) * block) of the source's documents, which are laid end to end in a shuffled order, again and
-again, at most ``most`` times. Joining slots with blocks gives the pieces of documents that make up the mix. Where the
-mix is ``closed``, each source takes its target in whole words: its last slots are trimmed, or what it lacks is taken in
-blocks after the last slot, so that small sources reach their targets whatever the length of a block.
+again, at most ``most`` times. Joining slots with blocks gives the pieces of documents that make up the mix. Golden-ratio
+points give a source its share of slots within a few (CLOSING, which bounds what was counted up to 10 million points). So a
+source's last slots, CLOSING at most, are trimmed to its target in whole words, or as many are added after the schedule's
+end: the schedule decides what is taken and when, and small sources reach their targets whatever the length of a block.
 
 Targets: sources in order (by code point, null last) weigh the given weights, repeating, and share all words; a target
 stops at ``most`` times the size of its source, and the excess is shared out by weight until none is above.
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from folioforge.llm.common import WORD, stored
 
 GOLDEN, GRID, CHUNK_BITS, SLOT_CHUNK, MOST_SOURCES = 0.6180339887498949, 4096, 12, 4096, 100_000
-SHORTEST, LONGEST, SLOTS = 16, 4096, 1_000_000
+SHORTEST, LONGEST, SLOTS, CLOSING = 16, 4096, 1_000_000, 8
 
 
 def word_count(text: Column) -> Column:
@@ -87,20 +88,23 @@ def laid_out(docs: DataFrame, tie: Sequence[str]) -> DataFrame:
 
 
 def pieces(layout: DataFrame, slots: DataFrame, sources: DataFrame, block: int, count: int, few: bool = True) -> DataFrame:
-    """mix_slot, mix_key, mix_chunk, mix_row, mix_pass, first and last: the words of documents, from 0, that each slot takes.
+    """mix_slot, mix_key, mix_chunk, mix_row, mix_pass, at, first and last: the words of documents, from 0, that each slot takes, and where they are in their source's stream.
 
-    Scheduled words beyond the slots of a source have slot ``count``, the one after the last.
+    sources: mix_key, source_size, scheduled (words), given (slots) and place. A source's slots after its last given one
+    come after the schedule, source by source.
     """
-    docs = layout.where("size > 0").select("mix_key", "mix_chunk", "mix_row", "mix_start", "size").join(_small(sources.select("mix_key", "source_size", "scheduled"), few), "mix_key")
+    docs = layout.where("size > 0").select("mix_key", "mix_chunk", "mix_row", "mix_start", "size").join(_small(sources.select("mix_key", "source_size", "scheduled", "given", "place"), few), "mix_key")
     docs = docs.withColumn("mix_pass", F.explode(F.expr("sequence(0L, (scheduled - 1) div source_size)"))).withColumn("at", F.col("mix_pass") * F.col("source_size") + F.col("mix_start")).where("at < scheduled")
     docs = docs.withColumn("mix_rank", F.explode(F.expr(f"sequence(at div {block}, (least(at + size, scheduled) - 1) div {block})")))
     first = F.greatest(F.col("mix_rank") * block - F.col("at"), F.lit(0))
     last = F.least(F.expr(f"(mix_rank + 1) * {block}"), F.col("at") + F.col("size"), F.col("scheduled")) - F.col("at")
-    return docs.join(slots, ["mix_key", "mix_rank"], "left").select(F.coalesce("mix_slot", F.lit(count).cast("long")).alias("mix_slot"), "mix_key", "mix_chunk", "mix_row", "mix_pass", first.alias("first"), last.alias("last"))
+    after = F.lit(count) + F.col("place") * CLOSING + F.col("mix_rank") - F.col("given")
+    joined = docs.join(slots, ["mix_key", "mix_rank"], "left").withColumn("mix_slot", F.coalesce("mix_slot", F.when(F.col("mix_rank") >= F.col("given"), after)))
+    return joined.where("mix_slot is not null").select("mix_slot", "mix_key", "mix_chunk", "mix_row", "mix_pass", "at", first.alias("first"), last.alias("last"))
 
 
-def taken_words(docs: DataFrame, tie: Sequence[str], weights: Sequence[float] = (5, 2, 1), most: int = 3, closed: bool = False) -> tuple[DataFrame, DataFrame]:
-    """docs (with size and source) plus source_size, target, taken and mix_key/chunk/row; and the pieces that make up the mix.
+def taken_words(docs: DataFrame, tie: Sequence[str], weights: Sequence[float] = (5, 2, 1), most: int = 3) -> tuple[DataFrame, DataFrame]:
+    """docs (with size and source) plus source_size, target, taken, mix_key/chunk/row and, of the pieces, mix_slots (first and last) and mix_copies (slot and place of each first word); and the pieces that make up the mix.
 
     tie: the columns that order the documents of a source after shuffling; rows that agree in all of them are alike.
     """
@@ -114,25 +118,29 @@ def taken_words(docs: DataFrame, tie: Sequence[str], weights: Sequence[float] =
     shares = sources.withColumn("high", share).withColumn("low", F.coalesce(F.lag("high").over(Window.orderBy("mix_key")), F.lit(0.0)))
     shares = shares.withColumn("high", F.when(F.col("high") >= 1, F.lit(1.5)).otherwise(F.col("high")))
     plan = stored(schedule(shares.select("mix_key", "low", "high"), slots, few))
-    given = plan.groupBy("mix_key").agg((F.count("*") * block).alias("given"))
-    wanted = F.ceil(F.round("target", 6)).cast("long") if closed else F.coalesce("given", F.lit(0))
-    scheduled = F.least(wanted, most * F.col("source_size"))
-    sources = sources.join(_small(given, few), "mix_key", "left").withColumn("scheduled", scheduled)
+    given = plan.groupBy("mix_key").agg(F.count("*").alias("given"))
+    sources = sources.withColumn("place", F.row_number().over(Window.orderBy("mix_key")) - 1).join(_small(given, few), "mix_key", "left").withColumn("given", F.coalesce("given", F.lit(0)))
+    wanted = F.ceil(F.round("target", 6)).cast("long")
+    closed = F.greatest(F.least(wanted, (F.col("given") + CLOSING) * block), (F.col("given") - CLOSING) * block)
+    sources = sources.withColumn("scheduled", F.least(closed, most * F.col("source_size")))
     layout = laid_out(docs, tie)
     parts = pieces(layout, plan, sources, block, slots, few)
-    taken = parts.groupBy("mix_key", "mix_chunk", "mix_row").agg(F.sum(F.col("last") - F.col("first")).alias("taken"), F.sum(F.when(F.col("first") == 0, 1).otherwise(0)).alias("mix_copies"))
+    copy = F.when(F.col("first") == 0, F.struct("mix_slot", "at"))
+    taken = parts.groupBy("mix_key", "mix_chunk", "mix_row").agg(F.sum(F.col("last") - F.col("first")).alias("taken"), F.struct(F.min("mix_slot").alias("first"), F.max("mix_slot").alias("last")).alias("mix_slots"), F.collect_list(copy).alias("mix_copies"))
     full = layout.join(taken, ["mix_key", "mix_chunk", "mix_row"], "left").join(_small(sources.select("mix_key", "source_size", "target"), few), "mix_key")
-    return full.withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long")).withColumn("mix_copies", F.coalesce("mix_copies", F.lit(0))), parts
+    return full.withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long")), parts
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target and taken of every document."""
+    """doc_id, size, source_size, target, taken, and the first and last slot of the schedule that takes words of every document."""
     sized = stored(docs.select("doc_id", word_count(F.col("text")).alias("size"), F.col("source").cast("string").alias("source")))
-    return taken_words(sized, ["doc_id", "size"], closed=True)[0].select("doc_id", "size", "source_size", "target", "taken")
+    rows = taken_words(sized, ["doc_id", "size"])[0]
+    return rows.select("doc_id", "size", "source_size", "target", "taken", F.col("mix_slots.first").alias("first_slot"), F.col("mix_slots.last").alias("last_slot"))
 
 
 def mixed(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: int = 3) -> DataFrame:
-    """The mix as documents with unchanged columns: a row for each time that a document's first word is taken."""
+    """The mix as documents with unchanged columns: a row for each time that a document's first word is taken, in the order of the slots that take it."""
     inner = docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), F.struct(*docs.columns).alias("mix_doc"), F.xxhash64("text").alias("mix_text"))
-    rows, _ = taken_words(stored(inner), ["doc_id", "size", "mix_text"], weights, most, closed=True)
-    return rows.where("mix_copies > 0").select("mix_doc", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))).alias("mix_copy")).select("mix_doc.*")
+    rows, _ = taken_words(stored(inner), ["doc_id", "size", "mix_text"], weights, most)
+    each = rows.select("mix_doc", F.explode("mix_copies").alias("mix_copy")).select("mix_doc", "mix_copy.*")
+    return each.repartitionByRange("mix_slot", "at").sortWithinPartitions("mix_slot", "at").select("mix_doc.*")

@@ -35,7 +35,7 @@ def by_source(rows):
 
 def report(docs):
     found = mixing.mix_report(docs)
-    assert found.columns == ["doc_id", "size", "source_size", "target", "taken"]
+    assert found.columns == ["doc_id", "size", "source_size", "target", "taken", "first_slot", "last_slot"]
     return found
 
 
@@ -52,31 +52,64 @@ def test_whole_table(spark):
     assert sorted(found.collect()) == sorted(report(docs.repartition(5)).collect())
 
 
-def test_pieces_follow_the_schedule(spark):
-    """Slots, ranks and blocks by brute force."""
-    sizes = {"a": [40, 7, 0, 130], "b": [500], "c": [9, 9, 9]}
-    docs = spark.createDataFrame([(i, s, n) for i, (s, n) in enumerate((s, n) for s, ns in sizes.items() for n in ns)], "doc_id long, source string, size long")
-    rows, parts = mixing.taken_words(docs, ["doc_id", "size"])
-    rows = rows.collect()
-    total = sum(map(sum, sizes.values()))
-    block = mixing.SHORTEST
-    target = expected_targets({s: sum(ns) for s, ns in sizes.items()})
+def by_hand(rows, block, slots):
+    """taken and slots of each document by slots, ranks and blocks, one word at a time."""
+    sizes = Counter()
+    for r in rows:
+        sizes[r.source] += r.size
+    target = expected_targets(sizes)
+    order = sorted(target, key=lambda s: (s is None, (s or "").encode()))
     shares, at = [], 0.0
-    for s in sorted(target):
+    for s in order:
         at += target[s] / sum(target.values())
         shares.append((s, at))
-    given = Counter()
-    for slot in range(round(total / block)):
+    of_source = defaultdict(list)
+    for slot in range(slots):
         point = ((slot + 0.5) * mixing.GOLDEN) % 1
-        given[next((s for s, high in shares if point < high), shares[-1][0])] += 1
-    streams = defaultdict(list)
-    for r in sorted((r for r in rows if r.size), key=lambda r: r.mix_start):
-        streams[r.source] += [r.doc_id] * r.size
-    expected = Counter()
-    for s, n in given.items():
-        expected.update((streams[s] * 3)[: n * block])
-    assert {r.doc_id: r.taken for r in rows} == {r.doc_id: expected[r.doc_id] for r in rows}
-    assert parts.agg(F.sum(F.col("last") - F.col("first"))).first()[0] == sum(expected.values())
+        found = next((i for i, (_, high) in enumerate(shares) if point < high), len(shares) - 1)
+        of_source[order[found]].append(slot)
+    taken, used, copies = Counter(), defaultdict(set), []
+    for place, s in enumerate(order):
+        stream = [(i, k == 0) for i, r in sorted(((i, r) for i, r in enumerate(rows) if r.source == s and r.size), key=lambda x: x[1].mix_start) for k in range(r.size)]
+        given = of_source[s]
+        want = -int(-round(target[s], 6) // 1)
+        words = min(max(min(want, (len(given) + mixing.CLOSING) * block), (len(given) - mixing.CLOSING) * block), 3 * len(stream))
+        for w in range(words):
+            slot = given[w // block] if w // block < len(given) else slots + place * mixing.CLOSING + w // block - len(given)
+            i, first = stream[w % len(stream)]
+            taken[i] += 1
+            used[i].add(slot)
+            if first:
+                copies.append((slot, w, i))
+    return taken, used, [i for _, _, i in sorted(copies)]
+
+
+@pytest.mark.parametrize("sizes", [{"a": [40, 7, 0, 130], "b": [500], "c": [9, 9, 9]}, {"p": [300] * 20, None: [1000], "q": [17] * 9, "r": [3]}])
+def test_rows_follow_the_schedule(spark, monkeypatch, sizes):
+    """What is taken of each document, in which slots and in which order, in the mode that the query uses; another schedule takes something else."""
+    docs = spark.createDataFrame([(i, s, n) for i, (s, n) in enumerate((s, n) for s, ns in sizes.items() for n in ns)], "doc_id long, source string, size long")
+    block, total = mixing.SHORTEST, sum(map(sum, sizes.values()))
+    rows, parts = mixing.taken_words(docs, ["doc_id", "size"])
+    rows = rows.collect()
+    taken, used, _ = by_hand(rows, block, round(total / block))
+    for i, r in enumerate(rows):
+        assert r.taken == taken[i] and (not used[i] or (r.mix_slots.first, r.mix_slots.last) == (min(used[i]), max(used[i])))
+    lengths = {r.mix_slot: r.n for r in parts.groupBy("mix_slot").agg(F.sum(F.col("last") - F.col("first")).alias("n")).collect()}
+    assert sum(lengths.values()) == sum(taken.values()) and sum(n != block for n in lengths.values()) <= (mixing.CLOSING + 1) * len(sizes)
+    empty = spark.createDataFrame([], "mix_slot long, mix_key string, mix_rank long")
+    monkeypatch.setattr(mixing, "schedule", lambda *a, **k: empty)
+    without = mixing.taken_words(docs, ["doc_id", "size"])[0].agg(F.sum("taken")).first()[0]
+    assert without <= mixing.CLOSING * block * len(sizes) and (total < 2000 or without < sum(taken.values()) / 2)
+
+
+def test_mix_is_in_slot_order(spark):
+    sizes = {"a": [40, 7, 130], "b": [500, 30], None: [60] * 8}
+    texts = [(i, s, " ".join([f"w{i}"] * n)) for i, (s, n) in enumerate((s, n) for s, ns in sizes.items() for n in ns)]
+    docs = spark.createDataFrame(texts, "doc_id long, source string, text string")
+    inner = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("mix_text"))
+    rows = mixing.taken_words(inner, ["doc_id", "size", "mix_text"])[0].collect()
+    _, _, copies = by_hand(rows, mixing.SHORTEST, round(sum(r.size for r in rows) / mixing.SHORTEST))
+    assert [r.doc_id for r in mixing.mixed(docs).collect()] == [rows[i].doc_id for i in copies]
 
 
 def test_small_sources_reach_their_targets(spark, monkeypatch):
