@@ -1,8 +1,8 @@
 """Personal data: patterns for four kinds, and terms that reveal what the patterns find; DataFrame operations only.
 
 Base spans are the leftmost non-overlapping matches of each kind's pattern that pass its check. The method adds spans of
-kind ``term``: a protected entity is a value of a base span. Words of a whole text co-occur with the entities that it
-holds; all counts are of distinct texts. Of N texts, n hold an entity, d hold a term and c hold both. The share of the
+kind ``term``: a protected entity is a value of a base span. Words of a whole text, those inside of base spans left out,
+co-occur with the entities that it holds; all counts are of distinct texts. Of N texts, n hold an entity, d hold a term and c hold both. The share of the
 term's texts that hold the entity is estimated as P = (c + SHRINK * n/N) / (d + SHRINK), which draws terms that were
 seen once or twice towards the entity's own rate instead of leaving them out. A term discloses the share
 1 + log P / log(N/n) of the entity's information, its pointwise mutual information over the entity's information
@@ -95,6 +95,19 @@ def has_marks(text: Column) -> Column:
     return F.contains(text, F.lit("@")) | F.contains(text, F.lit("+")) | text.rlike(r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]|[0-9](?:[\x20-]?[0-9]){13}")
 
 
+def masked(text: Column, spans: Column) -> Column:
+    """The text with blanks in place of the characters of spans."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
+
+    def add(state: Column, s: Column) -> Column:
+        begin, end = F.greatest(s["start"], state["at"]), F.greatest(s["end"], state["at"])
+        parts = F.array(F.substring(text, state["at"] + 1, begin - state["at"]), F.repeat(F.lit(" "), end - begin))
+        return F.struct(end.alias("at"), F.concat(state["parts"], parts).alias("parts"))
+
+    whole = F.aggregate(F.array_sort(spans), start, add, lambda s: F.concat(F.array_join(s["parts"], ""), F.substring(text, s["at"] + 1, F.length(text))))
+    return F.when(F.size(spans) > 0, whole).otherwise(text)
+
+
 def terms_of(text: Column) -> Column:
     """Distinct lower-case words of letters and digits."""
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
@@ -127,7 +140,7 @@ def with_classes(held: DataFrame) -> DataFrame:
 def disclosing_terms(texts: DataFrame, held: DataFrame, named: DataFrame, total: int) -> DataFrame:
     """class, term, both for all terms that disclose enough of a class of entities.
 
-    texts: of ``with_classes``; held: print, terms of all texts with an entity; named: print, text of all documents. How
+    texts: of ``with_classes``; held: print, terms of all texts with an entity; named: print, text (masked) of all documents. How
     many texts hold a term is counted for those terms only that could still disclose if no text without entities had them.
     """
     pairs = texts.select(F.explode("terms").alias("term"), "classes").select("term", F.explode("classes").alias("x"))
@@ -149,11 +162,12 @@ def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     named = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("doc"), value.alias("text"), print_.alias("print"))
     value, marked = F.col("text"), has_marks(F.col("text"))
     found = named.where(marked).select("print", value, base_spans(value).alias("spans")).where(F.size("spans") > 0)
-    found = found.select("print", F.array_distinct(F.transform("spans", entity_of)).alias("entities"), terms_of(value).alias("terms"))
+    found = found.select("print", F.array_distinct(F.transform("spans", entity_of)).alias("entities"), terms_of(masked(value, F.col("spans"))).alias("terms"))
     held = stored(found.groupBy("print").agg(F.first("entities").alias("entities"), F.first("terms").alias("terms"), F.count("*").alias("copies")))
     texts = stored(with_classes(held))
     total = named.agg(F.countDistinct("print")).first()[0]
-    flagged = stored(disclosing_terms(texts, held, named.select("print", "text"), total))
+    bare = F.when(marked, masked(value, base_spans(value))).otherwise(value)
+    flagged = stored(disclosing_terms(texts, held, named.select("print", bare.alias("text")), total))
     uses = flagged.agg(F.coalesce(F.sum("both"), F.lit(0))).first()[0]
     pairs = texts.select("print", F.explode("terms").alias("term"), "classes").select("print", "term", F.explode("classes.class").alias("class"))
     own = lookup(pairs, flagged, ["class", "term"], "both", hot_bound(uses)).groupBy("print").agg(F.array_sort(F.collect_set("term")).alias("pii_terms"))
@@ -162,7 +176,7 @@ def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     rows = lookup_left(named.where(marked), by_text, "print", "copies", hot_bound(docs.count()))
     rows = rows.unionByName(named.where(~marked).withColumn("pii_terms", F.lit(None).cast("array<string>")))
     pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join("pii_terms", "|"), F.lit(r")(?![\p{L}\p{N}])"))
-    terms = F.when(F.col("pii_terms").isNotNull(), matches(value, pattern, 4)).otherwise(F.array().cast(SPANS))
+    terms = F.when(F.col("pii_terms").isNotNull(), matches(bare, pattern, 4)).otherwise(F.array().cast(SPANS))
     return rows.select("doc", F.array_sort(F.concat(base_spans(value), terms)).alias("pii_spans"))
 
 

@@ -37,6 +37,12 @@ def base(text):
     return sorted(found)
 
 
+def masked(text):
+    for a, _, b, _ in base(text):
+        text = text[:a] + " " * (b - a) + text[b:]
+    return text
+
+
 def listed(spans):
     return ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b, *_ in spans)
 
@@ -45,7 +51,7 @@ def expected(rows):
     texts = [text or "" for _, text in rows]
     holders, having, own = defaultdict(set), defaultdict(set), []
     for text in texts:
-        for term in re.findall(r"[^\W_]{2,}", text.lower()):
+        for term in re.findall(r"[^\W_]{2,}", masked(text).lower()):
             having[term].add(text)
         own.append({(k, value.lower() if k < 2 else re.sub("[^0-9]", "", value)) for _, k, _, value in base(text)})
         for entity in own[-1]:
@@ -53,14 +59,14 @@ def expected(rows):
     flagged, total = defaultdict(set), len(set(texts))
     for entity, held in holders.items():
         rate = len(held) / max(total, len(held) + 1)
-        for term in {t for text in held for t in re.findall(r"[^\W_]{2,}", text.lower())}:
+        for term in {t for text in held for t in re.findall(r"[^\W_]{2,}", masked(text).lower())}:
             share = (len(held & having[term]) + pii.SHRINK * rate) / (len(having[term]) + pii.SHRINK)
             if share >= pii.LIKELY and 1 - log2(share) / log2(rate) >= pii.DISCLOSED:
                 flagged[entity].add(term)
     out = []
     for (key, _), text, entities in zip(rows, texts, own, strict=True):
-        found, terms = base(text), set().union(*[flagged[e] for e in entities]) & set(re.findall(r"[^\W_]{2,}", text.lower()))
-        more = [(m.start(), 4, m.end()) for m in re.finditer(rf"(?i)(?<![^\W_])(?:{'|'.join(sorted(terms))})(?![^\W_])", text)] if terms else []
+        found, terms = base(text), set().union(*[flagged[e] for e in entities]) & set(re.findall(r"[^\W_]{2,}", masked(text).lower()))
+        more = [(m.start(), 4, m.end()) for m in re.finditer(rf"(?i)(?<![^\W_])(?:{'|'.join(sorted(terms))})(?![^\W_])", masked(text))] if terms else []
         out.append((key, *(sum(s[1] == k for s in found) for k in range(4)), hashlib.sha256(listed(found).encode()).hexdigest(), listed(sorted([*(s[:3] for s in found), *more]))))
     return sorted(out, key=str)
 
@@ -126,6 +132,13 @@ def planted(names=40, plain=400):
     return rows + [(len(rows) + i, filler()) for i in range(plain)], own
 
 
+def test_no_term_inside_a_base_span(spark):
+    rows = [(i, f"zed writes from zed.quux@foo.org, {i}" if i < 3 else f"quux foo plain {i}") for i in range(100)]
+    found = rows_of(pii.report(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert found == expected(rows)
+    assert all(r[-1] == "term:0:3,term:4:10,term:11:15,email:16:32" for r in found if r[0] < 3)
+
+
 def test_names_far_from_their_address(spark):
     rows, own = planted()
     found = rows_of(pii.report(spark.createDataFrame(rows, "doc_id long, text string")))
