@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-EVIDENCE_LEAST = 0.10
+#: The least score of evidence, how many hits are looked at, and the share of the best keyword score that is strong evidence.
+EVIDENCE_LEAST, EVIDENCE_WINDOW, STRONG_SHARE = 0.10, 5, 0.2
 
 
 def evidence_missing(results: Column, top_score: Column, number_asked: Column, number_found: Column) -> Column:
@@ -16,20 +17,3 @@ def evidence_missing(results: Column, top_score: Column, number_asked: Column, n
 def no_access(denied: Column, accessible: Column, denied_strong: Column, accessible_strong: Column, denied_score: Column, accessible_score: Column) -> Column:
     """Whether the answer is hidden rather than absent."""
     return F.when(denied == 0, False).when(accessible == 0, True).otherwise(denied_strong & (~accessible_strong | (denied_score > accessible_score)))
-
-
-def evidence_flags(text: Column) -> dict[str, Column]:
-    """Signs of badly extracted text."""
-    return {
-        "page_fragment": text.rlike(r"[—–-] ?[0-9]{1,4} ?[—–-]"),
-        "symbol_run": text.rlike(r"[$%&*#!]{3}"),
-        "numeric_run": text.rlike(r"[0-9]{12}"),
-        "broken_number": text.rlike(r"[0-9][a-z][0-9]"),
-        "table_residue": text.rlike(r" \| .* \| "),
-    }
-
-
-def display_policy(flags: dict[str, Column]) -> Column:
-    """blocks, source_page or shown, by how many signs there are."""
-    count = sum((f.cast("int") for f in flags.values()), F.lit(0))
-    return F.when(flags["broken_number"], "blocks").when(count >= 2, "source_page").otherwise("shown")

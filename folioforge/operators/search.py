@@ -164,8 +164,8 @@ def within_budget(rows: DataFrame, by: str, order: str, size: str, least: int =
     return rows.join(kept.select(by, F.explode("kept").alias(order)), [by, order])
 
 
-def rerank_score(keyword: Column, vector: Column, source: Column, content: Column, phrase_share: Column, title_share: Column, **facts: Column) -> Column:
-    """Weighted score of a candidate, to four places.
+def rerank_score(keyword: Column, vector: Column, source: Column, length: Column, phrase_share: Column, title_share: Column, **facts: Column) -> Column:
+    """Weighted score of a candidate whose content has ``length`` characters, to four places.
 
     facts (all optional): exact_key, city_match, city_open, numeric, land_use, placed, plain (flags); priority, intent, version
     (0 to 1); role (atomic, summary or fallback).
@@ -177,7 +177,7 @@ def rerank_score(keyword: Column, vector: Column, source: Column, content: Colum
         0.28 * keyword
         + 0.30 * F.greatest(vector, F.lit(0.0))
         + F.when(source == "exact", 0.32).otherwise(0.0)
-        + 0.45 * phrase_share * F.least(F.lit(1.0), 180 / F.greatest(F.length(content), F.lit(180)))
+        + 0.45 * phrase_share * F.least(F.lit(1.0), 180 / F.greatest(length, F.lit(180)))
         + 0.28 * F.least(F.lit(1.0), title_share)
         + flag("exact_key", 0.22)
         + F.when(facts.get("city_match", F.lit(False)), 0.08).when(facts.get("city_open", F.lit(False)), 0.04).otherwise(0.0)

@@ -7,11 +7,10 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioforge.functions import questions as Q
 from folioforge.functions import rules as R
 from folioforge.functions import text as T
 from folioforge.functions import vectors as V
-from folioforge.operators import access, gates, search, tables
+from folioforge.operators import access, search, tables
 from folioforge.plans.common import register, table
 
 QUERIES: dict = {}
@@ -222,30 +221,6 @@ def mock_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.hashed_embeddings(rows, "row_id", "tokens").select("row_id", "bucket", F.round("weight", 6).alias("weight"))
 
 
-@query()
-def pipeline_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Retrieve, re-rank, gate and cite for one question over the accessible side."""
-    documents = table(spark, sf_dir, "documents")
-    rules = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 1).alias("allowed"))
-    sides = access.split_by_access(documents, rules, "doc_id")
-    scores = search.bm25(sides, TERMS, side="side")
-    most = scores.groupBy("side").agg(F.max("score").alias("most"))
-    lexical = scores.join(F.broadcast(most), "side").select("doc_id", "side", (F.col("score") / F.col("most")).alias("keyword"))
-    vector = _similar(spark, sf_dir).select(F.col("vec_id").alias("doc_id"), "sim")
-    found = lexical.join(vector, "doc_id", "left").join(documents.select("doc_id", "text"), "doc_id")
-    share = sum((F.contains(F.lower("text"), F.lit(p)).cast("double") for p in PHRASES), F.lit(0.0)) / len(PHRASES)
-    facts = {"numeric": Q.has_number(F.col("text")), "city_open": F.lit(True), "priority": Q.type_priority(F.lit("section")), "version": V.recency(F.lit(None).cast("string"), F.lit(None).cast("date")), "role": F.lit("fallback")}
-    score = search.rerank_score(F.col("keyword"), F.coalesce("sim", F.lit(0.0)), F.lit("hybrid"), F.col("text"), share, F.lit(0.0), **facts)
-    best = search.ranked(found.withColumn("score", score), "score", "doc_id", 5, by=["side"])
-    sides_best = best.groupBy("side").agg(F.count("*").alias("n"), F.max("score").alias("top"))
-    one = sides_best.agg(*[F.coalesce(F.max(F.when(F.col("side") == s, F.col(c))), F.lit(0)).alias(f"{s}_{c}") for s in ("accessible", "denied") for c in ("n", "top")])
-    hidden = gates.no_access(F.col("denied_n"), F.col("accessible_n"), F.lit(True), F.lit(True), F.col("denied_top"), F.col("accessible_top"))
-    refusal = gates.evidence_missing(F.col("accessible_n"), F.col("accessible_top"), F.lit(False), F.lit(False))
-    verdict = one.select(hidden.alias("no_access"), refusal.alias("refusal"))
-    cited = best.where("side = 'accessible'").crossJoin(F.broadcast(verdict))
-    return cited.select("doc_id", "rank", "score", F.element_at(T.sentences(F.col("text")), 1).alias("excerpt"), "no_access", "refusal")
-
-
 @query("""with s as (select doc_id, source, n_chars, row_number() over (partition by source order by n_chars desc, doc_id) as rank from documents qualify rank <= 30),
     r as (select source, 1::bigint as rank, 1::bigint as kept, n_chars as total, true as keep from s where rank = 1 union all
       select s.source, s.rank, r.kept + case when r.kept < 5 or r.total + s.n_chars <= 40000 then 1 else 0 end, r.total + case when r.kept < 5 or r.total + s.n_chars <= 40000 then s.n_chars else 0 end,

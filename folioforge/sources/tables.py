@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -47,3 +49,17 @@ def read_questions(spark: SparkSession, path: str, separator: str = ",") -> Data
             named[kind] = found
             free.remove(found)
     return rows.select(*[(F.trim(F.col(f"`{named[k]}`")) if k in named else F.lit(None).cast("string")).alias(k) for k in ("seq", "question", "standard_answer", "correct_file")]).where("question <> ''")
+
+
+def shared_table(df: DataFrame) -> DataFrame:
+    """df written to the folder that driver and executors share (spark.checkpoint.dir) and read back: what later steps read more than once survives lost executors."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="folioforge-"))
+    path = f"{context.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
