@@ -141,6 +141,8 @@ def mix_report(docs: DataFrame) -> DataFrame:
 def mixed(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: int = 3) -> DataFrame:
     """The mix as documents with unchanged columns: a row for each time that a document's first word is taken, in the order of the slots that take it."""
     inner = docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), F.struct(*docs.columns).alias("mix_doc"), F.xxhash64("text").alias("mix_text"))
-    rows, _ = taken_words(stored(inner), ["doc_id", "size", "mix_text"], weights, most)
-    each = rows.select("mix_doc", F.explode("mix_copies").alias("mix_copy")).select("mix_doc", "mix_copy.*")
+    whole = stored(inner).withColumn("mix_id", F.monotonically_increasing_id())  # the same at each reading of the stored rows
+    rows, _ = taken_words(whole.drop("mix_doc"), ["doc_id", "size", "mix_text"], weights, most)  # without texts
+    copies = rows.select("mix_id", F.explode("mix_copies").alias("mix_copy")).select("mix_id", "mix_copy.*")
+    each = whole.select("mix_id", "mix_doc").join(copies, "mix_id")
     return each.repartitionByRange("mix_slot", "at").sortWithinPartitions("mix_slot", "at").select("mix_doc.*")
