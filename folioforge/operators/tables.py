@@ -75,6 +75,36 @@ def runs(rows: DataFrame, by: str, order: str, inside: Column) -> DataFrame:
     return marked.groupBy(by, "__run").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n")).drop("__run")
 
 
+def bridged_runs(widths: Column, bridge: int = 2, least: int = 3) -> Column:
+    """first (from 0), behind and wide of each run of lines with several cells. widths: cells of each line.
+
+    A run is held to the width of its first line, one more or less; up to ``bridge`` lines of one cell in a row belong to it,
+    also at its end. A line of another width ends it and may begin the next. Runs with fewer than ``least`` wide lines are none.
+    """
+    run = "struct<first:int,behind:int,wide:int>"
+    start = F.struct(F.lit(-1).alias("first"), F.lit(0).alias("base"), F.lit(0).alias("gap"), F.lit(0).alias("wide"), F.array().cast(f"array<{run}>").alias("runs"))
+
+    def ended(s: Column, i: Column) -> Column:
+        whole = F.struct(s["first"].alias("first"), i.cast("int").alias("behind"), s["wide"].alias("wide"))
+        return F.when((s["first"] >= 0) & (s["wide"] >= least), F.concat(s["runs"], F.array(whole))).otherwise(s["runs"])
+
+    def add(s: Column, x: Column) -> Column:
+        several = x["n"] > 1
+        more = (s["first"] >= 0) & several & (F.abs(x["n"] - s["base"]) <= 1)
+        bridged = (s["first"] >= 0) & ~several & (s["gap"] < bridge)
+        stays = more | bridged
+        return F.struct(
+            F.when(stays, s["first"]).when(several, x["i"]).otherwise(-1).alias("first"),
+            F.when(stays, s["base"]).otherwise(x["n"]).alias("base"),
+            F.when(bridged, s["gap"] + 1).otherwise(0).alias("gap"),
+            F.when(more, s["wide"] + 1).when(bridged, s["wide"]).otherwise(several.cast("int")).alias("wide"),
+            F.when(stays, s["runs"]).otherwise(ended(s, x["i"])).alias("runs"),
+        )
+
+    numbered = F.transform(widths, lambda n, i: F.struct(n.cast("int").alias("n"), i.alias("i")))
+    return F.aggregate(numbered, start, add, lambda s: ended(s, F.size(widths)))
+
+
 def repeated_lines(documents: DataFrame, key: str, text: str, least: int = 3, longest: int = 30) -> DataFrame:
     """line and documents: short lines that stand in ``least`` documents at least."""
     lines = documents.select(key, F.explode(F.array_distinct(F.transform(F.split(text, "\n"), lambda x: F.trim(x)))).alias("line")).where((F.length("line") > 0) & (F.length("line") <= longest))

@@ -107,6 +107,23 @@ def row_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.runs(_lines(spark, sf_dir), "l_orderkey", "l_linenumber", F.col("l_quantity") > 20)
 
 
+_RUN = "case when s.first >= 0 and s.wide >= 3 then list_append(s.runs, {'first': s.first, 'behind': %s, 'wide': s.wide}) else s.runs end"
+
+
+@query(
+    f"""with l as (select doc_id, list_transform(string_split(text, chr(10)), lambda t: len(string_split(t, ', '))) as w from documents where text is not null),
+    f as (select doc_id, w, list_reduce(list_prepend({{'first': -1, 'base': 0, 'gap': 0, 'wide': 0, 'i': 0, 'runs': []::struct(first bigint, behind bigint, wide bigint)[]}}, list_transform(w, lambda n, i: {{'first': -1, 'base': n, 'gap': 0, 'wide': 0, 'i': i - 1, 'runs': []::struct(first bigint, behind bigint, wide bigint)[]}})), lambda s, x:
+      case when s.first >= 0 and x.base > 1 and abs(x.base - s.base) <= 1 then {{'first': s.first, 'base': s.base, 'gap': 0, 'wide': s.wide + 1, 'i': x.i, 'runs': s.runs}} when s.first >= 0 and x.base <= 1 and s.gap < 2 then {{'first': s.first, 'base': s.base, 'gap': s.gap + 1, 'wide': s.wide, 'i': x.i, 'runs': s.runs}}
+      else {{'first': case when x.base > 1 then x.i else -1 end, 'base': x.base, 'gap': 0, 'wide': case when x.base > 1 then 1 else 0 end, 'i': x.i, 'runs': {_RUN % 'x.i'}}} end) as s from l),
+    r as (select doc_id, unnest({_RUN % 'len(w)'}) as r from f) select doc_id, r.first as first, r.behind as behind, r.wide as wide from r"""
+)
+def bridged_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of lines with commas in all documents, with up to two lines without inside."""
+    widths = F.transform(F.split("text", "\n"), lambda t: F.size(F.split(t, ", ")))
+    rows = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.inline(tables.bridged_runs(widths)))
+    return rows.select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("first", "behind", "wide")])
+
+
 @query("select l_orderkey, count(*) as n_rows, count(*) filter (l_discount > 0.08) as n_flagged, min(l_linenumber) as first_row, max(l_linenumber) as last_row, round(1 - least(0.5, 0.1 * count(*) filter (l_discount > 0.08)), 4) as confidence from lineitem group by l_orderkey".replace("round(1 - least(0.5, 0.1 * count(*) filter (l_discount > 0.08)), 4)", "round(cast(1 - least(0.5, 0.1 * count(*) filter (l_discount > 0.08)) as double), 4)"))
 def table_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.grouped_tables(table(spark, sf_dir, "lineitem"), ["l_orderkey"], "l_linenumber", F.col("l_discount") > 0.08).withColumn("confidence", F.col("confidence").cast("double"))

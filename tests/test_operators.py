@@ -126,3 +126,11 @@ def test_many_passages_of_all_lengths(spark, monkeypatch):
     monkeypatch.setattr(search, "BLOCK_BYTES", 200)
     rows, asked = spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame(passages, "item long, passage string")
     assert sorted(map(tuple, search.containing(rows, asked, "id", "text", "item", "passage").collect())) == expected
+
+
+def test_runs_with_gaps(spark):
+    """Two foreign lines are bridged, three are not; a run is held to the width of its first line; a block of two wide lines is none."""
+    cases = [([3, 1, 1, 3, 3], [(0, 5, 3)]), ([3, 1, 1, 1, 3, 3, 3], [(4, 7, 3)]), ([3, 3, 3, 1, 1], [(0, 5, 3)]), ([3, 4, 2, 5, 5, 5], [(0, 3, 3), (3, 6, 3)]), ([3, 4, 5, 5], []), ([1, 1], []), ([], []), ([2, 2, 1, 2, 1, 1, 2, 1, 1, 1], [(0, 9, 4)])]
+    rows = spark.createDataFrame(list(enumerate(c for c, _ in cases)), "i int, w array<int>")
+    found = {r.i: [tuple(x) for x in r.runs] for r in rows.select("i", tables.bridged_runs(F.col("w")).alias("runs")).collect()}
+    assert found == dict(enumerate(runs for _, runs in cases))
