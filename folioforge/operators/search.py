@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from folioforge.functions.text import exact_key, search_tokens
 
 K1, B = 1.5, 0.75
-#: Passages up to this many are broadcast for substring matching; more are found by a key of inner words.
+#: Passages up to this many are looked for all at once; more are found by a key of inner words.
 BROADCAST_PASSAGES = 2_000
 #: Bytes of passages that are broadcast at a time.
 BLOCK_BYTES = 1 << 20
@@ -70,16 +70,17 @@ def merged(exact: DataFrame, lexical: DataFrame, vector: DataFrame, key: str) ->
 
 
 def containing(rows: DataFrame, passages: DataFrame, key: str, text: str, passage_key: str, passage: str) -> DataFrame:
-    """key and passage_key of all rows whose text contains a passage; the key names one row.
+    """key and passage_key of all rows whose text contains a passage; the key names one row, and a row without key is never found.
 
-    A few short passages are broadcast. Many are matched by the four words after their first one, which stand whole between
-    blanks in any text that contains the passage: keys and these words are joined, texts only for what they find. Passages
-    too short for that are looked for all at once, in blocks of BLOCK_BYTES.
+    Few passages are looked for all at once, in one go over each text. Many are matched by the four words after their first
+    one, which stand whole between blanks in any text that contains the passage: keys and these words are joined, texts only
+    for what they find. Passages too short for that are looked for like few ones, in blocks of BLOCK_BYTES.
     """
+    rows = rows.where(F.col(key).isNotNull())
     passages = passages.where(F.length(passage) > 0).select(passage_key, passage)
     count, size = passages.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(passage)), F.lit(0))).first()
     if count <= BROADCAST_PASSAGES and size <= BLOCK_BYTES:
-        return rows.join(F.broadcast(passages), F.contains(rows[text], passages[passage])).select(key, passage_key)
+        return _each_of(rows, passages, key, text, passage_key, passage)
     pieces = F.split(passage, " ")
     short, long = passages.where(F.size(pieces) < 6), passages.where(F.size(pieces) >= 6)
     anchored = long.select(passage_key, F.concat_ws(" ", F.slice(pieces, 2, 4)).alias("anchor"))

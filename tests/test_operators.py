@@ -62,6 +62,7 @@ def test_budget_passes_over_what_does_not_fit(spark):
 def test_passages_by_anchor_and_by_broadcast(spark, monkeypatch):
     passages = spark.createDataFrame([(1, "ne two three four five six sev"), (2, "short one"), (3, "a b c d e f g")], "item_id long, passage string")
     rows = spark.createDataFrame([(1, "zero one two three four five six seven"), (2, "a short one. a b c d e f g"), (3, "one two three four five")], "doc_id long, text string")
+    rows = rows.union(spark.createDataFrame([(None, "a short one without key"), (4, None)], rows.schema))
     expected = {(1, 1), (2, 2), (2, 3)}
     assert set(map(tuple, search.containing(rows, passages, "doc_id", "text", "item_id", "passage").collect())) == expected
     monkeypatch.setattr(search, "BROADCAST_PASSAGES", 1)
