@@ -10,17 +10,20 @@ NUMBER_WITH_UNIT = "(?:\\d+(?:\\.\\d+)?|[零一二三四五六七八九十百千
 LAND_USE = "[A-Za-z]\\d{1,2}|[一二三四]类居住用地|商业用地|商务金融用地|工业用地|公共服务设施用地"
 ARTICLE = "第[一二三四五六七八九十百零0-9]+条"
 KEYWORD_NUMBER = "\\d+(?:\\.\\d+)?\\s*(?:%|％|平方米|米|个|户)?"
-KEYWORD_TERMS = (
-    "容积率 建筑密度 绿地率 建筑高度 限高 停车 配建 居住用地 二类居住用地 一类居住用地 商业用地 商务金融用地 公共服务设施 用地分类 日照 间距 定义 区别 标准 "
-    "办公建筑 商业建筑 住宅 旧区改建 集中绿地 道路红线 红线宽度 道路宽度 退线 建筑退线 退距 引导性指标 控制性指标 强制性指标 主导功能 主导用地 "
-    "幼儿园 小学 中学 社区卫生 服务半径 配置指标 林木覆盖率 覆盖率 绿化覆盖 H9 H类 A类 B类 R类 划分 设置 规定 要求 不应 不得 宜 应当"
-).split()
-PHRASE_BREAKERS = "是什么 什么 多少 如何 怎样 怎么 哪些 哪个 几个 请问 不低于 不高于 不应 不得 低于 高于 大于 小于 达到 以上 以下 之间 区别 定义 的 是 在 和 与 及 或 为 其 该 以 对 了 也 并 有 吗 呢 应 宜 可 请".split()
-DOMAIN_TERMS = (
-    "容积率 建筑密度 绿地率 建筑高度 建筑面积 用地面积 用地规模 建筑规模 千人指标 服务规模 一般规模 服务半径 服务内容 配置指标 配建指标 控制指标 配置要求 管控要求 停车位 配建 "
-    "居住用地 二类居住用地 一类居住用地 商业用地 商务金融用地 工业用地 公共服务设施 日照 间距 退线 道路红线 红线宽度 用地分类 类别代码 用地代码 图书展览用地 物业服务用房 "
-    "社区卫生服务中心 幼儿园 养老 停车场 比例尺 格式要求"
-).split()
+KEYWORD_TERMS = [
+    "容积率", "建筑密度", "绿地率", "建筑高度", "限高", "停车", "配建", "居住用地", "二类居住用地", "一类居住用地", "商业用地", "商务金融用地", "公共服务设施", "用地分类", "日照", "间距", "定义", "区别", "标准", "办公建筑",
+    "商业建筑", "住宅", "旧区改建", "集中绿地", "道路红线", "红线宽度", "道路宽度", "退线", "建筑退线", "退距", "引导性指标", "控制性指标", "强制性指标", "主导功能", "主导用地", "幼儿园", "小学", "中学", "社区卫生",
+    "服务半径", "配置指标", "林木覆盖率", "覆盖率", "绿化覆盖", "H9", "H类", "A类", "B类", "R类", "划分", "设置", "规定", "要求", "不应", "不得", "宜", "应当",
+]
+PHRASE_BREAKERS = [
+    "是什么", "什么", "多少", "如何", "怎样", "怎么", "哪些", "哪个", "几个", "请问", "不低于", "不高于", "不应", "不得", "低于", "高于", "大于", "小于", "达到", "以上", "以下", "之间", "区别", "定义",
+    "的", "是", "在", "和", "与", "及", "或", "为", "其", "该", "以", "对", "了", "也", "并", "有", "吗", "呢", "应", "宜", "可", "请",
+]
+DOMAIN_TERMS = [
+    "容积率", "建筑密度", "绿地率", "建筑高度", "建筑面积", "用地面积", "用地规模", "建筑规模", "千人指标", "服务规模", "一般规模", "服务半径", "服务内容", "配置指标", "配建指标", "控制指标", "配置要求", "管控要求", "停车位",
+    "配建", "居住用地", "二类居住用地", "一类居住用地", "商业用地", "商务金融用地", "工业用地", "公共服务设施", "日照", "间距", "退线", "道路红线", "红线宽度", "用地分类", "类别代码", "用地代码", "图书展览用地", "物业服务用房",
+    "社区卫生服务中心", "幼儿园", "养老", "停车场", "比例尺", "格式要求",
+]
 SIGNALS = {
     "code": "代码|编码|编号|[A-Za-z]\\d{1,4}",
     "table_no": "表\\s*[A-Za-z]?\\d|附表|哪.*表",
