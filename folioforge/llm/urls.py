@@ -4,7 +4,8 @@ A rule is a host followed by the beginning of a path. It fits its host and all s
 URLs that no rule decides go by the template of their path. The tree of a host is built level by level: a segment is
 generalised to a wildcard (with its file extension) if it holds a digit or if its node has very many different
 children; then literal siblings merge into a wildcard too if what follows them, and how often labels block them, does
-not differ from all siblings together by more than chance allows. A template's purity is the share of blocked URLs
+not differ from all siblings together by more than chance allows. A branch without labels gives no evidence: it stays apart
+from siblings of which labels block some. A template's purity is the share of blocked URLs
 among its labelled ones, smoothed towards the same template on all hosts, which is smoothed towards the overall share.
 URLs with a purity above ``reject`` are blocked. Labels are the rules' own verdicts, or any given column.
 
@@ -117,7 +118,7 @@ def one_level(rows: DataFrame, total: int) -> DataFrame:
     x = F.col("x")
     rate, rate_all = x["blocked"] / F.greatest(x["labelled"], F.lit(1)), F.col("kind_blocked") / F.greatest("kind_labelled", F.lit(1))
     alike = (1 - F.col("overlap") <= SIMILAR + F.sqrt(F.size(x["shapes"]) / x["n"]) / 2) & (
-        (x["labelled"] == 0) | (F.abs(rate - rate_all) <= NOISE * F.sqrt(rate_all * (1 - rate_all) / F.greatest(x["labelled"], F.lit(1))) + 1e-9)
+        ((x["labelled"] == 0) & (F.col("kind_blocked") == 0)) | (x["labelled"] > 0) & (F.abs(rate - rate_all) <= NOISE * F.sqrt(rate_all * (1 - rate_all) / F.greatest(x["labelled"], F.lit(1))) + 1e-9)
     )
     compared = siblings.select("template", "pool", "kind_n", "kind_labelled", "kind_blocked", F.explode("each").alias("x")).withColumn("overlap", shared(x["shapes"], x["n"]))
     merged = compared.where(alike).select("template", "x.segment", F.lit("*").alias("merged"))

@@ -122,7 +122,7 @@ def plain_templates(rows):
             for s, n, shapes, own_seen, own_bad in group if len(group) > 1 else []:
                 overlap = sum(min(k / n, pool[x] / whole) for x, k in shapes.items())
                 p = bad / max(seen, 1)
-                near = own_seen == 0 or abs(own_bad / max(own_seen, 1) - p) <= urls.NOISE * (p * (1 - p) / max(own_seen, 1)) ** 0.5 + 1e-9
+                near = bad == 0 if own_seen == 0 else abs(own_bad / max(own_seen, 1) - p) <= urls.NOISE * (p * (1 - p) / max(own_seen, 1)) ** 0.5 + 1e-9
                 if 1 - overlap <= urls.SIMILAR + (len(shapes) / n) ** 0.5 / 2 and near:
                     general[s, False] = "*"
         below = {}
@@ -166,6 +166,16 @@ def test_tree_and_purity_against_plain_code(spark, monkeypatch):
         assert abs(r.purity - (blocked(bad[r.template]) + urls.WEIGHT * by_path) / (seen(bad[r.template]) + urls.WEIGHT)) < 1e-9
 
 
+def test_no_labels_no_merge_with_blocked(spark):
+    """Branches of other languages don't inherit what the labels of one say."""
+    pages = [(i * 10 + k, f"http://blog.a.example.com/{lang}/{i}") for i in range(30) for k, lang in enumerate(("de", "en", "fr", "es"))]
+    pages += [(1000 + i, f"http://b.example.net/en/{i}") for i in range(60)]
+    rows = [r for r in urls.judged(spark.createDataFrame(pages, "page_id long, url string")).collect() if r.page_id < 1000]
+    assert {(r.path[:4], r.verdict) for r in rows} == {("/de/", "block"), ("/en/", "allow"), ("/fr/", "allow"), ("/es/", "allow")}
+    whole = urls.judged(spark.read.parquet("/root/testdata/sf0.01/pages.parquet")).where("host like '%example.com' and path like '/en/%'")
+    assert {r.verdict for r in whole.select("verdict").distinct().collect()} == {"allow"}
+
+
 def test_odd_rows(spark):
     pages = [(1, None), (2, ""), (3, "no scheme/net/"), (4, "HTTP://EXAMPLE.net"), (5, "x://É.Example.NET/en/?q=://z/"), (5, "x://É.Example.NET/en/?q=://z/"), (None, "a://b://c/d#e?f"), (6, "a://h/" + "s/" * 30000), (7, "a://h/x\ny"), (8, "//://org/fr/1"), (9, "a://myexample.net/en/1"), (10, "a://u@h.net:80/x"), (11, "a://h?x#y/")]
     docs = spark.createDataFrame([(*p, "h", "t", 1) for p in pages], "page_id long, url string, host string, template string, n int")
