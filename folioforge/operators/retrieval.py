@@ -3,7 +3,7 @@
 The index is written once and serves any number of questions. Postings hold what a term adds to a BM25 score but for the
 term's rarity, in blocks of BLOCK from the highest down; a block knows its largest value. For each question a floor follows
 from the index alone: the k-th largest posting of any one of its terms, as a document scores that much at least. Terms that
-all together stay below the floor can't bring a document up to it, so only documents of the other terms are candidates
+all together stay below the floor (and below what the k-th best row has by the LEAD weightiest terms) can't bring a document up to it, so only documents of the other terms are candidates
 (from blocks that can reach the floor with the best of all other terms), and the weak terms are added for these only.
 
 Texts never travel but for the candidates of the re-ranking. Sides of the access rules (or any groups that don't see each
@@ -28,6 +28,8 @@ from folioforge.sources.tables import shared_table
 BLOCK, SPLIT, TOPS, TOP_PARTS = 128, 1 << 16, 128, 16
 #: Bounds are doubles: room for their rounding. Questions with vectors that are compared at a time.
 ROOM, QUESTIONS = 1 - 1e-9, 4096
+#: Terms of a question, the weightiest, whose sums set its floor.
+LEAD = 8
 #: Scores are rounded to so many places, so that equal rows tie whatever the order in which parts are added.
 PLACES = 9
 #: Each channel gives this many times the size of a question's result to the merge.
@@ -69,14 +71,27 @@ def lexical(asked: DataFrame, index: Index) -> DataFrame:
     """question_id, side, key and score of the k best rows of each question and side. asked: question_id, term, k (TOPS at most); a row a term."""
     group, w = ["question_id", "side"], Window.partitionBy("question_id", "side")
     q = asked.join(index.terms, "term").withColumn("upper", F.col("idf") * F.col("upper"))
-    q = q.withColumn("floor", F.coalesce(F.max(F.col("idf") * F.try_element_at("tops", F.col("k"))).over(w), F.lit(0.0)) * ROOM)
+    q = q.withColumn("floor", F.coalesce(F.max(F.col("idf") * F.try_element_at("tops", F.col("k"))).over(w), F.lit(0.0)))
+    q = shared_table(q.withColumn("place", F.row_number().over(w.orderBy(F.desc("upper"), "term"))).drop("tops"))
+
+    def kth(sums: DataFrame) -> DataFrame:
+        return search.ranked(sums, "given", "key", F.col("k"), by=group, name="at").where(F.col("at") == F.col("k")).select(*group, F.col("given").alias("reached"))
+
+    def parts(terms: DataFrame) -> DataFrame:
+        found = terms.select(*group, "k", "idf", "entries").select(*group, "k", "idf", F.explode("entries").alias("e"))
+        return found.groupBy(*group, F.col("e.key").alias("key")).agg(F.sum(F.col("idf") * F.col("e.part")).alias("given"), F.first("k").alias("k"))
+
+    # what the weightiest terms alone give to the k-th best row is a better floor
+    lead = kth(parts(q.where(F.col("place") <= LEAD).join(index.postings, ["side", "term"])))
+    q = q.join(lead, group, "left").withColumn("floor", F.greatest("floor", F.coalesce("reached", F.lit(0.0))) * ROOM).drop("reached", "place")
     below = F.sum("upper").over(w.orderBy("upper", "term").rowsBetween(Window.unboundedPreceding, 0))
     q = q.withColumn("strong", below >= F.col("floor")).withColumn("rest", F.coalesce(F.sum(F.when(~F.col("strong"), F.col("upper"))).over(w), F.lit(0.0)))
-    q = shared_table(q.withColumn("others", F.sum("upper").over(w) - F.col("upper")).drop("tops"))
+    q = shared_table(q.withColumn("others", F.sum("upper").over(w) - F.col("upper")))
     near = q.where("strong").join(index.postings, ["side", "term"]).where(F.col("idf") * F.col("top") + F.col("others") >= F.col("floor"))
-    parts = near.select(*group, "k", "floor", "rest", "idf", F.explode("entries").alias("e"))
-    found = parts.groupBy(*group, F.col("e.key").alias("key")).agg(F.sum(F.col("idf") * F.col("e.part")).alias("given"), F.first("k").alias("k"), F.first("floor").alias("floor"), F.first("rest").alias("rest"))
-    found = shared_table(found.where(F.col("given") + F.col("rest") >= F.col("floor")))
+    found = shared_table(parts(near))
+    bounds = q.groupBy(*group).agg(F.first("floor").alias("floor"), F.first("rest").alias("rest")).join(kth(found), group, "left")
+    found = found.join(bounds, group).where(F.col("given") + F.col("rest") >= F.greatest("floor", F.coalesce("reached", F.lit(0.0)) * ROOM))
+    found = shared_table(found.select(*group, "key", "k", "given"))
     weak = found.select(*group, "key").join(q.where("not strong").select(*group, "term", "idf"), group)
     more = weak.join(index.flat, ["side", "term", "key"]).groupBy(*group, "key").agg(F.sum(F.col("idf") * F.col("part")).alias("more"))
     scores = found.join(more, [*group, "key"], "left").withColumn("score", F.round(F.col("given") + F.coalesce("more", F.lit(0.0)), PLACES))
