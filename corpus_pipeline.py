@@ -36,8 +36,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, n_tokens, ids_sha256, decoded_sha256 of each document of the mix."""
-    path = public_tokenizers.path(VOCABULARY)
-    both = bpe.decode(bpe.encode(docs.select("doc_id", "source", "text"), path, public_tokenizers.PATTERN).drop("text"), path)
+    both = bpe.round_trip(docs.select("doc_id", "source", "text"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
     return both.select("doc_id", "source", *bpe.told())
 
 

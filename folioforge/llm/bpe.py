@@ -102,18 +102,30 @@ class Encoder:
         return np.fromiter((i for ids in parts for i in ids), "<u4", sum(map(len, parts)))
 
 
+def encoded_batches(encoder: Encoder, batches: Iterator[pa.RecordBatch], text: str, into: str) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, len(batch), 64):
+            part = batch.slice(start, 64)
+            ids = [encoder.encode(value or "").tobytes() for value in part.column(text).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.binary())], [*part.schema.names, into])
+
+
+def decoded_batches(entries: list[bytes], batches: Iterator[pa.RecordBatch], ids: str, into: str) -> Iterator[pa.RecordBatch]:
+    entry = entries.__getitem__
+    for batch in batches:
+        for start in range(0, len(batch), 64):
+            part = batch.slice(start, 64)
+            out = [b"".join(map(entry, np.frombuffer(value or b"", "<u4").tolist())) for value in part.column(ids).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], [*part.schema.names, into])
+
+
 def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", into: str = "token_ids") -> DataFrame:
     """docs with the column ``into``: the ids of each whole text as little-endian unsigned 32-bit integers."""
     entries = read_ranks(vocabulary)
     shared = docs.sparkSession.sparkContext.broadcast((sentencepiece_model(entries), entries))  # as large as the vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(*shared.value, pattern)
-        for batch in batches:
-            for start in range(0, len(batch), 64):
-                part = batch.slice(start, 64)
-                ids = [encoder.encode(value or "").tobytes() for value in part.column(text).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.binary())], [*part.schema.names, into])
+        return encoded_batches(Encoder(*shared.value, pattern), batches, text, into)
 
     docs = docs.drop(into)
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(into, T.BinaryType())]))
@@ -124,17 +136,32 @@ def decode(encoded: DataFrame, vocabulary: str, ids: str = "token_ids", into: st
     shared = encoded.sparkSession.sparkContext.broadcast(read_ranks(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        entry = shared.value.__getitem__
-        for batch in batches:
-            for start in range(0, len(batch), 64):
-                part = batch.slice(start, 64)
-                out = [b"".join(map(entry, np.frombuffer(value or b"", "<u4").tolist())) for value in part.column(ids).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], [*part.schema.names, into])
+        return decoded_batches(shared.value, batches, ids, into)
 
     encoded = encoded.drop(into)
     return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField(into, T.BinaryType())]))
 
 
+def round_trip(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", ids: str = "token_ids", into: str = "decoded") -> DataFrame:
+    """docs without its text, with the columns of ``encode`` and of ``decode`` on its ids.
+
+    Both run in one Python worker a task. Two calls in a row take two workers a task, and executors keep these, with all
+    their memory, for whatever runs next.
+    """
+    entries = read_ranks(vocabulary)
+    shared = docs.sparkSession.sparkContext.broadcast((sentencepiece_model(entries), entries))
+    docs = docs.drop(ids, into)
+    rest = [x for x in docs.schema.fields if x.name != text]
+    names = [*(x.name for x in rest), ids, into]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, entries = shared.value
+        coded = encoded_batches(Encoder(model, entries, pattern), batches, text, ids)
+        return (batch.select(names) for batch in decoded_batches(entries, coded, ids, into))
+
+    return docs.mapInArrow(run, T.StructType([*rest, T.StructField(ids, T.BinaryType()), T.StructField(into, T.BinaryType())]))
+
+
 def told() -> list[Column]:
     """n_tokens, ids_sha256 and decoded_sha256 of rows with token_ids and decoded."""
     return [

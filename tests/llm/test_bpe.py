@@ -51,3 +51,13 @@ def test_query_rows(spark, peer):
     assert found == sorted((expected(*row) for row in rows), key=str)
     assert bpe.digests(docs.limit(0), PATH, P.PATTERN).collect() == []
     assert bpe.encode(docs, PATH, P.PATTERN).columns == ["doc_id", "text", "decoded", "token_ids"]
+
+
+def test_round_trip(spark):
+    """The columns of encode, then decode, but with one Python worker a task."""
+    docs = spark.createDataFrame([(1, "Hello  wörld\n", "x", 7), (2, None, "x", 8), (3, "", None, 9)], "doc_id long, text string, source string, decoded int")
+    found = bpe.round_trip(docs, PATH, P.PATTERN)
+    both = bpe.decode(bpe.encode(docs, PATH, P.PATTERN).drop("text"), PATH)
+    assert found.columns == both.columns == ["doc_id", "source", "token_ids", "decoded"]
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, both.collect()))
+    assert bpe.round_trip(docs.limit(0), PATH, P.PATTERN).collect() == []

@@ -35,3 +35,10 @@ def test_empty_documents(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
     assert docs.collect() == []
+
+
+def test_bpe_keeps_one_python_worker_a_task(spark):
+    """Two Python steps in one task leave two workers for each core, which hold memory while later stages run."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    plan = corpus_pipeline.encode(spark, docs, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
