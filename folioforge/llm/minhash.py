@@ -262,15 +262,23 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return first.join(sets.select(F.col("class").alias("b"), F.col("set").alias("two")), "b").select("a", "b", "one", "two").mapInArrow(run, "a binary, b binary")
 
 
-def in_blocks(rows: DataFrame, sizes: DataFrame) -> DataFrame:
-    """rows (region, class, outside, ...) dealt out so that each row outside meets all rows of its region, in one task each.
+def with_shape(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """rows (region, ...) with the other columns of sizes and outer and inner, the blocks of BLOCK rows that a region's outsiders and members fill.
 
-    A key for each pair of a block of BLOCK rows outside (side 0) and a block of BLOCK rows of the region (side 1).
-    sizes: region, members, outsiders. Regions with very many rows are few and looked up by broadcast (see common.lookup).
+    sizes: region, members, outsiders, ... Regions with very many rows are few and looked up by broadcast (see common.lookup).
     """
-    shape = sizes.select("region", "members", F.ceil(F.col("outsiders") / BLOCK).cast("int").alias("outer"), F.ceil(F.col("members") / BLOCK).cast("int").alias("inner"))
+    outer, inner = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("outsiders", "members"))
+    shape = sizes.withColumns({"outer": outer, "inner": inner}).drop("outsiders")
     total = sizes.agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0]
-    dealt = lookup(rows, shape, "region", "members", hot_bound(total)).withColumn("own", F.xxhash64("class"))
+    return lookup(rows, shape, "region", "members", hot_bound(total))
+
+
+def in_blocks(rows: DataFrame) -> DataFrame:
+    """rows (region, class, outside, outer, inner, ...) dealt out so that each row outside meets all rows of its region, in one task each.
+
+    A key for each pair of a block of BLOCK rows outside (side 0) and a block of BLOCK rows of the region (side 1).
+    """
+    dealt = rows.withColumn("own", F.xxhash64("class"))
     one, two = F.pmod("own", F.col("outer")), F.pmod("own", F.col("inner"))
     left = dealt.where("outside").withColumn("side", F.lit(0)).withColumn("one", one).withColumn("two", F.explode(F.expr("sequence(0L, inner - 1L)")))
     right = dealt.withColumn("side", F.lit(1)).withColumn("one", F.explode(F.expr("sequence(0L, outer - 1L)"))).withColumn("two", two)
@@ -305,10 +313,11 @@ def crowd_links(crowd: DataFrame, known: DataFrame, docs: DataFrame, percent: in
     parts = members.groupBy("region", "component").agg(F.count("*").alias("n"))
     regions = parts.groupBy("region").agg(F.sum("n").alias("members"), F.max_by("component", F.struct("n", "component")).alias("largest"), F.max("n").alias("most")).where("members > most")
     mixed = stored(regions.select("region", "members", "largest", (F.col("members") - F.col("most")).alias("outsiders")))
-    told = mixed.select("region", "largest", "members")
-    total = mixed.agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0]
-    placed = stored(lookup(members, told, "region", "members", hot_bound(total)).select("region", "class", (F.col("component") != F.col("largest")).alias("outside")))
-    rows = in_blocks(placed.join(known.select("class", "component", "n", "sig"), "class"), mixed)
+    if mixed.isEmpty():
+        return mixed.sparkSession.createDataFrame([], "one long, two long")
+    # shapes are looked up before signatures come in, so that these are joined once and not in each branch of the look-up
+    placed = stored(with_shape(members, mixed).select("region", "class", (F.col("component") != F.col("largest")).alias("outside"), "outer", "inner"))
+    rows = in_blocks(placed.join(known.select("class", "component", "n", "sig"), "class"))
 
     def open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in key_groups(batches):
@@ -319,8 +328,9 @@ def crowd_links(crowd: DataFrame, known: DataFrame, docs: DataFrame, percent: in
     wanted = needed.select("class").distinct()
     ids = known.select("class", F.col("rep").alias("id")).join(wanted, "class", "left_semi")
     sets = stored(wanted_sets(docs, ids, size).join(wanted, "class", "left_semi").dropDuplicates(["class"]))
-    left = needed.join(known.select("class", "component", "n", "sig"), "class").join(sets, "class")
-    sizes = needed.groupBy("region").agg(F.count("*").alias("members"), F.count_if("outside").alias("outsiders"))
+    sizes = stored(needed.groupBy("region").agg(F.count("*").alias("members"), F.count_if("outside").alias("outsiders")))
+    shaped = stored(with_shape(needed, sizes))
+    left = shaped.join(known.select("class", "component", "n", "sig"), "class").join(sets, "class")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in key_groups(batches):
@@ -335,7 +345,7 @@ def crowd_links(crowd: DataFrame, known: DataFrame, docs: DataFrame, percent: in
                         joined.add(pair)
             yield pa.RecordBatch.from_pydict({"one": pa.array([a for a, _ in joined], pa.int64()), "two": pa.array([b for _, b in joined], pa.int64())})
 
-    return in_blocks(left, sizes).mapInArrow(link, "one long, two long").distinct()
+    return in_blocks(left).mapInArrow(link, "one long, two long").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -358,12 +368,14 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, key: str
     own = known.join(several, "id", "left_semi").join(reps, "class").select(F.col("id").alias("one"), F.col("rep").alias("two"))
     links = stored(named.unionByName(own))
     joined = stored(components(links, "one", "two"))
-    placed = classes.join(joined, F.col("rep") == F.col("node"), "left").withColumn("component", F.coalesce("component", "rep")).drop("node")
+    placed = stored(classes.join(joined, F.col("rep") == F.col("node"), "left").withColumn("component", F.coalesce("component", "rep")).drop("node"))
+    dropped(classes)
     late = stored(crowd_links(crowd, placed, docs, percent, size))
     dropped(sets)
     if not late.isEmpty():
         joined = components(joined.select(F.col("node").alias("one"), F.col("component").alias("two")).unionByName(late), "one", "two")
-    by_class = classes.select("class", "rep", "copies").join(joined, F.col("rep") == F.col("node"), "left").select("class", F.coalesce("component", "rep").alias("component"), "copies")
+        placed = placed.drop("component").join(joined, F.col("rep") == F.col("node"), "left").withColumn("component", F.coalesce("component", "rep"))
+    by_class = placed.select("class", "component", "copies")
     linked = lookup(known.select("id", "n", "class"), by_class, "class", "copies", hot_bound(rows.count())).select("id", "n", "component")
     alone = rows.where("id is null or class is null").select("id", "n", F.col("id").alias("component"))
     return linked.unionByName(alone).select(

@@ -1,3 +1,4 @@
+import importlib
 import random
 
 import pytest
@@ -100,6 +101,27 @@ def test_single_bridges_to_split_regions(spark, monkeypatch):
     assert rows_of(minhash.near_duplicates(docs, 85)) == expected(rows, 85)
 
 
+def test_plans_stay_small(spark, odd_rows, monkeypatch):
+    """Joins repeated in each branch of a look-up, and broadcasts for nodes with many links where there are none, filled the driver."""
+    joins, hints = [], []
+    stored = minhash.stored
+
+    def seen(df):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        joins.append(plan.count("Join "))
+        hints.append(plan.count("strategy=broadcast"))
+        return stored(df)
+
+    monkeypatch.setattr(minhash, "stored", seen)
+    docs = spark.createDataFrame(odd_rows, "doc_id long, text string")
+    assert rows_of(minhash.near_duplicates(docs, 80)) == expected(odd_rows, 80)
+    assert max(joins) <= 7
+    hints.clear()
+    monkeypatch.setattr(importlib.import_module("folioforge.llm.components"), "stored", seen)
+    components(spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long"))
+    assert len(hints) > 3 and sum(hints) == 0
+
+
 def test_components(spark):
     dice = random.Random(3)
     links = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 160)] + [(dice.randrange(200, 300), dice.randrange(200, 300)) for _ in range(70)] + [(5, 5), (7, None)]
