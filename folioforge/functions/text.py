@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -107,16 +107,21 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def letter_pairs(text: Column) -> Column:
-    """Distinct two-character pieces of the lower-case text without blanks and punctuation."""
-    bare = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", "")
-    n = F.length(bare)
-    return F.when(n > 1, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring(bare, i, F.lit(2))))).otherwise(F.array().cast("array<string>"))
+    """Distinct two-character pieces of the lower-case text without blanks and punctuation, in one go over its characters."""
+    letters = F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", ""), "")
+    part = lambda own, first: F.slice(own, F.lit(first), F.size(own) - 1)
+    return _let(letters, lambda own: F.array_distinct(F.zip_with(part(own, 1), part(own, 2), lambda a, b: F.concat(a, b))))
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value taken once however often it is named."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def support(claim: Column, evidence: Column) -> Column:
     """Share of the claim's pairs of characters that the evidence has too."""
-    own = letter_pairs(claim)
-    return F.when(F.size(own) > 0, F.size(F.array_intersect(own, letter_pairs(evidence))) / F.size(own)).otherwise(F.lit(0.0))
+    share = lambda own: F.when(F.size(own) > 0, F.size(F.array_intersect(own, letter_pairs(evidence))) / F.size(own)).otherwise(F.lit(0.0))
+    return _let(letter_pairs(claim), share)
 
 
 def markup_stripped(html: Column) -> Column:

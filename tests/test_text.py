@@ -135,3 +135,14 @@ def test_questions(spark):
     assert ask(Q.has_number, "九十平方米") and ask(Q.land_uses, "a1和二类居住用地") == ["A1", "二类居住用地"]
     assert value(spark, Q.number_missing(F.col("q"), F.array("t"), F.array()), q="分为多少类", t="共12大类") is False
     assert value(spark, Q.intent_score(F.col("q"), F.lit("clause"), F.lit("regulation_clause"), F.col("t"), F.lit("mandatory")), q="第3条应当", t="3米") == 1.0
+
+
+def test_support_of_long_texts(spark):
+    import time
+
+    both = lambda a, b: value(spark, T.support(F.col("a"), F.col("b")), a=a, b=b)
+    assert both("a-B c", "xABc") == 1 and both("𠮷野家", "𠮷野") == 0.5 and both("a", "ab") == 0 and both("ab", "") == 0
+    digits = "".join(str(i) for i in range(9_000))
+    began = time.time()
+    assert both(digits, digits + "x") == 1
+    assert time.time() - began < 10
