@@ -110,7 +110,8 @@ def rows_in_table(questions: DataFrame, rows: DataFrame, by: list[str], most: in
     asked = questions.withColumn("asked", F.array_distinct(search_tokens(F.col("question"))))
     open_rows = rows.where((F.col("row_type") == "data") & ~F.col("low_fidelity")).withColumn("tokens", search_tokens(F.col("search_text")))
     score = F.size(F.filter("tokens", lambda t: F.array_contains("asked", t)))
-    scored = asked.join(open_rows, by).withColumn("score", score).where("score > 0")
+    # a few bytes of a file are a whole question here: what looks small enough to broadcast isn't
+    scored = asked.join(open_rows.hint("merge"), by).withColumn("score", score).where("score > 0")
     order = Window.partitionBy("question_id", *by).orderBy(F.desc("score"), "row_index")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select("question_id", *by, "row_index", "score", "rank")
 
