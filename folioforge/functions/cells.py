@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from folioforge.functions.rules import squeezed_header, trimmed
+from folioforge.functions.text import let
 
 #: The key of a header, by what it holds.
 HEADER_KEYS = [
@@ -91,17 +92,22 @@ def machine_key(header: Column, index: Column) -> Column:
 
 def numbered(names: Column, mark: str) -> Column:
     """The names, with ``mark`` and a count behind those that came before."""
-    return F.transform(names, lambda x, i: F.concat(x, F.when(F.array_position(names, x) - 1 < i, F.concat(F.lit(mark), (F.size(F.filter(F.slice(names, F.lit(1), i), lambda y: y == x)) + 1).cast("string"))).otherwise("")))
+    before = lambda own, x, i: F.size(F.filter(F.slice(own, F.lit(1), i), lambda y: y == x))
+    return let(names, lambda own: F.transform(own, lambda x, i: F.concat(x, F.when(F.array_position(own, x) - 1 < i, F.concat(F.lit(mark), (before(own, x, i) + 1).cast("string"))).otherwise(""))))
 
 
 def flat_headers(headers: Column) -> Column:
     """name, key, path and unit of each header; a header's path are its parts between dashes."""
     clean = F.transform(headers, lambda h, i: trimmed(F.regexp_replace(F.when(h != "", h).otherwise(F.concat(F.lit("列"), (i + 1).cast("string"))), "\\s+", " ")))
-    paths = F.transform(clean, lambda c: F.filter(F.transform(F.split(c, "[—–-]+"), trimmed), lambda p: p != ""))
-    whole = F.transform(F.arrays_zip(clean.alias("c"), paths.alias("p")), lambda x: F.struct(x["c"].alias("c"), F.when(F.size(x["p"]) > 0, x["p"]).otherwise(F.array(x["c"])).alias("p")))
-    names = F.transform(whole, lambda x: F.array_join(x["p"], "."))
-    keys = numbered(F.transform(names, machine_key), "_")
-    return F.transform(F.arrays_zip(whole.alias("w"), names.alias("n"), keys.alias("k")), lambda x: F.struct(x["n"].alias("name"), x["k"].alias("key"), x["w"]["p"].alias("path"), bracketed(x["w"]["c"]).alias("unit")))
+    parts = lambda c: F.filter(F.transform(F.split(c, "[—–-]+"), trimmed), lambda p: p != "")
+    whole = F.transform(clean, lambda c: let(parts(c), lambda p: F.struct(c.alias("c"), F.when(F.size(p) > 0, p).otherwise(F.array(c)).alias("p"))))
+
+    def flat(w: Column) -> Column:
+        names = F.transform(w, lambda x: F.array_join(x["p"], "."))
+        keys = numbered(F.transform(names, machine_key), "_")
+        return F.transform(F.arrays_zip(w.alias("w"), names.alias("n"), keys.alias("k")), lambda x: F.struct(x["n"].alias("name"), x["k"].alias("key"), x["w"]["p"].alias("path"), bracketed(x["w"]["c"]).alias("unit")))
+
+    return let(whole, flat)
 
 
 def is_data_row(row: Column) -> Column:
@@ -213,20 +219,29 @@ def rag_table_type(title: Column, headers: Column, keys: Column) -> Column:
 def normal_cell(raw: Column, header: Column) -> Column:
     """kind, bounds, value, unit, comparator and qualifiers of a cell; a number after a hyphen keeps the hyphen as its sign."""
     text = trimmed(F.regexp_replace(F.coalesce(raw, F.lit("")), "\\s+", " "))
-    unit = F.coalesce(_unit_in(text), _unit_in(header))
-    numbers = F.transform(F.regexp_extract_all(text, F.lit("-?[0-9]+(?:\\.[0-9]+)?"), F.lit(0)), lambda x: x.cast("double"))
-    comparator = F.lit("unknown")
-    for pattern, sign in reversed(COMPARISONS):
-        comparator = F.when(text.rlike(pattern), sign).otherwise(comparator)
+
+    def read(x: Column) -> Column:
+        numbers = F.transform(F.regexp_extract_all(x["text"], F.lit("-?[0-9]+(?:\\.[0-9]+)?"), F.lit(0)), lambda n: n.cast("double"))
+        comparator = F.lit("unknown")
+        for pattern, sign in reversed(COMPARISONS):
+            comparator = F.when(x["text"].rlike(pattern), sign).otherwise(comparator)
+        unit = F.coalesce(_unit_in(x["text"]), _unit_in(header))
+        return F.struct(x["raw"].alias("raw"), x["text"].alias("text"), numbers.alias("numbers"), comparator.alias("comparator"), unit.alias("unit"))
+
+    return let(let(F.struct(raw.alias("raw"), text.alias("text")), read), _normal)
+
+
+def _normal(x: Column) -> Column:
+    text, numbers, comparator, unit = (x[c] for c in ("text", "numbers", "comparator", "unit"))
     qualifiers = F.filter(F.array(*[F.lit(q) for q in QUALIFIERS]), lambda q: F.contains(text, q))
     percent = F.coalesce(unit.isin("%", "％"), F.lit(False))
     first, second = F.get(numbers, F.lit(0)), F.get(numbers, F.lit(1))
     none = F.lit(None).cast("double")
 
     def made(kind: Column | str, low: Column = none, high: Column = none, value: Column = none, sign: Column | str = "unknown", with_unit: bool = True, with_words: bool = True) -> Column:
-        kind, sign = (F.lit(x) if isinstance(x, str) else x for x in (kind, sign))
+        kind, sign = (F.lit(v) if isinstance(v, str) else v for v in (kind, sign))
         words = qualifiers if with_words else F.lit(None).cast("array<string>")
-        return F.struct(raw.alias("raw"), kind.alias("kind"), low.alias("min"), high.alias("max"), value.alias("value"), (unit if with_unit else F.lit(None).cast("string")).alias("unit"), sign.alias("comparator"), words.alias("qualifiers")).cast(_CELL)
+        return F.struct(x["raw"].alias("raw"), kind.alias("kind"), low.alias("min"), high.alias("max"), value.alias("value"), (unit if with_unit else F.lit(None).cast("string")).alias("unit"), sign.alias("comparator"), words.alias("qualifiers")).cast(_CELL)
 
     number = F.when(percent, "percentage").otherwise("number")
     return (

@@ -13,6 +13,11 @@ HAN = "[\\u4e00-\\u9fa5]"
 LATIN_TOKEN, NUMBER = "[a-z0-9]+", r"-?[0-9]+(?:\.[0-9]+)?"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value taken once however often it is named."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def words(text: Column) -> Column:
     """Lower-case runs of latin letters and digits, with repeats."""
     return F.regexp_extract_all(F.lower(text), F.lit(LATIN_TOKEN), F.lit(0))
@@ -110,18 +115,13 @@ def letter_pairs(text: Column) -> Column:
     """Distinct two-character pieces of the lower-case text without blanks and punctuation, in one go over its characters."""
     letters = F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", ""), "")
     part = lambda own, first: F.slice(own, F.lit(first), F.size(own) - 1)
-    return _let(letters, lambda own: F.array_distinct(F.zip_with(part(own, 1), part(own, 2), lambda a, b: F.concat(a, b))))
-
-
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with value taken once however often it is named."""
-    return F.element_at(F.transform(F.array(value), use), 1)
+    return let(letters, lambda own: F.array_distinct(F.zip_with(part(own, 1), part(own, 2), lambda a, b: F.concat(a, b))))
 
 
 def support(claim: Column, evidence: Column) -> Column:
     """Share of the claim's pairs of characters that the evidence has too."""
     share = lambda own: F.when(F.size(own) > 0, F.size(F.array_intersect(own, letter_pairs(evidence))) / F.size(own)).otherwise(F.lit(0.0))
-    return _let(letter_pairs(claim), share)
+    return let(letter_pairs(claim), share)
 
 
 def markup_stripped(html: Column) -> Column:

@@ -53,8 +53,11 @@ def indicators(rows: DataFrame) -> DataFrame:
         return (x["header"].rlike(C.INDICATOR_HEADER) | (cell["kind"] != "text")) & (cell["value"].isNotNull() | cell["min"].isNotNull() | cell["max"].isNotNull())
 
     fits = (F.col("table_type") == "indicator_table") | F.exists("names", lambda n: n.rlike(C.INDICATOR_HEADER))
-    found = rows.where(fits).withColumn("values", F.transform(F.filter(cells, counts), lambda x: x["cell"]))
-    found = found.withColumn("item", F.coalesce(field(C.ITEM_HEADER), F.nullif("row_key", F.lit("")))).where((F.size("values") > 0) & F.col("item").isNotNull())
+    values = F.transform(F.filter(cells, counts), lambda x: x["cell"])
+    item = F.coalesce(field(C.ITEM_HEADER), F.nullif("row_key", F.lit("")))
+    # a generator, as a filter would take values anew and be carried below the columns that it needs
+    found = F.filter(F.array(F.struct(item.alias("item"), F.when(fits, values).alias("values"))), lambda x: (F.size(x["values"]) > 0) & x["item"].isNotNull())
+    found = rows.select(*rows.columns, F.inline(found))
     return found.select(
         "doc_id", "table_id", "row_index", "item", field(C.LEVEL_HEADER).alias("level"), field(C.CATEGORY_HEADER).alias("category"), field(C.SCALE_HEADER).alias("service_scale"), named(C.INDICATOR_HEADER).alias("indicator"), "values",
         F.get(F.filter(F.transform("values", lambda v: v["unit"]), lambda u: u.isNotNull()), F.lit(0)).alias("unit"), F.when(F.col("table_type") == "indicator_table", 0.88).otherwise(0.68).alias("confidence"),

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioforge.functions.text import let
+
 
 def grouped_tables(rows: DataFrame, table: Sequence[str], order: str, low: Column) -> DataFrame:
     """One row a table: rows, flagged rows, first and last place, and confidence (less 0.1 a flagged row, 0.5 at most)."""
@@ -23,8 +25,8 @@ def slices(rows: DataFrame, table: Sequence[str], order: str, most: int = 20) ->
 def row_fields(headers: Column, cells: Column) -> Column:
     """Header to trimmed cell, blanks left out; of equal headers the last counts."""
     pairs = F.filter(F.arrays_zip(headers.alias("h"), F.transform(cells, lambda c: F.trim(c)).alias("c")), lambda p: p["h"].isNotNull() & p["c"].isNotNull() & (p["c"] != ""))
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["h"] == p["h"]))
-    return F.map_from_arrays(F.transform(last, lambda p: p["h"]), F.transform(last, lambda p: p["c"]))
+    last = lambda all_: F.filter(all_, lambda p, i: ~F.exists(F.slice(all_, i + 2, F.size(all_)), lambda q: q["h"] == p["h"]))
+    return let(let(pairs, last), lambda kept: F.map_from_arrays(F.transform(kept, lambda p: p["h"]), F.transform(kept, lambda p: p["c"])))
 
 
 def headers_in_order(rows: DataFrame, table: Sequence[str], order: str, fields: str) -> DataFrame:
