@@ -227,7 +227,8 @@ def _reach(rows: Column, first: Column, step: int, sparse: int, stops: bool = Tr
         bridged = (state["gap"] < sparse) & (near | row["goes_on"])
         goes = ~state["over"] & ~(F.lit(stops) & row["title"]) & (row["tabular"] | bridged)
         gap = F.when(row["tabular"], 0).otherwise(state["gap"] + 1)
-        return F.struct((~goes).alias("over"), F.when(goes, gap).otherwise(state["gap"]).alias("gap"), F.when(goes, (i + step).cast("int")).otherwise(state["end"]).alias("end"))
+        on = F.struct(F.lit(False).alias("over"), gap.alias("gap"), (i + step).cast("int").alias("end"))
+        return F.when(goes, on).otherwise(F.struct(F.lit(True).alias("over"), state["gap"].alias("gap"), state["end"].alias("end")))
 
     return F.aggregate(order, start, add, lambda s: s["end"])
 
@@ -236,6 +237,11 @@ def _tabular(rows: Column, start: Column, end: Column) -> Column:
     return F.size(F.filter(rows, lambda r, i: (i >= start) & (i < end) & r["tabular"]))
 
 
+def _taken(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """rows with the column name, where value isn't null; a generator, as a filter or expression on a plain column would take value anew at each mention."""
+    return rows.select("*", F.explode(F.filter(F.array(value), lambda x: x.isNotNull())).alias(name))
+
+
 def titled_spans(pages: DataFrame, by: Sequence[str]) -> DataFrame:
     """by, title_row, below, first and end: rows of tables below (from up to six lines after it) and above (four) each title. pages: by, rows."""
     rows = F.col("rows")
@@ -243,10 +249,11 @@ def titled_spans(pages: DataFrame, by: Sequence[str]) -> DataFrame:
     titles = pages.select(*by, "rows", F.explode(F.filter(F.transform("rows", lambda r, i: F.when(r["title"], i)), lambda i: i.isNotNull())).alias("title_row"))
     t = F.col("title_row")
     place = lambda low, high, best: best(F.transform("rows", lambda r, i: F.when(r["tabular"] & i.between(low, high), i)))
-    first = place(t + 1, t + TO_TABLE, F.array_min)
-    down = titles.select(*by, "rows", "title_row", F.lit(True).alias("below"), first.alias("first")).where("first is not null").withColumn("end", _reach(rows, F.col("first") + 1, 1, SPARSE_BELOW))
+    down = _taken(titles.withColumn("below", F.lit(True)), "first", place(t + 1, t + TO_TABLE, F.array_min))
+    down = _taken(down, "end", _reach(rows, F.col("first") + 1, 1, SPARSE_BELOW))
     last = F.coalesce(place(t - TO_TABLE_ABOVE - 1, t - 1, F.array_max) + 1, F.greatest(t - TO_TABLE_ABOVE, F.lit(0)))
-    up = titles.select(*by, "rows", "title_row", F.lit(False).alias("below"), last.alias("end")).withColumn("first", _reach(rows, F.col("end") - 1, -1, SPARSE_ABOVE) + 1)
+    up = _taken(titles.withColumn("below", F.lit(False)), "end", last)
+    up = _taken(up, "first", _reach(rows, F.col("end") - 1, -1, SPARSE_ABOVE) + 1)
     found = down.unionByName(up).where(_tabular(rows, F.col("first"), F.col("end")) >= 2)
     return found.select(*by, "title_row", "below", "first", "end")
 
