@@ -197,7 +197,7 @@ def pipeline_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = shared_table(retrieval.retrieve(questions, chunks, _index(chunks), _passages(questions, chunks)))
     verdicts = retrieval.gated(found, questions)
     cited = found.where("side = 'accessible' and rank <= 5").select("question_id", "key", "rank", "score")
-    texts = chunks.select("key", F.element_at(T.sentences(F.col("text")), 1).alias("excerpt")).join(cited.select("key").distinct(), "key", "left_semi")
+    texts = chunks.select("key", F.get(T.sentences(F.col("text")), F.lit(0)).alias("excerpt")).join(cited.select("key").distinct(), "key", "left_semi")
     shown = cited.join(verdicts.where("refusal is null and not no_access").select("question_id"), "question_id", "left_semi").join(texts, "key")
     rows = verdicts.join(shown, "question_id", "left")
     return rows.select("question_id", "no_access", "refusal", F.col("rank").cast("long").alias("rank"), F.col("key").alias("doc_id"), "score", "excerpt")
